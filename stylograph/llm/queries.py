@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, secrets
 from .common import Scratch, table
 
 
@@ -15,7 +15,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = secrets.listed(F.col("spans"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES = {
+    "op5_secret_scans": op5_secret_scans,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
