@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import passages, quality, secrets, simhash
 from .common import Scratch, table
 
 
@@ -15,6 +15,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = secrets.listed(F.col("spans"))
@@ -22,6 +31,8 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op9_quality_rules": op9_quality_rules,
 }
