@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import passages, quality, secrets, simhash
+from . import packing, passages, quality, secrets, simhash
 from .common import Scratch, table
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Scratch(spark, "op8"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality.quality(docs)
@@ -34,6 +39,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op10_substring_dedup": op10_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op8_mixture_packing": op8_mixture_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
