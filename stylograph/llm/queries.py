@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, passages, quality, secrets, simhash
+from . import automaton, language, packing, passages, quality, secrets, simhash, toxicity
 from .common import Scratch, table
 
 
+def _remainder(of: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
+
+
+def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = _remainder(4) == 2
+    model = toxicity.fit(docs.filter(~held), labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = _remainder(5) == 0
+    out = language.predict(docs, language.fit(docs.filter(~held)))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Scratch(spark, "op8"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +60,9 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op2_toxicity_pu": op2_toxicity_pu,
+    "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_language_mixture": op4_language_mixture,
     "op5_secret_scans": op5_secret_scans,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality_rules": op9_quality_rules,
