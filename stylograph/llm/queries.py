@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, language, packing, passages, quality, secrets, simhash, toxicity
+from . import automaton, language, media, packing, passages, quality, secrets, simhash, toxicity, warc
 from .common import Scratch, table
 
 
@@ -32,6 +32,28 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
 
 
+def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.documents(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op7_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op7")
+    warc.write(warc.revisits(table(spark, sf_dir, "pages"), scratch), scratch.path("archives"))
+    found = warc.read(spark, scratch.path("archives"))
+    # digests are made where a payload is read, so that assembly moves none
+    light = found.withColumns({"n": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "fields": F.when(F.col("type") == "metadata", F.col("payload").cast("string"))}).drop("payload")
+    rows = warc.assemble(light).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    main, again = F.col("response"), F.col("response.type") == "revisit"
+    return rows.select(
+        F.regexp_extract("metadata.fields", "page_id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
+        F.when(again, main["http_length"]).otherwise(main["n"]).alias("payload_bytes"),
+        F.when(again, F.regexp_replace(main["digest"], "^sha1:", "")).otherwise(main["sha1"]).alias("payload_digest"),
+        main["type"].alias("record_type"),
+        warc.page_of(main["refers_to"]).alias("refers_to"),
+    )
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Scratch(spark, "op8"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,7 +86,18 @@ QUERIES = {
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_language_mixture": op4_language_mixture,
     "op5_secret_scans": op5_secret_scans,
+    "op6_media_sequences": op6_media_sequences,
+    "op7_warc_captures": op7_warc_captures,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_captures": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN m.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
+        FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000
+    """,
+}
