@@ -37,7 +37,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written; the schema is given so that an empty table can be read."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def close(self) -> None:

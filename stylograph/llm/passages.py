@@ -131,13 +131,13 @@ def _verified(similarity: float):
     return run
 
 
-def links(reps: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(a, b): verified similar paragraphs, enough to connect all that are connected. reps: node, line, bands; a row a node."""
+def links(reps: DataFrame, found: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(a, b): verified similar paragraphs, enough to connect all that are connected. reps: node, bands, a row a node; found: node, line."""
     keyed = reps.select(F.explode("bands").alias("band"), "node")
     # a band's bucket matters only if another paragraph is in it, which few are
     shared = scratch.table(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.when(F.col("n") <= tile, 1).otherwise(F.ceil(F.col("n") * 2 / tile)).cast("int").alias("tiles")), "shared")
     inside = scratch.table(keyed.join(shared, "band"), "inside")
-    lines = scratch.table(reps.select("node", "line").join(inside.select("node").distinct(), "node", "left_semi"), "lines")
+    lines = scratch.table(found.select("node", "line").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "lines")
     cut = inside.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "node")
     full = cut.join(lines, "node").select("band", "ta", "tb", "node", "line")
@@ -153,8 +153,8 @@ def repeats(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, m
     """
     bands, rows = tune(similarity)
     found = scratch.table(docs.select("doc_id", "text").mapInArrow(_paragraphs(min_words, bands, rows), PARAGRAPH), "paragraphs")
-    reps = scratch.table(found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("line").alias("line"), F.first("bands").alias("bands")), "reps")
-    joined = components(links(reps, scratch, similarity, tile), scratch, local_edges)
+    reps = scratch.table(found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("bands").alias("bands")), "reps")
+    joined = components(links(reps, found, scratch, similarity, tile), scratch, local_edges)
     named = reps.select(F.col("node"), "n", "first").join(joined, "node", "left").filter("component is not null or n > 1").select("node", F.coalesce("component", "node").alias("component"), "first")
     named = scratch.table(named, "members")
     kept = scratch.table(named.groupBy("component").agg(F.min("first").alias("first")), "kept")
