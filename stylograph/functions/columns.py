@@ -75,8 +75,8 @@ def run_counts(items: Column) -> Column:
 
 def entropy(counts: Column) -> Column:
     """Shannon entropy in bits of an array of counts; 0 if empty."""
-    n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return let(n, lambda m: F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / m) * F.log2(c / m)))
+    bits = lambda c: let(F.aggregate(c, F.lit(0), lambda a, x: a + x), lambda n: F.aggregate(c, F.lit(0.0), lambda a, x: a - (x / n) * F.log2(x / n)))
+    return let(counts, bits)
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -85,12 +85,13 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def mean(numbers: Column) -> Column:
-    return F.when(F.size(numbers) > 0, total(F.transform(numbers, lambda x: x.cast("double"))) / F.size(numbers)).otherwise(0.0)
+    return let(numbers, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)).otherwise(0.0))
 
 
 def variance(numbers: Column, ddof: int = 0) -> Column:
     """Population (ddof 0) or sample (ddof 1) variance; 0 for too few numbers."""
-    return F.when(F.size(numbers) > ddof, let(mean(numbers), lambda m: total(F.transform(numbers, lambda x: (x - m) * (x - m)))) / (F.size(numbers) - ddof)).otherwise(0.0)
+    squares = lambda a: let(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return let(numbers, lambda a: F.when(F.size(a) > ddof, squares(a) / (F.size(a) - ddof)).otherwise(0.0))
 
 
 def share_in(words: Column, lexicon: list[str]) -> Column:

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 
@@ -68,12 +69,12 @@ def surnames(block: str | None) -> list[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def author_surnames(blocks: pd.Series) -> pd.Series:
     return blocks.map(surnames)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by longest matching blocks; 1 for two empty ones, 0 if one is."""
     one = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else float(not x and not y)

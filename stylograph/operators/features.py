@@ -180,7 +180,7 @@ def slope(values: Column) -> Column:
 def perplexity(docs: DataFrame, text_col: str = "text", name: str = "perplexity", low: float = 7.0) -> DataFrame:
     """Adds a struct of PERPLEXITY and the arrays <name>_windows; all 0 (none) under 15 words."""
     f = _with(docs, text_col, w=C.tok_word(F.col("t")), win=sentence_windows(F.col("t")))
-    f = f.withColumns({"ppl": F.transform("win", lambda x: proxy_perplexity(C.tok_word(x))), "ent": token_windows(F.col("w")), "enough": F.size(C.tok_ws(F.col("t"))) >= 15})
+    f = f.withColumns({"ppl": F.transform("win", lambda x: C.let(C.tok_word(x), lambda t: proxy_perplexity(t))), "ent": token_windows(F.col("w")), "enough": F.size(C.tok_ws(F.col("t"))) >= 15})
     f = f.withColumns({"mu": C.mean(F.col("ppl")), "sd": F.sqrt(C.variance(F.col("ppl")))})
     share = F.size(F.filter("ppl", lambda p: p < low)) / F.size("ppl")
     features = {

@@ -24,11 +24,13 @@ def word_scores(text: Column, score: Column) -> Column:
     ai, human = (F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (AI_WORDS, HUMAN_WORDS))
 
     def one(raw: Column, i: Column, n: Column) -> Column:
+        def rated(v: Column) -> Column:
+            moved = F.when(v["ai"].isNotNull(), F.least(F.lit(1.0), score + v["ai"] * 0.3)).when(v["human"].isNotNull(), F.greatest(F.lit(0.0), score - v["human"] * 0.3)).otherwise(score)
+            known = v["ai"].isNotNull() | v["human"].isNotNull()
+            return F.struct(v["word"].alias("word"), i.alias("position"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved * (1 - i / n * 0.1))).alias("score"), F.when(known, 0.8).otherwise(0.5).alias("confidence"))
+
         bare = F.translate(raw, L.ZERO_WIDTH_ATTRIBUTION, "")
-        key = F.regexp_replace(F.lower(raw), r"(?U)[^\w]", "")
-        moved = F.when(ai[key].isNotNull(), F.least(F.lit(1.0), score + ai[key] * 0.3)).when(human[key].isNotNull(), F.greatest(F.lit(0.0), score - human[key] * 0.3)).otherwise(score)
-        known = ai[key].isNotNull() | human[key].isNotNull()
-        return F.struct(bare.alias("word"), i.alias("position"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved * (1 - i / n * 0.1))).alias("score"), F.when(known, 0.8).otherwise(0.5).alias("confidence"))
+        return C.let(F.regexp_replace(F.lower(raw), r"(?U)[^\w]", ""), lambda key: C.let(F.struct(bare.alias("word"), ai[key].alias("ai"), human[key].alias("human")), rated))
 
     return C.let(C.tok_ws(text), lambda w: F.filter(F.transform(w, lambda x, i: one(x, i, F.size(w))), lambda s: F.length(s["word"]) > 0))
 
@@ -60,6 +62,10 @@ def hybrid(scores: Column) -> Column:
 
 def evidence(sentences: Column) -> Column:
     """array<struct<type, position, score, detail>>: up to 5 AI sentences, else a human summary; uniform scores."""
+    return C.let(sentences, _evidence)
+
+
+def _evidence(sentences: Column) -> Column:
     item = lambda kind, position, score, detail: F.struct(F.lit(kind).alias("type"), position.cast("int").alias("position"), F.round(score, 4).alias("score"), detail.alias("detail"))
     high = F.slice(F.transform(F.filter(sentences, lambda s: s["score"] > 0.60), lambda s: item("high_confidence_ai_sentence", s["position"], s["score"], F.array_join(F.slice(s["indicators"], 1, 3), ", "))), 1, 5)
     low = F.filter(sentences, lambda s: s["score"] < 0.40)

@@ -39,14 +39,16 @@ def tags(text: Column) -> Column:
     def tag(t: Column) -> Column:
         out = F.lit("NOUN")
         for rule, name in reversed(L.TAGS):
-            out = F.when(t.rlike(f"(?U)^(?:{rule})$"), name).otherwise(out)
+            out = F.when(t.isin(*rule.split("|")) if rule.replace("|", "").isalpha() else t.rlike(f"(?U)^(?:{rule})$"), name).otherwise(out)
         return out
 
     return F.transform(tokens, tag)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast(C.STRINGS))
+    """All character n-grams in order, from the text's characters as an array: a substring would be sought from the start each time."""
+    of = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))).otherwise(F.array().cast(C.STRINGS))
+    return C.let(F.filter(F.split(text, ""), lambda x: x != ""), of)
 
 
 def top_shares(items: Column, k: int) -> Column:
@@ -77,9 +79,11 @@ def stylometric(docs: DataFrame, text_col: str = "text", name: str = "style") ->
     fixed = F.array(*(share(x).cast("double") for x in [*L.FUNCTION_WORDS, *L.FILLERS, *L.TRANSITIONS]))
     items = {"bigrams": C.ngrams(F.col("w"), 2), "trigrams": C.ngrams(F.col("w"), 3), "char4": char_ngrams(t, 4), "char5": char_ngrams(t, 5), "tag_bigrams": C.let(tags(t), lambda x: C.ngrams(x, 2))}
     # word n-grams are shares of words, character and tag n-grams of their own number
-    scaled = {k: C.let(items[k], lambda x, k=k: top_shares(x, RANKED[k])) for k in RANKED}
-    for k, short in (("bigrams", 1), ("trigrams", 2)):
-        scaled[k] = F.transform(scaled[k], lambda v, short=short: v * F.greatest(F.size("w") - short, F.lit(0)) / n)
+    def ranked(k: str, short: int | None = None) -> Column:
+        shares = C.let(items[k], lambda x: top_shares(x, RANKED[k]))
+        return shares if short is None else F.transform(shares, lambda v: v * F.greatest(F.size("w") - short, F.lit(0)) / n)
+
+    scaled = {k: ranked(k, {"bigrams": 1, "trigrams": 2}.get(k)) for k in RANKED}
     vector = F.concat(F.array(*(F.col(name)[k] for k in SCALARS)), fixed, *(scaled[k] for k in RANKED))
     return f.select(*(f[c] for c in docs.columns), name, F.when(enough, vector).otherwise(F.array_repeat(F.lit(0.0), DIM)).alias(f"{name}_vector"))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VARIANTS, GAMMA, CONTEXT, LEAST = 10, 0.5, 1, 20
 
@@ -40,7 +41,7 @@ def green_z(ids: list[int] | None, vocabulary: int = 1000, gamma: float = GAMMA,
     return {"z": 0.0, "p": 1.0, "green": 0.5}
 
 
-@F.pandas_udf("struct<z:double,p:double,green:double>")
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("z", "p", "green")]))
 def green_test(ids: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([green_z(x) for x in ids], columns=["z", "p", "green"])
 
@@ -59,7 +60,7 @@ def periodicity(values: np.ndarray | None) -> float:
     return float(peaks.max()) if len(peaks) else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entropy_periodicity(values: pd.Series) -> pd.Series:
     return values.map(periodicity)
 
