@@ -4,11 +4,16 @@ A paragraph is a line of at least min_words words. Its MinHash signature over 5-
 pair at the similarity threshold collides with at least the asked recall. Equal paragraphs are one node; paragraphs that share a
 band are candidates, verified by exact Jaccard similarity of their shingle sets. The removals are clustered by connected
 components: the first paragraph of a component (by doc_id, then position) stays, all others go.
+
+A passage that repeats inside otherwise different lines is no paragraph of its own there. For those, the words of a text are cut
+into blocks where a hash of two neighbouring words says so, so the same passage has the same blocks wherever it stands; blocks that
+occur elsewhere and follow one another for min_words words or more are removed as a passage, all but the first place's.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, texts
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS, PERMUTATIONS, TILE = 5, 0.8, 0.995, 20, 64, 1024
+#: One in so many pairs of neighbouring words ends a block; blocks of fewer words are not looked up but bridged.
+CUT, BLOCK, BRIDGE = 8, 4, 8
+WHITE = bytes(range(9, 14)) + b" "
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -144,23 +152,96 @@ def links(reps: DataFrame, found: DataFrame, scratch: Scratch, similarity: float
     return full.repartition("band", "ta", "tb").sortWithinPartitions("band", "ta", "tb").mapInArrow(_verified(similarity), "a bigint, b bigint")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, local_edges: int = 1_000_000) -> DataFrame:
-    """The paragraphs to remove: doc_id, start, end (code points, end exclusive), n_words, kept_doc_id, kept_start, component.
+def blocks(text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, first word, words, hash) of each block of BLOCK words or more; start and end count code points."""
+    raw = text.encode("utf-8", "surrogatepass").lower().translate(bytes.maketrans(WHITE, b" " * len(WHITE)))
+    data = np.frombuffer(raw, np.uint8)
+    gap = np.concatenate(([True], data == 32, [True]))
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    if len(starts) < BLOCK:
+        return
+    pairs = [raw[i:j] for i, j in zip(starts[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    marks = np.fromiter(map(zlib.crc32, pairs), np.uint32, len(pairs))
+    cuts = np.concatenate(([0], np.flatnonzero(marks % CUT == 0) + 1, [len(starts)]))
+    long = np.flatnonzero(np.diff(cuts) >= BLOCK)
+    point = None if text.isascii() else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    for a, b in zip(cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
+        i, j = int(starts[a]), int(ends[b - 1])
+        yield (i if point is None else int(point[i])), (j if point is None else int(point[j])), a, b - a, xxhash.xxh64_intdigest(raw[i:j], 3) - (1 << 63)
+
+
+BLOCKS = "doc_id bigint, start int, end int, word int, n_words int, node bigint"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ("doc_id", "start", "end", "word", "n_words", "node"), (pa.int64(), *[pa.int32()] * 4, pa.int64())
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+            rows += [(doc, *x) for x in blocks(text)]
+            if len(rows) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+
+SPAN = "doc_id bigint, start int, end int, n_words int, kept_doc_id bigint, kept_start int, component bigint"
+
+
+def _runs(min_words: int):
+    """From a document's repeated blocks (rows of word, start, end, n_words, ...), the runs of min_words words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                held: list[dict] = []
+                for x in [*sorted(found, key=lambda x: x["word"]), None]:
+                    if held and (x is None or x["word"] > held[-1]["word"] + held[-1]["n_words"] + BRIDGE):
+                        if (n := sum(y["n_words"] for y in held)) >= min_words:
+                            out.append((doc, held[0]["start"], max(y["end"] for y in held), n, held[0]["kept_doc_id"], held[0]["kept_start"], held[0]["node"]))
+                        held = []
+                    if x is not None and not (held and x["word"] == held[-1]["word"]):
+                        held.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in SPAN.split(", ")])
+
+    return run
+
+
+def inner_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages that repeat inside lines, as repeats() gives them. Rows without doc_id take no part."""
+    found = scratch.table(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_blocks, BLOCKS), "blocks")
+    shared = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
+    where = scratch.table(shared.select("node", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")), "block_places")
+    again = found.join(where, "node").filter(~((F.col("doc_id") == F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))))
+    each = again.groupBy("doc_id").agg(F.collect_list(F.struct("word", "start", "end", "n_words", "kept_doc_id", "kept_start", "node")).alias("found"))
+    return each.mapInArrow(_runs(min_words), SPAN)
+
+
+def repeats(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, local_edges: int = 1_000_000, inner: bool = True) -> DataFrame:
+    """What to remove: doc_id, start, end (code points, end exclusive), n_words, kept_doc_id, kept_start, component, inner.
+
+    inner: a passage inside lines, else a whole paragraph; the two may overlap. Both are found unless inner is False.
 
     docs: doc_id bigint, text. A null text has no paragraph. Of a component the least (doc_id, start) stays, a null doc_id
     counting as least; a paragraph repeated within a document goes too. Rows repeated in docs are documents of their own, and
     as they share doc_id and start, all of them stay or all go.
     """
     bands, rows = tune(similarity)
-    found = scratch.table(docs.select("doc_id", "text").mapInArrow(_paragraphs(min_words, bands, rows), PARAGRAPH), "paragraphs")
-    reps = scratch.table(found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("bands").alias("bands")), "reps")
-    joined = components(links(reps, found, scratch, similarity, tile), scratch, local_edges)
+    heavy = scratch.table(docs.select("doc_id", "text").mapInArrow(_paragraphs(min_words, bands, rows), PARAGRAPH), "paragraphs")
+    reps = scratch.table(heavy.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("bands").alias("bands")), "reps")
+    joined = components(links(reps, heavy, scratch, similarity, tile), scratch, local_edges)
     named = reps.select(F.col("node"), "n", "first").join(joined, "node", "left").filter("component is not null or n > 1").select("node", F.coalesce("component", "node").alias("component"), "first")
     named = scratch.table(named, "members")
+    found = scratch.table(heavy.select("doc_id", "start", "end", "n_words", "node"), "places")
+    for name in ("paragraphs", "reps", "spread", "lines", "inside", "shared"):
+        scratch.drop(name)
     kept = scratch.table(named.groupBy("component").agg(F.min("first").alias("first")), "kept")
     where = scratch.table(named.select("node", "component").join(kept, "component").select("node", "component", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")), "where")
-    out = found.select("doc_id", "start", "end", "n_words", "node").join(where, "node")
-    return out.filter(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")))).select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "component")
+    out = found.join(where, "node").filter(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))))
+    whole = out.select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "component")
+    return whole.withColumn("inner", F.lit(False)).unionByName(inner_repeats(docs, scratch, min_words).withColumn("inner", F.lit(True))) if inner else whole.withColumn("inner", F.lit(False))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +250,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("p_spans").to_pylist(), strict=True):
             at, parts = 0, []
             for s in sorted(spans or [], key=lambda s: s["start"]):
-                parts.append(text[at : s["start"]])
-                at = max(at, s["end"] + 1)  # with its line end
+                parts.append(text[at : max(at, s["start"])])
+                end = s["end"]
+                whole = (s["start"] == 0 or text[s["start"] - 1] == "\n") and text[end : end + 1] in ("", "\n")
+                at = max(at, end + whole)  # a whole line goes with its end
             out.append("".join([*parts, text[at:]]) if spans else text)
         names = [c for c in batch.schema.names if c != "p_spans"]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)

@@ -105,7 +105,7 @@ def test_passages(spark, passage_rows, kw):
         first.setdefault(up[i], i)
     want = sorted((d, a, b, seen[first[up[i]]][0]) for i, (d, a, b, _) in enumerate(seen) if first[up[i]] != i)
     docs = spark.createDataFrame(passage_rows, SCHEMA)
-    found = passages.repeats(docs, Scratch(spark, "t"), **kw)
+    found = passages.repeats(docs, Scratch(spark, "t"), inner=False, **kw)
     assert sorted((r["doc_id"], r["start"], r["end"], r["kept_doc_id"]) for r in found.collect()) == want
     cut = {r["doc_id"]: r["text"] for r in passages.without(docs, found).collect()}
     texts = {d: t for d, t, _ in passage_rows}
@@ -113,6 +113,26 @@ def test_passages(spark, passage_rows, kw):
     assert cut[90] is None and all(cut[k] == texts[k] for k in texts if k not in {w[0] for w in want})
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("stuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, rows = "é " + line(58) + " ß", []
+    for k in range(60):
+        text = line(rng.randint(30, 90))
+        rows.append((k, f"{text} {passage} {line(40)}\n{line(15)}" if k % 2 else text, None))
+    rows += [(100, None, None), (101, "", None), (102, "a a a a " * 3000, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = passages.repeats(docs, Scratch(spark, "t"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert set(got) == set(range(3, 60, 2)) and all(r["inner"] and r["kept_doc_id"] == 1 for r in got.values())
+    for r in got.values():  # within the passage, and most of it
+        piece = rows[r["doc_id"]][1][r["start"] : r["end"]]
+        assert piece in passage and len(piece) > 0.5 * len(passage)
+    cut = {r["doc_id"]: r["text"] for r in passages.without(docs, found).collect()}
+    assert all(cut[k] == rows[k][1][: got[k]["start"]] + rows[k][1][got[k]["end"] :] for k in got) and cut[1] == rows[1][1]
+
+
 def test_passages_of_an_empty_table(spark):
     assert passages.repeats(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
 
