@@ -9,8 +9,14 @@ from ..functions import lexicons as L
 from ..operators import citations, corpus, report, style
 
 
+#: Tables under this size may be a single row group, which one task reads: their rows are dealt out.
+SMALL = 64 << 20
+
+
 def docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
 
 
 def _project(**columns):
