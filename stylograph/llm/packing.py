@@ -30,7 +30,6 @@ STEPS = 50
 
 def encoder(path: str):
     """Text to ids as the tokenizers library gives them for a byte-level BPE file, by a faster library for the same merges."""
-    import base64  # noqa: F401
     import json
 
     import tiktoken
