@@ -44,6 +44,22 @@ def references(text: Column) -> Column:
     return F.transform(raws, row)
 
 
+NUMBERED = r"(?s)\[(\d+)\]\s*(.+?)(?:\n\n|\n(?=\[\d+\])|\z)"
+
+
+def numbered(text: Column) -> Column:
+    """array<struct<position, raw, year, title>> of [n] rows: the quoted title, else the longest part between stops, cut at 200."""
+
+    def row(r: Column) -> Column:
+        raw = C.trimmed(F.regexp_extract(r, NUMBERED, 2))
+        quoted = F.regexp_extract(raw, "[\"“]([^\"”]+)[\"”]", 1)
+        longest = F.reduce(F.split(raw, "[.!?]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+        year = F.regexp_extract(raw, r"\b((?:19|20)\d{2})\b", 1)
+        return F.struct(F.regexp_extract(r, NUMBERED, 1).cast("int").alias("position"), raw.alias("raw"), F.when(year != "", year).cast("int").alias("year"), F.when(quoted != "", C.trimmed(quoted)).otherwise(F.substring(C.trimmed(longest), 1, 200)).alias("title"))
+
+    return F.transform(C.matches(split_bibliography(text)["bib"], NUMBERED), row)
+
+
 def inline(body: Column) -> Column:
     """Citations in the text, first seen first: (Name, 2023) as it stands, Name (2023) as Name, 2023."""
     named = F.zip_with(C.matches(body, AUTHOR_YEAR, 1), C.matches(body, AUTHOR_YEAR, 2), lambda a, y: F.concat(C.trimmed(a), F.lit(", "), y))

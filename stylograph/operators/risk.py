@@ -90,3 +90,26 @@ def reference_risk(total: Column, mean_confidence: Column, fabricated: Column, c
     """Mean vote of four citation features; 0 without a reference."""
     votes = [_vote(mean_confidence, mean_confidence < 40, mean_confidence < 70), *(_vote(x, x > 0.3, x > 0.1) for x in (fabricated, chimeric)), _vote(ornamental, ornamental > 0.5, ornamental > 0.2)]
     return F.when(total < 1, 0.0).otherwise(F.round(clip(sum(votes[1:], votes[0]) / 4), 4))
+
+
+def top_values(f: Column, names: list[str], k: int = 3) -> Column:
+    """array<struct<feature, value>> of the k largest features; ties in the order of names."""
+    items = F.array(*(F.struct((-f[n]).alias("v"), F.lit(i).alias("i"), F.lit(n).alias("feature")) for i, n in enumerate(names)))
+    return F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.struct(x["feature"].alias("feature"), (-x["v"]).alias("value")))
+
+
+def top_signals(f: Column, k: int = 5) -> Column:
+    """array<struct<feature, value>>: the k weighted REASONING features of largest normalised value."""
+    names = [*L.REASONING_WEIGHTS, "intuition_leap_density"]
+    return top_values(F.struct(*(_norm(f, n).alias(n) for n in names)), names, k)
+
+
+def category_levels(f: Column) -> Column:
+    """Map of risk category to high, medium or low for display: from .6 and .3."""
+    return F.create_map(*(x for k, v in hallucination_categories(f).items() for x in (F.lit(k), F.when(v >= 0.6, "high").when(v >= 0.3, "medium").otherwise("low"))))
+
+
+def baseline(ppl: Column, burstiness: Column, diversity: Column, length: Column, grade: Column) -> Column:
+    """array<struct<metric, value, human, deviates>>: values beside what people write; over 30 % off deviates."""
+    pairs = {"perplexity": (ppl, 55.0), "burstiness": (burstiness, 0.25), "lexical_diversity": (diversity, 0.70), "sentence_length": (length, 16.0), "grade": (grade, 10.0)}
+    return F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), F.lit(h).alias("human"), (F.abs(v - h) / h > 0.30).alias("deviates")) for k, (v, h) in pairs.items()))

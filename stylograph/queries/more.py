@@ -244,4 +244,14 @@ ALL = {
     "aug_v6": (_augment(70, ("char_noise", "whitespace")), None),
     "aug_v7": (_augment(50, ("char_noise", "homoglyph")), None),
     "ml_meta": (_meta, None),
+    "top_signals_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.top_values(F.col("hallucination"), features.HALLUCINATION)).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
+    "top_signals_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.explode(risk.top_signals(F.col("reasoning"))).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
+    "fn_level_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.category_levels(F.col("hallucination"))).alias("category", "level")), None),
+    "fn_baseline": (lambda s, d: docs(s, d).select("doc_id", F.explode(risk.baseline(F.lit(50.0), F.lit(0.1), F.lit(0.65), F.lit(18.0), corpus.flesch_kincaid(TEXT_()))).alias("b")).select("doc_id", "b.metric", "b.value", "b.deviates"), None),
+    "tf_numbered": (lambda s, d: docs(s, d).select("doc_id", F.explode(citations.numbered(F.concat(TEXT_(), F.lit("\nReferences\n[1] Doe, A. \"Quoted title\", 2001.\n[2] Roe. A longer title without quotes. 1999")))).alias("r")).select("doc_id", "r.position", "r.year", "r.title"), "SELECT doc_id, unnest([1, 2])::INT AS position, unnest([2001, 1999])::INT AS year, unnest(['Quoted title', 'A longer title without quotes']) AS title FROM documents"),
+    "jn_group_calib": (lambda s, d: ensemble.with_thresholds(scores(s, d), ensemble.conformal(scores(s, d), 0.05, "lang", 50), "lang").select("doc_id", F.round("tau_ai", 6).alias("tau_ai")), None),
+    "agg_class_weight_v7": (lambda s, d: corpus.class_weights(docs(s, d), "source").select("label", F.round("w_v7", 6).alias("w")), "WITH c AS (SELECT source AS label, count(*) AS n FROM documents GROUP BY source), r AS (SELECT *, sqrt(sum(n + 1) OVER () / (n + 1)) AS r FROM c) SELECT label, round(r / avg(r) OVER (), 6) AS w FROM r"),
+    "agg_paragraph_cv": (lambda s, d: features.reasoning(docs(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", F.round("reasoning.paragraph_length_cv", 6).alias("cv")), None),
+    "agg_profile": (lambda s, d: style.stylometric(docs(s, d)).groupBy("source").agg(F.count("*").alias("n"), *(F.round(F.avg(f"style.{k}"), 6).alias(k) for k in style.SCALARS)), None),
+    "verify_ready": (lambda s, d: s.createDataFrame([tuple(files.ready(s, [f"{d}/documents.parquet", f"{d}/nothing"]).values())], "there boolean, missing boolean"), "SELECT true AS there, false AS missing"),
 }

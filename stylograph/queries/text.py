@@ -15,7 +15,7 @@ SMALL = 64 << 20
 
 def docs(spark, d):
     df = spark.read.parquet(f"{d}/documents.parquet")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
 
 
