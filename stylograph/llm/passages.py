@@ -5,15 +5,15 @@ pair at the similarity threshold collides with at least the asked recall. Equal
 band are candidates, verified by exact Jaccard similarity of their shingle sets. The removals are clustered by connected
 components: the first paragraph of a component (by doc_id, then position) stays, all others go.
 
-A passage that repeats inside otherwise different lines is no paragraph of its own there. For those, the words of a text are cut
-into blocks where a hash of two neighbouring words says so, so the same passage has the same blocks wherever it stands; blocks that
-occur elsewhere and follow one another for min_words words or more are removed as a passage, all but the first place's.
+A passage that repeats inside otherwise different lines is no paragraph of its own there. For those, every window of min_words
+words counts: each but the first place of its words is removed, in maximal runs that equal one other place word by word. Only
+windows whose seed, the least hash of 8 words in them, occurs again can repeat, so only those are compared, in the seed's task.
+Windows of one word over and over don't count.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, texts
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS, PERMUTATIONS, TILE = 5, 0.8, 0.995, 20, 64, 1024
-#: One in so many pairs of neighbouring words ends a block; blocks of fewer words are not looked up but bridged.
-CUT, BLOCK, BRIDGE = 8, 4, 8
-WHITE = bytes(range(9, 14)) + b" "
+#: Words of a seed; a run that adds fewer words than EDGE to longer ones is left out.
+SEED, EDGE = 8, 4
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -152,71 +151,185 @@ def links(reps: DataFrame, found: DataFrame, scratch: Scratch, similarity: float
     return full.repartition("band", "ta", "tb").sortWithinPartitions("band", "ta", "tb").mapInArrow(_verified(similarity), "a bigint, b bigint")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, int, int, int]]:
-    """(start, end, first word, words, hash) of each block of BLOCK words or more; start and end count code points."""
-    raw = text.encode("utf-8", "surrogatepass").lower().translate(bytes.maketrans(WHITE, b" " * len(WHITE)))
-    data = np.frombuffer(raw, np.uint8)
-    gap = np.concatenate(([True], data == 32, [True]))
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    if len(starts) < BLOCK:
-        return
-    pairs = [raw[i:j] for i, j in zip(starts[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    marks = np.fromiter(map(zlib.crc32, pairs), np.uint32, len(pairs))
-    cuts = np.concatenate(([0], np.flatnonzero(marks % CUT == 0) + 1, [len(starts)]))
-    long = np.flatnonzero(np.diff(cuts) >= BLOCK)
-    point = None if text.isascii() else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    for a, b in zip(cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
-        i, j = int(starts[a]), int(ends[b - 1])
-        yield (i if point is None else int(point[i])), (j if point is None else int(point[j])), a, b - a, xxhash.xxh64_intdigest(raw[i:j], 3) - (1 << 63)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
 
 
-BLOCKS = "doc_id bigint, start int, end int, word int, n_words int, node bigint"
+def _spans(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each place on."""
+    out, at, n = None, 0, len(h) - k + 1
+    width = 1
+    while True:
+        if k & width:
+            part = h[at : at + n]
+            out = part if out is None else _mix(out * np.uint64(0xD6E8FEB86659FD93) + part)
+            at += width
+        if (width := 2 * width) > k:
+            return out
+        h = _mix(h[: -(width // 2)] * np.uint64(0xA0761D6478BD642F) + h[width // 2 :])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ("doc_id", "start", "end", "word", "n_words", "node"), (pa.int64(), *[pa.int32()] * 4, pa.int64())
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-            rows += [(doc, *x) for x in blocks(text)]
-            if len(rows) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-                rows = []
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+def _least(h: np.ndarray, k: int) -> np.ndarray:
+    """Least of the k values from each place on."""
+    n, width = len(h) - k + 1, 1
+    while 2 * width <= k:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[:n], h[k - width : k - width + n])
 
 
-SPAN = "doc_id bigint, start int, end int, n_words int, kept_doc_id bigint, kept_start int, component bigint"
+def windows(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(word hashes, hash of each window of size words, its seed: the least hash of SEED words in it); None under size words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < size:
+        return None
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(SEED, size)
+    return h, _spans(h, size), _least(_spans(h, k), size - k + 1)
+
+
+def places(seeds: np.ndarray, size: int) -> np.ndarray:
+    """First windows of the stretches that share a seed: at most as many windows as can share one place of it."""
+    at = np.arange(len(seeds))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], seeds[1:] != seeds[:-1])), at, 0))
+    return np.flatnonzero((at - first) % (size - min(SEED, size) + 1) == 0)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
+
+
+SEEDS = "doc_id bigint, word int, node bigint"
+
+
+def _seeds(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+                if (found := windows(text, size)) is not None:
+                    at = places(found[2], size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), pa.array(found[2][at].view(np.int64))], names=["doc_id", "word", "node"])
+
+    return run
+
+
+#: hashes: of the windows from this word on; starts, ends: code points where each begins and ends.
+STRETCH = "node bigint, doc_id bigint, word int, hashes binary, starts binary, ends binary"
+
 
+def _stretches(size: int):
+    """The windows of each stretch whose seed occurs again (column found: the stretches' first words)."""
 
-def _runs(min_words: int):
-    """From a document's repeated blocks (rows of word, start, end, n_words, ...), the runs of min_words words or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+                if (found := windows(text, size)) is None:
+                    continue
+                h, hashes, seeds = found
+                raw = text.encode("utf-8", "surrogatepass")
+                data = np.frombuffer(raw, np.uint8)
+                gap = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
+                starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                if not text.isascii():
+                    point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                    starts, ends = point[starts], point[ends]
+                starts, ends = starts.astype("<i4"), ends.astype("<i4")
+                same = np.concatenate(([0], np.cumsum(h[1:] == h[:-1])))
+                dull = same[size - 1 :] - same[: len(hashes)] == size - 1  # one word over and over
+                at = places(seeds, size)
+                stop = np.append(at[1:], len(seeds))
+                again = np.isin(at, wanted)
+                for a, b in zip(at[again].tolist(), stop[again].tolist(), strict=True):
+                    live = np.flatnonzero(~dull[a:b])
+                    if len(live):
+                        a, b = a + int(live[0]), a + int(live[-1]) + 1
+                        out.append((int(seeds[a].view(np.int64)), doc, a, hashes[a:b].tobytes(), starts[a:b].tobytes(), ends[a + size - 1 : b + size - 1].tobytes()))
+                if len(out) > 20_000:
+                    yield _batch(out, STRETCH)
+                    out = []
+            yield _batch(out, STRETCH)
+
+    return run
+
+
+MATCH = "doc_id bigint, word int, n_words int, start int, end int, kept_doc_id bigint, kept_word int, kept_start int, node bigint"
+
+
+def _matches(size: int):
+    """From the stretches of a seed, in order of place: what equals the first place of its windows, joined while that goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, first = None, {}
         for batch in batches:
             out = []
-            for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                held: list[dict] = []
-                for x in [*sorted(found, key=lambda x: x["word"]), None]:
-                    if held and (x is None or x["word"] > held[-1]["word"] + held[-1]["n_words"] + BRIDGE):
-                        if (n := sum(y["n_words"] for y in held)) >= min_words:
-                            out.append((doc, held[0]["start"], max(y["end"] for y in held), n, held[0]["kept_doc_id"], held[0]["kept_start"], held[0]["node"]))
-                        held = []
-                    if x is not None and not (held and x["word"] == held[-1]["word"]):
-                        held.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in SPAN.split(", ")])
+            for key, doc, word, hashes, starts, ends in zip(*(batch.column(x.split()[0]).to_pylist() for x in STRETCH.split(", ")), strict=True):
+                if key != node:
+                    node, first = key, {}
+                a, b, held = np.frombuffer(starts, "<i4").tolist(), np.frombuffer(ends, "<i4").tolist(), None
+                for i, h in enumerate(np.frombuffer(hashes, np.uint64).tolist()):
+                    at = first.setdefault(h, (doc, word + i, a[i]))
+                    # a place is no repeat of one that it overlaps
+                    if at[0] == doc and word + i - at[1] < size:
+                        held = None
+                    elif held is not None and held[5] == at[0] and at[1] - held[6] == word + i - held[1]:
+                        held[2], held[4] = word + i - held[1] + size, b[i]
+                    else:
+                        held = [doc, word + i, size, a[i], b[i], *at, node]
+                        out.append(held)
+            yield _batch(out, MATCH)
 
     return run
 
 
+SPAN = "doc_id bigint, start int, end int, n_words int, kept_doc_id bigint, kept_start int, component bigint"
+
+
+def runs(found: list[dict]) -> list[dict]:
+    """A document's matches (as MATCH), joined where they overlap at the same distance from one kept place: maximal equal runs.
+
+    Of runs that overlap the longer counts first, and one that adds under EDGE words to them is a chance extension and left out.
+    """
+    held: list[dict] = []
+    for x in sorted(found, key=lambda x: (x["kept_doc_id"], x["kept_word"] - x["word"], x["word"])):
+        y = held[-1] if held else None
+        if y and y["kept_doc_id"] == x["kept_doc_id"] and y["kept_word"] - y["word"] == x["kept_word"] - x["word"] and x["word"] <= y["word"] + y["n_words"]:
+            if x["word"] + x["n_words"] > y["word"] + y["n_words"]:
+                y["n_words"], y["end"] = x["word"] + x["n_words"] - y["word"], x["end"]
+        else:
+            held.append(dict(x))
+    covered = np.zeros(max((x["word"] + x["n_words"] for x in held), default=0), bool)
+    out = []
+    for x in sorted(held, key=lambda x: (-x["n_words"], x["word"], x["kept_doc_id"], x["kept_word"])):
+        part = covered[x["word"] : x["word"] + x["n_words"]]
+        if len(part) - np.count_nonzero(part) >= EDGE:
+            part[:] = True
+            out.append(x)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            out += [(doc, x["start"], x["end"], x["n_words"], x["kept_doc_id"], x["kept_start"], x["node"]) for x in runs(found)]
+        yield _batch(out, SPAN)
+
+
 def inner_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that repeat inside lines, as repeats() gives them. Rows without doc_id take no part."""
-    found = scratch.table(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_blocks, BLOCKS), "blocks")
-    shared = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
-    where = scratch.table(shared.select("node", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")), "block_places")
-    again = found.join(where, "node").filter(~((F.col("doc_id") == F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))))
-    each = again.groupBy("doc_id").agg(F.collect_list(F.struct("word", "start", "end", "n_words", "kept_doc_id", "kept_start", "node")).alias("found"))
-    return each.mapInArrow(_runs(min_words), SPAN)
+    base = docs.filter("doc_id is not null").select("doc_id", "text")
+    seeds = scratch.table(base.mapInArrow(_seeds(min_words), SEEDS), "seeds")
+    again = seeds.join(seeds.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "node")
+    wanted = scratch.table(again.groupBy("doc_id").agg(F.collect_set("word").alias("found")), "wanted")
+    scratch.drop("seeds")
+    found = base.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_stretches(min_words), STRETCH)
+    matched = scratch.table(found.repartition("node").sortWithinPartitions("node", "doc_id", "word").mapInArrow(_matches(min_words), MATCH), "matched")
+    each = matched.groupBy("doc_id").agg(F.collect_set(F.struct("word", "n_words", "start", "end", "kept_doc_id", "kept_word", "kept_start", "node")).alias("found"))
+    return each.mapInArrow(_runs, SPAN)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, local_edges: int = 1_000_000, inner: bool = True) -> DataFrame:

@@ -145,3 +145,44 @@ def test_bands_reach_their_recall():
 def test_extra_columns_of_clashing_names(spark, rows):
     d = spark.createDataFrame(rows[:5], SCHEMA).withColumns({c: F.lit("x") for c in ("fp", "rep", "component", "node", "start")})
     assert simhash.simhash(d, Scratch(spark, "t")).count() == 5 and passages.repeats(d, Scratch(spark, "t")).count() == 0
+
+
+def _planted(rng, lengths):
+    """Documents of words that occur once, and passages of these lengths at one random place in two of them each."""
+    fresh = iter(range(10**9))
+    prose = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, n in enumerate(lengths):
+        passage = prose(n)
+        for d in (2 * k, 2 * k + 1):
+            before = prose(rng.randint(0, 40))
+            rows.append((d, " ".join([*before, *passage, *prose(rng.randint(0, 40))]), None))
+            start = len(" ".join(before)) + bool(before)
+            want[d] = (start, start + len(" ".join(passage)), n)
+    return rows, {d: (*v, d - 1, want[d - 1][0]) for d, v in want.items() if d % 2}
+
+
+def test_passages_inside_lines_are_found_whole(spark):
+    rows, want = _planted(random.Random(21), [n for n in range(20, 80) for _ in range(3)])
+    found = passages.inner_repeats(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_words"], r["kept_doc_id"], r["kept_start"]) for r in found) == sorted((d, *v) for d, v in want.items())
+
+
+def test_no_window_that_occurs_earlier_stays(spark):
+    rng = random.Random(23)
+    pool = [[f"v{rng.randrange(60)}" for _ in range(rng.randint(5, 70))] for _ in range(30)]
+    split = [[w for _ in range(rng.randint(1, 6)) for w in rng.choice(pool)[rng.randint(0, 4) :]] for _ in range(120)]
+    docs = spark.createDataFrame([(d, " ".join(w), None) for d, w in enumerate(split)], SCHEMA)
+    gone = {d: set() for d in range(len(split))}
+    for r in passages.inner_repeats(docs, Scratch(spark, "t")).collect():
+        text, kept = " ".join(split[r["doc_id"]]), " ".join(split[r["kept_doc_id"]])
+        piece = text[r["start"] : r["end"]]
+        assert kept[r["kept_start"] :].startswith(piece) and len(piece.split()) == r["n_words"] >= 20
+        at = text[: r["start"]].count(" ")
+        gone[r["doc_id"]] |= set(range(at, at + r["n_words"]))
+    first: dict = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - 19):
+            kept_doc, kept = first.setdefault(tuple(w[i : i + 20]), (d, i))
+            if kept_doc != d or i - kept >= 20:
+                assert len(gone[d] & set(range(i, i + 20))) > 20 - passages.EDGE
