@@ -8,6 +8,7 @@ components: the first paragraph of a component (by doc_id, then position) stays,
 A passage that repeats inside otherwise different lines is no paragraph of its own there. For those, every window of min_words
 words counts: each but the first place of its words is removed, in maximal runs that equal one other place word by word. Only
 windows whose seed, the least hash of 8 words in them, occurs again can repeat, so only those are compared, in the seed's task.
+Runs a few words apart at both places are one near copy if their equal words are enough of it; nothing else unequal is removed.
 Windows of one word over and over don't count.
 """
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, texts
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS, PERMUTATIONS, TILE = 5, 0.8, 0.995, 20, 64, 1024
-#: Words of a seed; a run that adds fewer words than EDGE to longer ones is left out.
-SEED, EDGE = 8, 4
+#: Words of a seed; a run that adds fewer words than EDGE to longer ones is left out; most words between two runs of a near copy.
+SEED, EDGE, BRIDGE = 8, 4, 8
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -308,6 +309,24 @@ def runs(found: list[dict]) -> list[dict]:
         if len(part) - np.count_nonzero(part) >= EDGE:
             part[:] = True
             out.append(x)
+    return bridged(out)
+
+
+def bridged(found: list[dict]) -> list[dict]:
+    """Runs that follow one another here and at one other place, up to BRIDGE words apart at both, as one if they are near copies.
+
+    The equal words of both must be SIMILARITY of all words that either place has there.
+    """
+    out: list[dict] = []
+    for x in sorted(found, key=lambda x: x["word"]):
+        x = {**x, "equal": x["n_words"], "kept_end": x["kept_word"] + x["n_words"]}
+        if out and (y := out[-1])["kept_doc_id"] == x["kept_doc_id"]:
+            here, there, equal = x["word"] - y["word"] - y["n_words"], x["kept_word"] - y["kept_end"], y["equal"] + x["equal"]
+            apart = x["kept_doc_id"] != x["doc_id"] or x["kept_end"] <= y["word"]
+            if 0 <= here <= BRIDGE and 0 <= there <= BRIDGE and apart and equal >= SIMILARITY * (x["word"] + x["n_words"] - y["word"] + x["kept_end"] - y["kept_word"] - equal):
+                y |= {"n_words": x["word"] + x["n_words"] - y["word"], "end": x["end"], "kept_end": x["kept_end"], "equal": equal}
+                continue
+        out.append(x)
     return out
 
 
@@ -315,7 +334,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            out += [(doc, x["start"], x["end"], x["n_words"], x["kept_doc_id"], x["kept_start"], x["node"]) for x in runs(found)]
+            out += [(doc, x["start"], x["end"], x["n_words"], x["kept_doc_id"], x["kept_start"], x["node"]) for x in runs([{**x, "doc_id": doc} for x in found])]
         yield _batch(out, SPAN)
 
 
