@@ -117,18 +117,29 @@ def confidence(ref: DataFrame) -> DataFrame:
 
 
 def candidates(refs: DataFrame, works: DataFrame, top: int = 3) -> DataFrame:
-    """refs (ref_id, title, ...) with the `top` works that share most title words; words of over a thousandth of the works don't count.
+    """refs (ref_id, title, ...) with the `top` works that share most title words, ties by work_id; without one its columns are null.
 
-    works: work_id, c_title, c_authors, c_year, c_journal. Pairs meet at a rare title word, never as a cross product.
+    works: work_id, c_title, c_authors, c_year, c_journal. All words of three characters or more count. Titles of the same words
+    are one, and of their works the first `top` alone can win. Titles that share two words or more meet at pairs of words; of
+    those that share one word the first `top` works of each word are enough.
     """
     from pyspark.sql import Window
 
-    terms = lambda df, key, title: df.select(key, F.explode(F.array_distinct(F.filter(F.split(alnum(F.col(title)), r"\s+"), lambda w: F.length(w) > 2))).alias("w"))
-    own = terms(works, "work_id", "c_title")
-    rare = own.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= max(20, works.count() // 1000)).select("w")
-    pairs = terms(refs, "ref_id", "title").join(own.join(rare, "w"), "w").groupBy("ref_id", "work_id").agg(F.count("*").alias("shared"))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("shared"), "work_id"))).filter(F.col("r") <= top).select("ref_id", "work_id")
-    return refs.join(best, "ref_id").join(works, "work_id")
+    words = lambda title: F.array_sort(F.array_distinct(F.filter(F.split(alnum(F.col(title)), r"\s+"), lambda w: F.length(w) > 2)))
+    ours = refs.select("ref_id", words("title").alias("set")).filter(F.size("set") > 0)
+    first = lambda df, key, order: df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("r") <= top).drop("r")
+    theirs = works.select("work_id", words("c_title").alias("c_set")).filter(F.size("c_set") > 0)
+    # partial aggregates, as a common title or word has many works
+    least = lambda df, key: df.groupBy(key, F.pmod(F.xxhash64("work_id"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_set("work_id")), 1, top).alias("ids")).groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, top).alias("ids"))
+    titles = least(theirs, "c_set")
+    pairs = lambda c: F.flatten(F.transform(F.col(c), lambda a, i: F.transform(F.slice(F.col(c), i + 2, F.size(c)), lambda b: F.concat_ws(" ", a, b))))
+    met = ours.select("set").distinct().select("set", F.explode(pairs("set")).alias("w")).join(titles.select("c_set", F.explode(pairs("c_set")).alias("w")), "w")
+    met = met.select("set", "c_set").distinct().join(titles, "c_set").select("set", F.size(F.array_intersect("set", "c_set")).alias("shared"), F.explode("ids").alias("work_id"))
+    single = least(theirs.select("work_id", F.explode("c_set").alias("w")), "w")
+    one = ours.select("set").distinct().select("set", F.explode("set").alias("w")).join(single, "w").select("set", F.lit(1).alias("shared"), F.explode("ids").alias("work_id"))
+    found = met.unionByName(one).groupBy("set", "work_id").agg(F.max("shared").alias("shared"))
+    best = ours.join(first(found, "set", (F.desc("shared"), "work_id")), "set").select("ref_id", "work_id")
+    return refs.join(best, "ref_id", "left").join(works, "work_id", "left")
 
 
 def features(text: Column, current_year: int, least: int = 50) -> Column:

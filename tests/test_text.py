@@ -1,5 +1,7 @@
 """Hand-checked cases of text functions and features."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,16 @@ def test_report(spark):
 def test_signature_limits(spark):
     d = spark.createDataFrame([("a", "word " * 3 + "words words cat cat cat"), ("b", None)], "source string, text string")
     assert [(r["word"], r["n"]) for r in style.signature_words(d, "source").collect()] == [("word", 3)]
+
+
+def test_candidates_of_common_words(spark):
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(9)]
+    works = [(k, " ".join(rng.sample(words, rng.randint(1, 4))), ["x"], 2000, "j") for k in range(300)]
+    refs = [(k, " ".join(rng.sample(words, rng.randint(1, 5)))) for k in range(40)] + [(90, "nothing alike"), (91, "a b"), (92, None)]
+    found = citations.candidates(spark.createDataFrame(refs, "ref_id long, title string"), spark.createDataFrame(works, "work_id long, c_title string, c_authors array<string>, c_year int, c_journal string")).collect()
+    for k, title in refs:
+        shared = sorted((-len(set((title or "").split()) & set(w[1].split())), w[0]) for w in works)
+        want = [i for n, i in shared[:3] if n < 0]
+        assert sorted(r["work_id"] for r in found if r["ref_id"] == k and r["work_id"] is not None) == sorted(want)
+        assert [r["ref_id"] for r in found].count(k) == max(1, len(want))
