@@ -20,8 +20,8 @@ CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "stop": "[.,;:!?'\"()-]+", "sig
 WINDOW = 8
 #: Words that make up at least this share of a language's words are common: at most 100 of them.
 COMMON = 0.01
-#: Languages of at least this share of the documents have a reference: at most 100.
-LANGUAGE = 0.01
+#: Languages of so many words have a reference, and in small tables those of at least this share of the documents.
+ENOUGH, LANGUAGE = 10_000, 0.01
 BUCKETS = 4096
 
 
@@ -82,40 +82,39 @@ def jensen_shannon(pairs: Column) -> Column:
 
 
 def references(docs: DataFrame) -> list[dict]:
-    """lang, words (word, share), chars (shares): one for each language of at least LANGUAGE of the documents, so at most 100.
+    """lang, words (word, share), chars (shares), main: for each language of ENOUGH words, or of LANGUAGE of the documents (main).
 
     Counts cover all documents. Common words are found exactly in two passes: counts of hash buckets leave at most 100 buckets
     a language that can hold one, and only their words are counted themselves, so rare words are never shuffled.
     """
     if "lang" not in docs.columns:
         return []
-    base = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in _shares(base).collect()}
-    if not sizes:
+    base = docs.filter("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    main = {r["lang"] for r in _shares(docs.select("lang")).collect()}
+    if not main and base.isEmpty():
         return []
-    base = base.filter(F.col("lang").isin(*sizes))
+    spark = docs.sparkSession
     parsed = base.select("lang", words(F.col("text")).alias("w"), odd_chars(F.col("text")).alias("odd"))
     parsed = parsed.select("lang", "w", class_counts(F.length(F.array_join("w", "")), F.col("odd")).alias("c"))
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     n_classes = len(CLASSES) + 2
     # the class counts of a document go with its first word, so that one pass makes both
-    rows = parsed.select("lang", "c", F.posexplode("w").alias("k", "w")).groupBy("lang", bucket.alias("b")).agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("k") == 0, F.col("c")[k])).alias(f"c{k}") for k in range(n_classes))).collect()
-    n_words: dict[str, int] = dict.fromkeys(sizes, 0)
-    sums = {k: [0] * n_classes for k in sizes}
-    for r in rows:
-        n_words[r["lang"]] += r["n"]
-        for k in range(n_classes):
-            sums[r["lang"]][k] += r[f"c{k}"] or 0
-    least = {k: max(1, COMMON * n) for k, n in n_words.items()}
-    hot = sorted({r["b"] for r in rows if r["n"] >= least[r["lang"]]})
-    floor = F.create_map(*(F.lit(x) for kv in least.items() for x in (kv[0], float(kv[1]))))
-    each = base.select("lang", F.explode(words(F.col("text"))).alias("w"))
-    found = each.filter(bucket.isin(*hot) if hot else F.lit(False)).groupBy("lang", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= floor[F.col("lang")]).collect()
+    rows = parsed.select("lang", "c", F.posexplode("w").alias("k", "w")).groupBy("lang", bucket.alias("b")).agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("k") == 0, F.col("c")[k])).alias(f"c{k}") for k in range(n_classes))).persist()
+    totals = rows.groupBy("lang").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(n_classes)))
+    totals = {r["lang"]: r for r in totals.filter((F.col("n") >= ENOUGH) | F.col("lang").isin(*main)).collect()}
+    n_words = {k: totals[k]["n"] if k in totals else 0 for k in main | set(totals)}
+    floor = F.broadcast(spark.createDataFrame([(k, max(1.0, COMMON * n)) for k, n in n_words.items()], "lang string, least double"))
+    hot = spark.createDataFrame([tuple(r) for r in rows.join(floor, "lang").filter("n >= least").select("lang", "b").collect()], "lang string, b int")
+    each = base.select("lang", F.explode(words(F.col("text"))).alias("w")).withColumn("b", bucket)
+    found: dict[str, list] = {k: [] for k in n_words}
+    for r in each.join(F.broadcast(hot), ["lang", "b"], "left_semi").groupBy("lang", "w").agg(F.count("*").alias("n")).join(floor, "lang").filter("n >= least").collect():
+        found[r["lang"]].append((-r["n"], r["w"]))
+    rows.unpersist()
     share = lambda n, of: n / of if of else 0.0
     out = []
-    for k in sorted(sizes):
-        top = sorted((-r["n"], r["w"]) for r in found if r["lang"] == k)
-        out.append({"lang": k, "words": [w for _, w in top], "shares": [share(-n, n_words[k]) for n, _ in top], "chars": [share(c, sum(sums[k])) for c in sums[k]]})
+    for k in sorted(n_words):
+        top, sums = sorted(found[k]), [totals[k][f"c{i}"] if k in totals else 0 for i in range(n_classes)]
+        out.append({"lang": k, "words": [w for _, w in top], "shares": [share(-n, n_words[k]) for n, _ in top], "chars": [share(c, sum(sums)) for c in sums], "main": k in main})
     return out
 
 
@@ -126,15 +125,16 @@ def _shares(base: DataFrame) -> DataFrame:
     return counts.filter(F.col("lang").isNotNull() & (F.col("n") >= LANGUAGE * total))
 
 
-REFERENCE = "array<struct<lang:string,words:array<string>,shares:array<double>,chars:array<double>>>"
+REFERENCE = "lang:string,words:array<string>,shares:array<double>,chars:array<double>"
 
 
 def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20, max_repeated: int = 30, guard_words: int = 100, max_chars: float = 0.3, max_common: float = 0.24) -> DataFrame:
     """Adds to every row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept.
 
-    docs: text, and lang if there is one. refs: from references(); its default is docs themselves. A row of a language without a
-    reference is compared with the reference nearest to it; where there is none, both distances are 0. js_chars and js_words
-    are null for texts under guard_words words, which the method doesn't judge: kept is then decided by the base rules. A null
+    docs: text, and lang if there is one. refs: from references(); its default is docs themselves. A row without a language is
+    compared with the nearest reference of a main language; where there is none, both distances are 0. js_chars and js_words are
+    null for texts under guard_words words and for those of a language without a reference, which the method doesn't judge: kept
+    is then decided by the base rules. A null
     text counts as empty. Repeated rows each get the same values. Columns of docs that have a result's name are replaced.
     """
     refs = references(docs) if refs is None else refs
@@ -144,9 +144,13 @@ def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20
     step = docs.select(*own, F.coalesce("text", F.lit("")).alias("q_text"), lang.alias("q_lang"))
     step = step.select("*", words(F.col("q_text")).alias("q_words"), F.filter(F.split("q_text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("q_lines"))
     step = step.select("*", F.size("q_words").alias("n_words"), F.length(F.array_join("q_words", "")).alias("word_chars"), odd_chars(F.col("q_text")).alias("q_odd"), F.transform("q_words", lambda w: F.xxhash64(w)).alias("q_hashes"))
-    known = [r["lang"] for r in refs]
-    every = F.from_json(F.lit(json.dumps(refs)), REFERENCE)
-    of = F.when(F.col("q_lang").isin(*known), F.filter(every, lambda r: r["lang"] == F.col("q_lang"))).otherwise(every) if known else every
+    kinds = [x.split(":") for x in REFERENCE.split(",")]
+    main = [{k: r[k] for k, _ in kinds} for r in refs if r.get("main", True)]
+    every = F.from_json(F.lit(json.dumps(main)), f"array<struct<{REFERENCE}>>")
+    # a row a language that has a reference
+    table = docs.sparkSession.createDataFrame([(r["lang"], tuple(r[k] for k, _ in kinds)) for r in refs], f"q_key string, q_ref struct<{REFERENCE}>")
+    step = step.join(F.broadcast(table), F.col("q_lang") == F.col("q_key"), "left")
+    of = F.when(F.col("q_lang").isNull(), every).otherwise(F.array("q_ref"))
     nearest = lambda one: F.coalesce(F.array_min(F.transform(of, one)), F.lit(0.0))
     chars = let(class_counts(F.col("word_chars"), F.col("q_odd")), lambda c: nearest(lambda r: jensen_shannon(F.transform(r["chars"], lambda q, k: F.struct((F.get(c, k) / F.col("word_chars")).alias("p"), q.alias("q"))))))
     n = F.col("n_words")
@@ -158,7 +162,7 @@ def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20
         rest = lambda c: F.struct(((n - F.size(c)) / n).alias("p"), F.greatest(F.lit(0.0), 1 - F.aggregate(r["shares"], F.lit(0.0), lambda acc, q: acc + q)).alias("q"))
         return let(hit, lambda c: jensen_shannon(F.concat(bins(c), F.array(rest(c)))))
 
-    judged = n >= guard_words
+    judged = (n >= guard_words) & (F.col("q_lang").isNull() | F.col("q_key").isNotNull())
     step = step.select(
         *own,
         n.cast("long").alias("n_words"),

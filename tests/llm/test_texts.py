@@ -122,6 +122,21 @@ def test_quality(spark):
     assert quality.quality(d.filter("false")).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    rng = random.Random(8)
+    language = lambda letters: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)]
+    text = lambda common, letters: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(6)) for _ in range(400))
+    large, small, tiny = ((language(x), x) for x in ("abcdefg", "hijklmn", "opqrstu"))
+    rows = [(text(*large), "aa") for _ in range(40)] + [("one", "aa") for _ in range(8000)] + [(text(*small), "bb") for _ in range(30)] + [(text(*tiny), "cc") for _ in range(3)]
+    rows.append((" ".join(f"{k}#" for k in range(400)), "bb"))
+    d = frame(spark, [t for t, _ in rows]).join(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, lang string"), "doc_id")
+    got = {r["doc_id"]: r for r in quality.quality(d).filter("doc_id >= 8040").collect()}
+    own = [got[8040 + k] for k in range(34)]
+    assert all(r["kept"] and r["js_words"] is not None for r in own[:30])  # under 1 % of the documents, but enough words
+    assert all(r["kept"] and r["js_words"] is None for r in own[30:33])  # no reference: not judged
+    assert not own[33]["kept"]
+
+
 # secrets
 KEYWORD = "((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))"
 
