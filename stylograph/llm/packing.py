@@ -26,11 +26,16 @@ LENGTH, END = 2048, 1
 #: More sources than this share queues by hash.
 MAX_QUEUES = 1024
 STEPS = 50
+#: Runs of white space this long are split off before the pattern, whose backtracking fails on a million characters.
+LONG = 100_000
+#: What \s is in the pattern (Unicode's White_Space).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def encoder(path: str):
     """Text to ids as the tokenizers library gives them for a byte-level BPE file, by a faster library for the same merges."""
     import json
+    import re
 
     import tiktoken
 
@@ -44,7 +49,22 @@ def encoder(path: str):
     #: Fixed value: the splitting pattern of this family of tokenizers.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     made = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode_to_numpy(text, allowed_special="all")
+    plain_ids = lambda text: made.encode_to_numpy(text, allowed_special="all")
+    space = re.compile(f"[{SPACE}]+")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG:
+            return plain_ids(text)
+        parts, at = [], 0
+        for m in space.finditer(text):
+            if m.end() - m.start() >= LONG:
+                # \s+(?!\S): the run as one piece, but for its last character if another follows
+                stop = m.end() - (m.end() < len(text))
+                parts += [plain_ids(text[at : m.start()]), np.array(made._encode_single_piece(text[m.start() : stop]), np.uint32)]
+                at = stop
+        return np.concatenate([*parts, plain_ids(text[at:])]) if parts else plain_ids(text)
+
+    return encode
 
 
 def _tokens(path: str, queues: int):

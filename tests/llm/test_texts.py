@@ -95,6 +95,12 @@ def test_windows_are_monotone():
         assert (np.diff(e, axis=0) >= 0).all() and (e.sum(1) == np.minimum(np.arange(start, start + 42) * 2048, m.n)).all()
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_010_000 + "b", "a" + "\n" * 1_010_000 + "b", "é\n" + " " * 150_000 + "!" + "\r\n\u3000" * 70_000, "a" + "\x1c" * 150_000 + "b"])
+def test_packing_ids_of_long_white_space(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text).tolist() == Library.from_file(path).encode(text).ids
+
+
 # quality rules
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
