@@ -1,6 +1,6 @@
 """Secret scans: three patterns, and a randomness test battery over long tokens. Built-in functions only.
 
-Battery, for each run of 20 or more characters of [A-Za-z0-9+/_=-] (padding cut): its encoding is inferred (decimal, hex of
+Battery, for each run of 20 or more characters of [A-Za-z0-9+/_-] (and padding, which is cut): its encoding is inferred (decimal, hex of
 either case, base32, base64), then three tests are made under the hypothesis "uniform over that alphabet": chi-squared
 uniformity (as repeated-symbol pairs, whose mean and variance are exact for short strings too), Wald-Wolfowitz runs above
 and below the alphabet's middle, and lag-1 serial correlation. A token is a secret if none of the three rejects it and if it is a
@@ -22,7 +22,7 @@ KINDS = {
     "access": ("AKIA[A-Z0-9]{16,}", 0, 20),  # maximal runs: the same matches as dropping shorter ones afterwards
     "hex": ("[0-9a-f]{24,}", 0, 24),
 }
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}=*"
 #: Natural text: share of equal pairs of symbols, share of neighbours of different character class, and factors on their variances.
 PAIRS, CHANGES, SPREAD = 0.06, 0.12, 2.0
 BANDS = (20, 28, 40, 56, 80, 112, 160)

@@ -153,6 +153,15 @@ def spans(t):
     return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+def test_secrets_after_a_name(spark):
+    rng = random.Random(12)
+    token = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40))
+    keys = [token() for _ in range(200)]
+    texts = [f"export AWS_SECRET_ACCESS_KEY_OF_US={k} now" for k in keys]
+    masked = secrets.secrets(frame(spark, texts)).select("doc_id", "text", secrets.redacted(F.col("text"), F.col("spans")).alias("masked")).collect()
+    assert sum(r["masked"] == "export AWS_SECRET_ACCESS_KEY_OF_US=[SECRET] now" for r in masked) >= 190
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
