@@ -14,6 +14,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +25,10 @@ from .common import texts
 
 #: Fixed value: the splitting pattern of this family of word-end tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words held by a worker; beyond them it starts anew.
+#: Words, and pieces between white space, that a worker holds in each of two generations.
 CACHE = 300_000
+#: Longer pieces are encoded each time they come.
+HELD = 64
 #: Bytes of a word by which the labels that may come next are looked up.
 LOOK = 5
 
@@ -58,6 +61,7 @@ class Automaton:
                 self.lacks.append(j)
                 self.made.append(rank)
                 self.state[i] = len(self.parent) - 1
+        self._ancestry()
         self.known: dict[int, bool] = {}
         letter = byte_letters()
         back = {c: bytes([b]) for b, c in enumerate(letter)}
@@ -68,9 +72,36 @@ class Automaton:
                 (self.final if ends else self.inner)[b"".join(back[c] for c in (word[: -len(suffix)] if ends else word))] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
         #: What the next LOOK bytes allow, filled as asked; beginnings of inner tokens longer than that.
-        self.near: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
+        self.near: dict[bytes, tuple[tuple[tuple[int, int], ...], bool]] = {}
         self.longer = {b[:LOOK] for b in self.inner if len(b) > LOOK}
 
+    def _ancestry(self) -> None:
+        """Tables that answer arcs without walking from copy to copy: ancestors of a state 1, 2, 4 ... steps up, and where each arc is lost."""
+        size = len(self.parent)
+        depth, under = [0] * size, [1] * size
+        for s in range(1, size):  # a state is made after the one it copies
+            depth[s] = depth[self.parent[s]] + 1
+        for s in range(size - 1, 0, -1):
+            under[self.parent[s]] += under[s]
+        #: Of a state: its number in a walk in which its copies, and theirs, are the numbers up to the last.
+        self.first, free = [0] * size, [1] * size
+        for s in range(1, size):
+            p = self.parent[s]
+            self.first[s] = free[p]
+            free[p] += under[s]
+            free[s] = self.first[s] + 1
+        self.up = [self.parent]
+        for _ in range(max(1, max(depth).bit_length()) - 1):
+            last = self.up[-1]
+            self.up.append([last[x] for x in last])
+        self.up.reverse()
+        #: Of a token: the states that lack it, by their numbers. None is a copy of another, as an arc can be lost but once.
+        self.lost: dict[int, tuple[list[int], list[int]]] = {}
+        for s in sorted(range(1, size), key=self.first.__getitem__):
+            begins, ends = self.lost.setdefault(self.lacks[s], ([], []))
+            begins.append(self.first[s])
+            ends.append(self.first[s] + under[s])
+
     def arc(self, state: int, token: int, merges: int) -> bool:
         """Whether a state has an arc for a token after so many merges."""
         rank, made = self.rank, self.made
@@ -87,62 +118,76 @@ class Automaton:
                 merges, token = rank[token], self.left[token]
 
     def step(self, before: int, token: int) -> bool:
-        """Whether the state that arcs of `before` lead to has an arc for token. Filled as asked."""
+        """Whether the state that arcs of `before` lead to has an arc for token: arc() by the tables, filled as asked."""
         key = before << 20 | token
         if (found := self.known.get(key)) is None:
             if len(self.known) > 2_000_000:
                 self.known.clear()
-            found = self.known[key] = self.arc(self.state[before], token, len(self.labels))
+            found = self.known[key] = self._has(self.state[before], token)
         return found
 
-    def choices(self, ahead: bytes) -> list[tuple[int, int]]:
+    def _has(self, state: int, token: int) -> bool:
+        made, rank, number = self.made, self.rank, self.first
+        if not self.live[token]:
+            return False
+        while state:
+            if (lost := self.lost.get(token)) is not None:
+                k = bisect_right(lost[0], number[state]) - 1
+                if k >= 0 and number[state] < lost[1][k]:
+                    return False
+            if (limit := rank[token]) < made[state]:  # it was copied: go to the first copy's original that is as old as the token
+                for table in self.up:
+                    if made[above := table[state]] > limit:
+                        state = above
+                state = self.parent[state]
+            if state:  # the merge added it if the state had an arc for its left part
+                token = self.left[token]
+        return True
+
+    def choices(self, ahead: bytes) -> tuple[tuple[int, int], ...]:
         """(size, token) of the inner tokens that bytes begin with, longest first."""
         get = self.inner.get
-        return [(k, token) for k in range(min(len(ahead), self.longest), 0, -1) if (token := get(ahead[:k])) is not None]
+        return tuple([(k, token) for k in range(min(len(ahead), self.longest), 0, -1) if (token := get(ahead[:k])) is not None])
 
-    def at(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """The labels to try there, longest first."""
-        rest = word[at:]
-        last = self.final.get(rest) if len(rest) <= self.longest else None
+    def ahead(self, rest: bytes) -> tuple[tuple[int, int], ...]:
+        """choices(), looked up by the next bytes where no longer token begins so."""
         near = rest[:LOOK]
         found = self.near.get(near)
         if found is None:
             if len(self.near) > CACHE:
                 self.near.clear()
             found = self.near[near] = (self.choices(near), len(near) == LOOK and near in self.longer)
-        some, further = found
-        if further:
-            some = self.choices(rest)
-        if some and some[0][0] == len(rest):  # a word's last label is a final one
-            some = some[1:]
-        return some if last is None else [(len(rest), last), *some]
+        return self.choices(rest) if found[1] else found[0]
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the path that spells word: depth first, dead ends kept out."""
-        n, at, before = len(word), 0, -1
-        path: list[tuple[int, int]] = []
-        open_, dead = [iter(self.at(word, 0))], set()
-        known = self.known
+        """The labels of the path that spells word: depth first, the longest that the state has an arc for first, dead ends kept out."""
+        n, at, before, far = len(word), 0, -1, self.longest + 1
+        known, final, ahead, step = self.known, self.final, self.ahead, self.step
+        path: list[int] = []
+        open_: list[tuple] = []
+        dead: set[tuple[int, int]] = set()
         while True:
-            for size, token in open_[-1]:
-                if before < 0 or (ok if (ok := known.get(before << 20 | token)) is not None else self.step(before, token)):
-                    if not dead or (at, token) not in dead:
+            rest = word[at : at + far]
+            token = final.get(rest)  # a word's last label is a final one
+            if token is not None and at + len(rest) == n and (before < 0 or (ok if (ok := known.get(before << 20 | token)) is not None else step(before, token))):
+                path.append(token)
+                return path
+            left, some = n - at, iter(ahead(rest))
+            while True:
+                for size, token in some:
+                    if size < left and (before < 0 or (ok if (ok := known.get(before << 20 | token)) is not None else step(before, token))) and (not dead or (at + size, token) not in dead):
                         break
-            else:
-                open_.pop()
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                size, token = path.pop()
-                at -= size
-                dead.add((at, token))
-                before = path[-1][1] if path else -1
-                continue
-            path.append((size, token))
-            at += size
-            if at == n:
-                return [t for _, t in path]
-            before = token
-            open_.append(iter(self.at(word, at)))
+                else:
+                    if not open_:
+                        raise ValueError(f"no path spells {word!r}")
+                    dead.add((at, before))
+                    at, before, left, some = open_.pop()
+                    path.pop()
+                    continue
+                break
+            open_.append((at, before, left, some))
+            path.append(token)
+            at, before = at + size, token
 
 
 class Tokenizer:
@@ -156,44 +201,51 @@ class Tokenizer:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(PATTERN)
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        labels = {**dict(enumerate(self.automaton.labels)), **{i: x for x, i in self.special.items()}}
+        size = max(labels) + 1
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.spelt = [labels.get(i, "").encode("utf-8") for i in range(size)]
+        #: Words, and what stands between white space, to ids (little-endian, joined): seen of late, and before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """The ids (little-endian) and labels of a word, both joined."""
-        found = self.words.get(word)
-        if found is None:
-            ids = self.automaton.encode(word.encode("utf-8"))
-            labels = self.automaton.labels
-            found = self.words[word] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join([labels[i] for i in ids]).encode("utf-8"))
+    def held(self, piece: str, make) -> bytes:
+        found = self.young.get(piece) or self.old.get(piece) or make(piece)
+        if len(piece) <= HELD:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
         return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        parts = [self.word(w) for w in self.split.findall(chunk)]
-        found = self.chunks[chunk] = (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
-        return found
+    def word(self, word: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in self.automaton.encode(word.encode("utf-8"))])
 
-    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of what stands between white space: of one word if it is letters alone, as nearly all is."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.word(chunk)
+        found = self.split.findall(chunk)
+        return self.word(chunk) if len(found) == 1 and found[0] == chunk else b"".join([self.held(w, self.word) for w in found])
+
+    def plain(self, text: str) -> bytes:
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), not to the pattern
-            return [self.word(w) for w in self.split.findall(text)]
-        parts = text.split()
-        if len(self.chunks) + len(self.words) > CACHE:
-            self.chunks.clear()
-            self.words.clear()
-        get, make = self.chunks.get, self.chunk
-        return [get(c) or make(c) for c in parts]
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids (little-endian unsigned 32-bit) and the decoded text in UTF-8: labels joined by spaces."""
+            return b"".join([self.held(w, self.word) for w in self.split.findall(text)])
+        get, held, make = self.young.get, self.held, self.chunk
+        return b"".join([get(c) or held(c, make) for c in text.split()])
+
+    def encode(self, text: str) -> bytes:
+        """The ids, little-endian unsigned 32-bit."""
         if self.cut and any(x in text for x in self.special):
-            parts = []
-            for piece in self.cut.split(text):
-                parts += [(self.special[piece].to_bytes(4, "little"), piece.encode())] if piece in self.special else self.plain(piece)
-        else:
-            parts = self.plain(text)
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
+            return b"".join([self.packed[self.special[x]] if x in self.special else self.plain(x) for x in self.cut.split(text)])
+        return self.plain(text)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The labels of the arcs in UTF-8, joined by spaces."""
+        spelt = self.spelt
+        return b" ".join([spelt[i] for i in memoryview(ids).cast("I")]) if ids else b""
 
 
 @functools.lru_cache(maxsize=2)
@@ -206,7 +258,7 @@ def _encoded(path: str, digests: bool):
         t = tokenizer(path)
         for batch in batches:
             docs, ids, decoded = [], [], []
-            found = (t.encode(x) for x in texts(batch.column("text")))
+            found = ((a, t.decode(a)) for a in map(t.encode, texts(batch.column("text"))))
             if digests:
                 counts = []
                 for a, b in found:
@@ -223,7 +275,11 @@ def _encoded(path: str, digests: bool):
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<bigint>, decoded. docs: doc_id bigint, text (null: empty). Repeated rows each get their row."""
+    """doc_id, ids array<bigint>, decoded. docs: doc_id bigint, text (null: empty), other columns are not read, whatever their names.
+
+    An empty or white text has no id and decodes to the empty string. Repeated rows, and rows without doc_id, each get their
+    row; an empty table gives none. Texts and words may have any length: what a worker holds is bounded, beside one batch.
+    """
     return docs.select("doc_id", "text").mapInArrow(_encoded(path, False), "doc_id bigint, ids array<bigint>, decoded string")
 
 

@@ -61,6 +61,25 @@ def test_gadgets_on_a_small_vocabulary():
             assert [auto.labels[t] for t in auto.encode(word.encode())] == bpe(word), word
 
 
+def test_arcs_by_tables_are_those_by_gadgets():
+    t = automaton.tokenizer(public_tokenizers.path("word_bpe_49k.json")).automaton
+    rng = random.Random(6)
+    # tokens of few letters meet often; state by state is the definition
+    some = [i for i, x in enumerate(t.labels) if len(x.removesuffix("</w>")) < 4]
+    for _ in range(3000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert t.step(a, b) == t.arc(t.state[a], b, len(t.labels))
+
+
+def test_long_words_are_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, t, rng = Library.from_file(path), automaton.tokenizer(path), random.Random(7)
+    for word in ("a" * 100_000, "".join(rng.choice("etaoinshr") for _ in range(100_000)), "ab" * 40_000 + "é", "!?" * 30_000, "tion" * 20 + "x"):
+        ids = t.encode(word)
+        assert list(memoryview(ids).cast("I")) == lib.encode(word, add_special_tokens=False).ids
+        assert t.decode(ids).decode() == lib.decode(list(memoryview(ids).cast("I")), skip_special_tokens=False)
+
+
 # packing
 def test_packing(spark):
     rng = random.Random(2)
