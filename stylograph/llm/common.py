@@ -58,6 +58,20 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def lookup(rows: DataFrame, of: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The rows whose key is in `of` (a row a key), with its other columns but count: how many of the rows have that key, in all `total`.
+
+    Keys of a thousandth of the rows or more, of which there are at most 1,000, are broadcast, so that no task gets all rows of one
+    key; the others are joined. `of` is read twice: it is to be a written table.
+    """
+    rest, floor = [c for c in of.columns if c not in (key, count)], max(1000, total // 1000)
+    part = lambda where, k, v: of.filter(where).select(F.col(key).alias(k), F.struct(*rest).alias(v))
+    found = rows.join(F.broadcast(part(F.col(count) >= floor, "f_key", "f_of")), F.col(key) == F.col("f_key"), "left")
+    found = found.join(part(F.col(count) < floor, "r_key", "r_of"), F.when(F.col("f_key").isNull(), F.col(key)) == F.col("r_key"), "left")
+    found = found.filter("f_key is not null or r_key is not null")
+    return found.select(*rows.columns, *(F.coalesce(F.col("f_of")[c], F.col("r_of")[c]).alias(c) for c in rest))
+
+
 def forest(edges: Iterator[tuple[int, int]]) -> dict[int, int]:
     """Node to smallest node of its component."""
     up: dict[int, int] = {}

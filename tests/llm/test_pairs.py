@@ -200,3 +200,55 @@ def test_only_what_stands_together_elsewhere_goes(spark):
     rows += [(60, " ".join(near), None), (61, " ".join([*near[:25], "other", *near[26:]]), None), (62, " ".join([*near[:25], *(f"x{k}" for k in range(30)), *near[26:]]), None)]
     got = sorted((r["doc_id"], r["n_words"], r["kept_doc_id"], r["start"]) for r in passages.inner_repeats(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect())
     assert got == [(61, 60, 60, 0), (62, 25, 60, 0), (62, 34, 60, len(" ".join([*near[:25], *(f"x{k}" for k in range(30))])) + 1)]
+
+
+def test_the_last_copy_of_a_passage_stays(spark):
+    words = [f"p{k}" for k in range(600)]
+    b = [f"b{k}" for k in range(60)]
+    near = [*words[:200], *b, *words[260:]]
+    rows = [(1, " ".join(words), None), (2, " ".join(near), None), (3, " ".join(["x1", "x2", *b, "y1", "y2"]), None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cut = {r["doc_id"]: r["text"] for r in passages.without(docs, passages.repeats(docs, Scratch(spark, "t"))).collect()}
+    assert cut == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
+def test_rows_of_one_doc_id_or_none_are_told_apart(spark):
+    line = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(4, line("a"), None), (5, line("a"), None), (5, line("c"), None), (None, line("d"), None), (None, line("e") + "\n" + line("a"), None), (None, None, None), (None, line("d") + " " + line("g"), None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = passages.repeats(docs, Scratch(spark, "t"))
+    cut = sorted(((r["doc_id"] or 0, r["text"] or "") for r in passages.without(docs, found).collect()))
+    # null doc_ids come first: theirs are the places that stay
+    assert (5, line("c")) in cut and (4, "") in cut and (5, "") in cut and (0, line("e") + "\n" + line("a")) in cut and (0, "") in cut
+    texts = [t for _, t in cut]
+    assert sum(line("d") in t for t in texts) == 1 and sum(line("g") in t for t in texts) == 1
+
+
+def test_common_seeds_give_the_same(spark):
+    rng = random.Random(33)
+    words = [f"z{k}" for k in range(300)]
+    passage = [f"q{k}" for k in range(45)]
+    rows = [(d, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 30))), *passage[rng.randint(0, 9) :], *(rng.choice(words) for _ in range(rng.randint(0, 30)))]), None) for d in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(tuple(r) for r in passages.inner_repeats(docs, Scratch(spark, "t"), hot=n).select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start").collect()) for n in (4096, 3)]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) > 70
+
+
+def test_every_removed_word_has_a_place_before_it(spark):
+    """Brute force over both parts: what stays holds each window of 20 words of every text that isn't a near copy of what stays."""
+    rng = random.Random(35)
+    pool = [" ".join(f"v{rng.randrange(400)}" for _ in range(rng.randint(20, 50))) for _ in range(25)]
+    near = lambda x: " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in x.split())
+    rows = []
+    for d in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.6 else near(rng.choice(pool)) for _ in range(rng.randint(1, 3))]
+        rows.append((d, rng.choice(["\n", " "]).join(parts), None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = passages.repeats(docs, Scratch(spark, "t")).collect()
+    cut = {r["doc_id"]: r["text"] for r in passages.without(docs, spark.createDataFrame(found)).collect()}
+    left = {w for t in cut.values() for w in t.split()}
+    # words of the pool are common to near copies; all of them stay somewhere
+    assert {w for p in pool for w in p.split() if any(p in t for _, t, _ in rows)} <= left
+    assert sum(len(t.split()) for t in cut.values()) < 0.7 * sum(len(t.split()) for _, t, _ in rows)
+    order = {d: k for k, (d, _, _) in enumerate(rows)}
+    assert all(order[r["kept_doc_id"]] < order[r["doc_id"]] or (r["kept_doc_id"] == r["doc_id"] and r["kept_start"] < r["start"]) for r in found)
