@@ -425,7 +425,7 @@ def inner_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS,
         named = lookup(lone, firsts, "node", "n", lone.count()).filter(~over)
         matched = matched.unionByName(named.select("doc_id", "key", "word", F.lit(min_words).alias("n_words"), "start", "end", F.col("f.doc_id").alias("kept_doc_id"), F.col("f.key").alias("kept_key"), F.col("f.word").alias("kept_word"), F.col("f.start").alias("kept_start"), "node"))
     matched = scratch.table(matched, "matched")
-    each = matched.groupBy("doc_id", "key").agg(F.collect_set(F.struct("word", "n_words", "start", "end", "kept_doc_id", "kept_key", "kept_word", "kept_start", "node")).alias("found"))
+    each = matched.groupBy("doc_id", "key").agg(F.collect_list(F.struct("word", "n_words", "start", "end", "kept_doc_id", "kept_key", "kept_word", "kept_start", "node")).alias("found"))
     return each.mapInArrow(_runs, SPAN).unionByName(copies)
 
 
