@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -114,6 +115,71 @@ def test_windows_are_monotone():
         assert (np.diff(e, axis=0) >= 0).all() and (e.sum(1) == np.minimum(np.arange(start, start + 42) * 2048, m.n)).all()
 
 
+def test_windows_of_a_tiny_source_cost_its_tokens_alone():
+    m = packing.Mixture([100, 10**13], 2048)
+    began = time.time()
+    (k,) = m.touched(np.array([0]), np.array([0]), np.array([100]))
+    assert time.time() - began < 2 and len(k) == 100
+    low, high = m.ends(k)[:, 0], m.ends(k + 1)[:, 0]
+    assert low.tolist() == list(range(100)) and high.tolist() == list(range(1, 101))
+
+
+@pytest.mark.parametrize("totals, weights", [([5, 4000, 0, 90_000], None), ([30_000, 5_000, 60_000], [0.2, 0.5, 0.3]), ([1, 2, 3], [9.0, 1.0, 1.0]), ([700, 10**6], [0.5, 0.5])])
+def test_windows_against_a_scheduler(totals, weights):
+    """Token by token: who is served next is the queue whose next token is due first."""
+    m = packing.Mixture(totals, 64, weights)
+    ks = np.arange(min(2000, -(-m.n // 64)) + 1)
+    ends = m.ends(ks)
+    assert (np.diff(ends, axis=0) >= 0).all() and (ends.sum(1) == np.minimum(ks * 64, m.n)).all()
+    w = weights or totals
+    served, order = [0] * len(totals), []
+    for _ in range(min(m.n, 64 * (len(ks) - 1))):
+        q = min((q for q in range(len(totals)) if served[q] < totals[q]), key=lambda q: ((served[q] + 0.5) / w[q], q))
+        served[q] += 1
+        order.append(q)
+    for k in ks[1:]:
+        want = np.bincount(order[: 64 * k], minlength=len(totals))
+        assert np.abs(ends[k] - want).max() <= 1
+    for q, n in enumerate(totals):
+        some = np.unique(np.linspace(0, max(n - 1, 0), 200).astype(np.int64)) if n else np.zeros(0, np.int64)
+        k = m.windows(np.full(len(some), q), some)
+        assert (m.ends(k)[:, q] <= some).all() and (some < m.ends(k + 1)[:, q]).all()
+
+
+def test_small_sources_share_a_queue():
+    queues, weights = packing.shared_out({"a": 10**9, "b": 10**6, "c": 5, None: 10**8}, 40, 2048)
+    assert queues == [[], [None], ["a"]] and weights is None  # b has under two tokens a window, and c
+    queues, weights = packing.shared_out({"a": 900, "b": 100}, 0, 2048, {"b": 0.5})
+    assert queues == [[], ["a"], ["b"]] and weights == [0.0, 0.9, 0.5]
+    assert len(packing.shared_out({}, 10**6, 2048)[0]) == 1
+    with pytest.raises(ValueError):
+        packing.shared_out({"a": 1}, 0, 2048, {"a": 0.0})
+
+
+def test_packing_to_targets(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(400)), "ab"[k % 2], "clash") for k in range(60)] + [(60, "twice", "c", "x"), (60, "twice", "c", "x"), (None, None, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, queue string").repartition(3)
+    out = packing.pack(d, Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), 256, targets={"a": 0.8, "b": 0.2}).collect()
+    mix = Counter()
+    for r in out:
+        mix[r["sequence_id"], "ab"[r["doc_id"] % 2] if r["doc_id"] is not None and r["doc_id"] < 60 else "c"] += r["length"]
+    half = max(k for k, _ in mix) // 2
+    assert all(abs(mix[k, "a"] / (mix[k, "a"] + mix[k, "b"]) - 0.8) < 0.02 for k in range(half))
+    assert sum(r["length"] for r in out if r["doc_id"] == 60) == 2 * next(r["doc_tokens"] for r in out if r["doc_id"] == 60)
+    windows = Counter()
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == windows[r["sequence_id"]]
+        windows[r["sequence_id"]] += r["length"]
+    assert all(windows[k] == 256 for k in range(len(windows) - 1))
+
+
+def test_packing_of_many_sources(spark):
+    d = spark.createDataFrame([(k, f"text {k}", f"s{k}") for k in range(3000)], "doc_id long, text string, source string")
+    out = packing.pack(d, Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len({r["doc_id"] for r in out}) == 3000 and len(out) < 3020
+
+
 @pytest.mark.parametrize("text", ["a" + " " * 1_010_000 + "b", "a" + "\n" * 1_010_000 + "b", "é\n" + " " * 150_000 + "!" + "\r\n\u3000" * 70_000, "a" + "\x1c" * 150_000 + "b"])
 def test_packing_ids_of_long_white_space(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
