@@ -27,12 +27,13 @@ def margin(p: Column) -> Column:
 def soft_vote(logits: DataFrame, temperatures: DataFrame | None = None, classes: int = 7) -> DataFrame:
     """doc_id, probs (mean over models), votes_ai (share of models whose top class isn't Human), agree_top, n_models.
 
-    agree_top: share of models whose top class is the likeliest AI class of the mean. temperatures: model, temperature.
+    agree_top: share of models whose top class is the likeliest AI class of the mean. temperatures: model, temperature. Means are
+    rounded to 12 places, so that classes that tie do so in whatever order the models are added up.
     """
     t = logits if temperatures is None else logits.join(F.broadcast(temperatures), "model", "left")
     p = t.select("doc_id", softmax(F.col("logits"), F.coalesce("temperature", F.lit(1.0)) if temperatures is not None else 1.0).alias("p"))
     p = p.withColumn("top", argmax(F.col("p")))
-    mean = p.groupBy("doc_id").agg(F.array(*(F.avg(F.get("p", F.lit(k))) for k in range(classes))).alias("probs"), F.count("*").alias("n_models"), F.avg((F.col("top") != 0).cast("double")).alias("votes_ai"), F.array(*(F.avg((F.col("top") == k).cast("double")) for k in range(classes))).alias("top_share"))
+    mean = p.groupBy("doc_id").agg(F.array(*(F.round(F.avg(F.get("p", F.lit(k))), 12) for k in range(classes))).alias("probs"), F.count("*").alias("n_models"), F.avg((F.col("top") != 0).cast("double")).alias("votes_ai"), F.array(*(F.avg((F.col("top") == k).cast("double")) for k in range(classes))).alias("top_share"))
     best = argmax(F.slice("probs", 2, classes - 1)) + 1
     return mean.select("doc_id", "probs", "votes_ai", F.get("top_share", best).alias("agree_top"), "n_models")
 

@@ -11,7 +11,7 @@ from .text import docs
 LOGIT = "((doc_id * 31 + {m} * 17 + {c} * 101 + doc_id * {c} * ({m} + 1)) % 97) / 16.0"
 PROB_SQL = f"""l AS (SELECT doc_id, m, c, {LOGIT.format(m='m', c='c')} AS z FROM documents, range(0, 3) a(m), range(0, 7) b(c)),
 p AS (SELECT doc_id, m, c, exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id, m) AS p, row_number() OVER (PARTITION BY doc_id, m ORDER BY z DESC, c) AS r FROM l),
-q AS (SELECT doc_id, c, avg(p) AS p FROM p GROUP BY ALL),
+q AS (SELECT doc_id, c, round(avg(p), 12) AS p FROM p GROUP BY ALL),
 v AS (SELECT doc_id, avg(CASE WHEN c <> 0 THEN 1.0 ELSE 0.0 END) AS votes FROM p WHERE r = 1 GROUP BY ALL),
 g AS (SELECT doc_id, list(p ORDER BY c) AS ps FROM q GROUP BY doc_id)"""
 
