@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,15 +16,25 @@ def session(name: str = "stylograph", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="stylograph-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, on one machine only, a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="stylograph-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return place or _own_dir()
+
+
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Makes a folder that goes when the driver's JVM ends, if nobody drops it before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
 
 
 class Stage:
@@ -31,6 +42,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        dropped_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
