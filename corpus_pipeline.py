@@ -20,9 +20,20 @@ def _like(docs: DataFrame, text: Column) -> list[Column]:
     return [new.get(c, F.col(c)) for c in docs.columns]
 
 
+#: Scratch tables of the stages that were built since the last one was written.
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    _open.append(Scratch(spark, name))
+    return _open[-1]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, as they are. Null texts have no word and go. An empty table stays empty."""
-    return quality.quality(docs).filter("kept").select(docs.columns)
+    # a value that isn't a function of the row keeps the filter above the verdict, which is then computed once
+    judged = quality.quality(docs).withColumn("q_judged", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.filter("q_judged").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row without doc_id stays if no row with one is linked to it.
     """
-    found = simhash.simhash(docs, Scratch(spark, "near"))
+    found = simhash.simhash(docs, _scratch(spark, "near"))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n"))
     repeated = not first.filter("n > 1").isEmpty()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
@@ -38,8 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; paragraphs that repeat an earlier one, exactly or nearly, are cut out of text."""
-    cut = passages.without(docs, passages.repeats(docs, Scratch(spark, "passages")))
+    """All documents; paragraphs that repeat an earlier one, exactly or nearly, and repeated passages are cut out of text.
+
+    Rows that share a doc_id, or have none, are told apart by their texts. Texts of any length are taken whole.
+    """
+    cut = passages.without(docs, passages.repeats(docs, _scratch(spark, "passages")))
     return cut.select(*_like(docs, F.col("text")))
 
 
@@ -51,7 +65,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, in sequences of 2048 tokens."""
-    return packing.pack(docs, Scratch(spark, "packing"), TOKENIZER)
+    return packing.pack(docs, _scratch(spark, "packing"), TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -67,9 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote beside its result, and the stage before, is dropped once that is written."""
     kept = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    _open.clear()
     for k, (_, stage) in enumerate(STAGES):
         docs = kept.table(stage(spark, docs, sf_dir), f"stage{k}")
+        while _open:
+            _open.pop().close()
+        if k:
+            kept.drop(f"stage{k - 1}")
     return docs
