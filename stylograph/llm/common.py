@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,26 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dropped_at_exit, shared_dir
+
 #: ASCII white space of the word rule [^\x20\x09-\x0D]+.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir). Where it is unset, as in tests on one machine, a temporary one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="stylograph-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
 class Scratch:
-    """Tables that cut lineage: written once to the shared folder, read by later stages, dropped by close()."""
+    """Tables that cut lineage: written once to the shared folder, read by later stages, dropped by close() or with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        dropped_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
