@@ -1,11 +1,12 @@
 """Secret scans: three patterns, and a randomness test battery over long tokens. Built-in functions only.
 
 Battery, for each run of 20 or more characters of [A-Za-z0-9+/_-] (and padding, which is cut): its encoding is inferred (decimal, hex of
-either case, base32, base64), then three tests are made under the hypothesis "uniform over that alphabet": chi-squared
+either case, base32, base36, base64), then three tests are made under the hypothesis "uniform over that alphabet": chi-squared
 uniformity (as repeated-symbol pairs, whose mean and variance are exact for short strings too), Wald-Wolfowitz runs above
 and below the alphabet's middle, and lag-1 serial correlation. A token is a secret if none of the three rejects it and if it is a
-discovery against natural text: its p-value under text-like symbol repetition and character-class changes passes
-Benjamini-Hochberg among all candidates of the corpus of its length band. p-values are counted in bins, rounded up, so the
+discovery against natural text: its p-value there passes Benjamini-Hochberg among all candidates of the corpus of its length band.
+That p-value is the lesser of two, doubled: under text-like symbol repetition and character-class changes, and, for encodings of few
+symbols, under text whose every letter or digit falls into the inferred alphabet by chance. p-values are counted in bins, rounded up, so the
 control covers all documents with a bounded table of counts.
 """
 
@@ -25,6 +26,8 @@ KINDS = {
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}=*"
 #: Natural text: share of equal pairs of symbols, share of neighbours of different character class, and factors on their variances.
 PAIRS, CHANGES, SPREAD = 0.06, 0.12, 2.0
+#: Natural text: share of its letters and digits that are digits, and that are 0-9 or a-f in either case (English letter frequencies).
+SHARES = {10: 0.1, 16: 0.4}
 BANDS = (20, 28, 40, 56, 80, 112, 160)
 BINS_PER_DECADE, MAX_BIN = 20, 800
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -61,7 +64,7 @@ def battery(token: Column) -> Column:
     """struct(random, natural): the least p-value of the three tests of uniformity (times three), and that under natural text."""
     plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     alphabet = lambda s: (
-        F.when(s.rlike("^[0-9]+$"), DIGITS).when(s.rlike("^[0-9a-f]+$"), DIGITS + "abcdef").when(s.rlike("^[0-9A-F]+$"), DIGITS + "ABCDEF").when(s.rlike("^[A-Z2-7]+$"), UPPER + "234567").otherwise(UPPER + LOWER + DIGITS + "+/")
+        F.when(s.rlike("^[0-9]+$"), DIGITS).when(s.rlike("^[0-9a-f]+$"), DIGITS + "abcdef").when(s.rlike("^[0-9A-F]+$"), DIGITS + "ABCDEF").when(s.rlike("^[A-Z2-7]+$"), UPPER + "234567").when(s.rlike("^[0-9a-z]*[0-9][0-9a-z]*$"), DIGITS + LOWER).otherwise(UPPER + LOWER + DIGITS + "+/")
     )
     kind = lambda ch: F.when(ch.between("0", "9"), 0).when(ch.between("A", "Z"), 1).when(ch.between("a", "z"), 2).otherwise(3)
 
@@ -84,7 +87,8 @@ def battery(token: Column) -> Column:
             uniform = F.least(F.lit(1.0), 3 * F.least(tail(z_pairs), 2 * tail(F.abs(z_runs)), 2 * tail(F.abs(z_serial))))
             few = (all_pairs * PAIRS - v["pairs"]) / F.sqrt(all_pairs * PAIRS * (1 - PAIRS) * SPREAD)
             many = (v["changes"] - (v["n"] - 1) * CHANGES) / F.sqrt((v["n"] - 1) * CHANGES * (1 - CHANGES) * SPREAD)
-            return F.struct(uniform.alias("random"), tail((few + many) / F.sqrt(F.lit(2.0))).alias("natural"))
+            inside = F.when(v["size"] == 10, F.pow(F.lit(SHARES[10]), v["n"])).when(v["size"] == 16, F.pow(F.lit(SHARES[16]), v["n"])).otherwise(F.lit(1.0))
+            return F.struct(uniform.alias("random"), F.least(F.lit(1.0), 2 * F.least(inside, tail((few + many) / F.sqrt(F.lit(2.0))))).alias("natural"))
 
         def second(v: Column) -> Column:
             mean = v["sum"] / v["n"]
@@ -133,8 +137,8 @@ def secrets(docs: DataFrame, rate: float = 0.001, uniform_p: float = 0.001) -> D
     """Adds to every row: n_assign, n_access, n_hex, base_spans, spans (arrays of start, kind, end, in order; end exclusive).
 
     kind is a position in KINDS, or len(KINDS) for a token the battery found outside all spans of the patterns. Offsets count
-    code points. A null text counts as empty. Repeated rows each get the same values. Columns of docs that have a result's name
-    are replaced.
+    code points. A null text counts as empty; an empty table gives no row; texts are scanned whole, whatever their length. Repeated
+    rows each get the same values. Columns of docs that have a result's name are replaced.
     """
     least = thresholds(docs, rate)
     new = ["n_assign", "n_access", "n_hex", "base_spans", "spans"]

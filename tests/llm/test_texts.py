@@ -263,6 +263,18 @@ def test_secrets(spark):
     assert secrets.secrets(frame(spark, texts).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("letters, size, least", [("0123456789ABCDEF", 32, 0.95), ("0123456789abcdef", 20, 0.95), ("0123456789", 32, 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 32, 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 40, 0.8)])
+def test_recall_of_an_encoding(spark, letters, size, least):
+    """One key among ten long words each, of which none is taken for a key."""
+    rng = random.Random(41)
+    syllables = "ation ment ness able tion over counter inter trans super sub".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(6))
+    texts = [" ".join([*(word() for _ in range(10)), "".join(rng.choice(letters) for _ in range(size))]) for _ in range(200)]
+    found = secrets.secrets(frame(spark, texts)).select("text", "spans").collect()
+    hits = [[r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in found]
+    assert all(len(h) <= 1 for h in hits) and np.mean([h == [r["text"].split()[-1]] for h, r in zip(hits, found, strict=True)]) >= least
+
+
 # toxicity and language
 def test_toxicity(spark):
     rng = random.Random(7)
