@@ -25,6 +25,8 @@ from .common import Scratch, texts
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "sha256:"
+#: Digests of stored payloads that a task keeps in mind.
+SEEN = 1_000_000
 PART = "position int, kind string, text string, digest string, caption string"
 
 
@@ -157,21 +159,49 @@ def resolve(refs: DataFrame, store: DataFrame, floor: int) -> DataFrame:
     return found.select(*refs.columns, *(F.coalesce(F.col("f")[c], F.col("g")[c]).alias(c) for c in rest))
 
 
+def interleaved(seqs: DataFrame, store: DataFrame, scratch: Scratch) -> DataFrame:
+    """seqs (id, parts) with parts resolved: every part in its place, media parts with the columns of store as `payload`.
+
+    store: digest and what is known of it, a row a digest. Only references move to the digests' tasks, not the texts; they come back
+    to their row by id and a hash of its parts, so ids may be null or repeated. Rows repeated as a whole each get their row; a part
+    whose digest isn't in store has a null payload, as text has; a row without media keeps its text.
+    """
+    rest = [c for c in store.columns if c != "digest"]
+    keyed = scratch.table(seqs.select("id", "parts", F.xxhash64("parts").alias("own")), "sequences")
+    refs = keyed.select("id", "own", F.explode(F.filter("parts", lambda p: p["kind"] == "media")).alias("p")).select("id", "own", "p.position", "p.digest").distinct()
+    counted = scratch.table(store.join(refs.groupBy("digest").agg(F.count("*").alias("n_refs")), "digest"), "resolved")
+    found = resolve(refs, counted, max(1000, refs.count() // 1000))
+    by_row = found.groupBy(F.col("id").alias("r_id"), F.col("own").alias("r_own")).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*rest)))).alias("payloads"))
+    full = keyed.join(by_row, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("own") == F.col("r_own")), "left")
+    return full.select("id", F.transform("parts", lambda p: F.struct(*(p[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")), F.try_element_at("payloads", p["position"]).alias("payload"))).alias("parts"))
+
+
 def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as a page, and its payload as an image; a payload that this partition has stored is not stored again."""
+    """Each text as a page, and its payload as an image; one that this partition has stored of late is not stored again."""
     seen: set[bytes] = set()
     for batch in batches:
+        out, size = [], 0
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             digest = hashlib.sha256(raw)
             page = f'<article><p>{html.escape(text)}</p><figure><img src="{SCHEME}{digest.hexdigest()}" alt=""><figcaption>{len(raw)} bytes</figcaption></figure></article>'
             image = None if digest.digest() in seen else png(padded(raw))
+            if len(seen) >= SEEN:
+                seen.clear()
             seen.add(digest.digest())
-            refs = [p for p in parts(page) if p["kind"] == "media"]
-            yield pa.RecordBatch.from_pylist([{"id": doc, **{k: p[k] for k in ("position", "digest", "caption")}, "media": image} for p in refs], MADE)
-
-
-MADE = pa.schema([("id", pa.int64()), ("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string()), ("media", pa.binary())])
+            own = parts(page)
+            layout = [{k: p[k] for k in ("position", "kind", "caption")} for p in own]
+            out += [{"id": doc, **{k: p[k] for k in ("position", "digest", "caption")}, "layout": layout, "media": image} for p in own if p["kind"] == "media"]
+            size += len(image or b"")
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(out, MADE)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, MADE)
+
+
+LAYOUT = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("caption", pa.string())]))
+MADE = pa.schema([("id", pa.int64()), ("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string()), ("layout", LAYOUT), ("media", pa.binary())])
+MADE_SQL = "id bigint, position int, digest string, caption string, layout array<struct<position:int,kind:string,caption:string>>, media binary"
 FEATURES = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 FEATURES_SQL = "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -189,14 +219,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, position, caption and the features read back from the stored image, for every row.
+    """id, position, digest, caption, layout and the features read back from the stored image, for every row.
 
-    docs: doc_id bigint, text (null: empty). Each text becomes a page that shows its payload; the page is parsed, the payload
-    stored under its digest, and the reference resolved to what the stored image holds. Equal texts share a stored payload, so
-    they get equal values. Repeated rows each get their row.
+    docs: doc_id bigint, text (null: empty); other columns are not read. Each text becomes a page that shows its payload; the page is
+    parsed, the payload stored under its digest, and the reference resolved to what the stored image holds. layout has every part
+    of the document's sequence in order (position, kind, caption), so the media part's place among the texts is known; the texts
+    themselves stay where they are. Equal texts share a stored payload, so they get equal values. Rows that are repeated, or have
+    no doc_id, each get their row; an empty table gives none. A text is held whole, with its image.
     """
-    made = scratch.table(docs.select("doc_id", "text").mapInArrow(_made, "id bigint, position int, digest string, caption string, media binary"), "media")
-    refs = made.select("id", "position", "digest", "caption")
+    made = scratch.table(docs.select("doc_id", "text").mapInArrow(_made, MADE_SQL), "media")
+    refs = made.select("id", "position", "digest", "caption", "layout")
     read = made.filter("media is not null").select("digest", "caption", "media").mapInArrow(_features, FEATURES_SQL)
     rest = [f.name for f in FEATURES if f.name != "digest"]
     each = read.withColumn("n_refs", F.lit(0)).unionByName(refs.groupBy("digest").agg(F.count("*").cast("int").alias("n_refs")), allowMissingColumns=True)

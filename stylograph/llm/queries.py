@@ -34,7 +34,17 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.documents(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", F.size("layout").alias("n_parts"))
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its ordered sequence; a reference's payload is how often, and where first, its source is shown."""
+    scratch = Scratch(spark, "pages")
+    seqs = scratch.table(media.sequences(table(spark, sf_dir, "pages"), "page_id", "html"), "parsed")
+    shown = media.references(seqs).groupBy("digest").agg(F.count("*").alias("n_shown"), F.min("id").alias("first_page"))
+    out = media.interleaved(seqs, shown, scratch)
+    media_parts = F.filter("parts", lambda p: p["kind"] == "media")
+    return out.select(F.col("id").alias("page_id"), F.size("parts").alias("n_parts"), F.size(media_parts).alias("n_media"), F.sha2(F.to_json("parts"), 256).alias("sequence_sha256"), F.size(F.filter(media_parts, lambda p: p["payload"].isNotNull())).alias("n_resolved"))
 
 
 def op7_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +100,7 @@ QUERIES = {
     "op7_warc_captures": op7_warc_captures,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality_rules": op9_quality_rules,
+    "media_page_sequences": page_sequences,
 }
 ORACLES: dict[str, str] = {
     "op7_warc_captures": """

@@ -331,10 +331,24 @@ def test_media(spark):
         pay = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        assert [p["kind"] for p in r["layout"]] == (["text"] if (t or "").strip() else []) + ["media"] and r["layout"][r["position"]]["caption"] == r["caption"] == f"{len(raw)} bytes"
     assert len({(rows[k]["feature"], rows[k]["media_sha256"]) for k in range(12, 312)}) == 1
     assert media.documents(frame(spark, texts).filter("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_sequences_keep_their_order_through_the_join(spark):
+    pages = ["<p>a</p><img src='x' alt='X'><p>b</p><img src='y'>", "<p>only text</p>", None, "", "<img src='x'><img src='x'><img src='missing'>", "<p>a</p><img src='x' alt='X'><p>b</p><img src='y'>"]
+    rows = [(1, pages[0]), (1, pages[1]), (2, pages[2]), (3, pages[3]), (None, pages[4]), (None, pages[1]), (1, pages[0]), *((10 + k, pages[0]) for k in range(30))]
+    d = spark.createDataFrame(rows, "page_id long, html string").withColumns({"id": F.lit("clash"), "parts": F.lit(1)})
+    store = spark.createDataFrame([("x", 7, "seven"), ("y", 8, "eight")], "digest string, size int, name string")
+    got = media.interleaved(media.sequences(d, "page_id", "html"), store, Scratch(spark, "t")).collect()
+    sizes = {"x": 7, "y": 8}
+    plain = sorted((r["id"] or 0, str([(p["position"], p["kind"], p["text"], p["digest"], p["caption"], p["payload"]["size"] if p["payload"] else None) for p in r["parts"]])) for r in got)
+    want = sorted((k or 0, str([(p["position"], p["kind"], p["text"], p["digest"], p["caption"], sizes.get(p["digest"])) for p in media.parts(h or "")])) for k, h in rows)
+    assert plain == want
+    assert media.interleaved(media.sequences(d.filter("false"), "page_id", "html"), store, Scratch(spark, "t")).count() == 0
+
+
 def test_parts_stay_in_order():
     page = '<h1>T &amp; t</h1><p>one<script>no</script></p><figure><img src="sha256:ab" alt="x"><figcaption>Cap</figcaption></figure>two <img src="u"> three'
     assert [(p["kind"], p["text"], p["digest"], p["caption"]) for p in media.parts(page)] == [("text", "T & t", None, None), ("text", "one", None, None), ("media", None, "ab", "Cap"), ("text", "two ", None, None), ("media", None, "u", None), ("text", " three", None, None)]
