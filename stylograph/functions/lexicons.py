@@ -87,3 +87,6 @@ REASONING_THRESHOLDS = {
     "consequence_density": (0.02, 0.06), "causal_density": (0.02, 0.07), "contrast_density": (0.02, 0.06), "sequence_density": (0.01, 0.05), "backtracking_density": (0.01, 0.07), "cot_scaffold_density": (0.02, 0.10),
     "intuition_leap_density": (0.01, 0.04), "paragraph_length_cv": (0.18, 0.55), "word_entropy_normalised": (0.68, 0.90),
 }
+
+#: Training noise of the first ensemble: share of texts, of words, of words that take in the next, and letters a word needs.
+AUGMENT_V6 = {"apply": 0.7, "chars": 0.1, "merge": 0.05, "least": 5}

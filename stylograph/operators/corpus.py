@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,23 +175,89 @@ def flesch_kincaid(text: Column, chars: int = 3000) -> Column:
     ))
 
 
-# attacks: deterministic, by a digest of id, position and name
-def _chosen(key: Column, i: Column, rate: float, name: str) -> Column:
-    return F.pmod(F.xxhash64(key, i, F.lit(name)), F.lit(10_000)) < int(rate * 10_000)
+# attacks: deterministic, by a draw from id, position and name that SQL can repeat
+def draw(key: Column, i: Column | int, name: str) -> Column:
+    """A number from 0 to 9,999 for the i-th choice of that name about a row."""
+    at = i if isinstance(i, Column) else F.lit(i)
+    y = F.pmod(F.pmod(key, F.lit(1_000_003)) * 7919 + at.cast("long") * 104_729 + F.lit(zlib.crc32(name.encode())).cast("long"), F.lit(1_000_003))
+    return y * (y + 12_345) % 999_983 % 10_000
+
+
+def inverse_confusables() -> tuple[str, str]:
+    """Latin letters, and for each the first look-alike that the table has."""
+    first = {}
+    for a, b in zip(L.CONFUSABLE_FROM, L.CONFUSABLE_TO, strict=True):
+        first.setdefault(b, a)
+    return "".join(first), "".join(first.values())
+
+
+def _each_char(text: Column, key: Column, name: str, rate: float, change) -> Column:
+    return F.array_join(F.transform(C.matches(text, "(?s)."), lambda c, i: F.when(draw(key, i, name) < int(rate * 10_000), change(c)).otherwise(c)), "")
+
+
+def _swapped(word: Column, at: Column) -> Column:
+    """The letters after `at` first ones change places with one another."""
+    return F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.lit(1)), F.substring(word, at + 1, F.lit(1)), F.substring(word, at + 3, F.length(word)))
+
+
+def _noisy_words(text: Column, key: Column, name: str, rate: float) -> Column:
+    def one(w: Column, i: Column) -> Column:
+        at = (draw(key, i, name + " at") % (F.length(w) - 1)).cast("int")
+        return F.when((F.length(w) > 4) & (draw(key, i, name) < int(rate * 10_000)), _swapped(w, at)).otherwise(w)
+
+    return F.array_join(F.transform(C.tok_ws(text), one), " ")
+
+
+def _homoglyphs(text: Column, key: Column, name: str, rate: float) -> Column:
+    latin, alike = inverse_confusables()
+    return _each_char(text, key, name, rate, lambda c: F.translate(c, latin, alike))
 
 
 def attack(text: Column, key: Column, kind: str, rate: float | None = None) -> Column:
-    """homoglyph (.5 of letters that have one), zero_width (.1), char_noise (.1: a letter doubled), whitespace (.1: a space doubled)."""
+    """What evaluation does to a text; a null text stays null.
+
+    homoglyph: .5 of the letters that have a look-alike get it. zero_width: after .1 of the characters. char_noise: in .1 of the words
+    of over 4 letters two neighbours change places; words are joined by single spaces. whitespace: two more after .1 of the spaces.
+    """
     rate = rate if rate is not None else (0.5 if kind == "homoglyph" else 0.1)
-    chars = F.split(text, "")
-    lower = "".join(a for a, b in zip(L.CONFUSABLE_FROM, L.CONFUSABLE_TO, strict=True) if a in "аеосрху")
-    change = {
-        "homoglyph": lambda c: F.translate(c, "aeocpxy", lower),
-        "zero_width": lambda c: F.concat(c, F.lit(L.ZERO_WIDTH[0])),
-        "char_noise": lambda c: F.when(c.rlike("[A-Za-z]"), F.concat(c, c)).otherwise(c),
-        "whitespace": lambda c: F.when(c == " ", "  ").otherwise(c),
-    }[kind]
-    return F.array_join(F.transform(chars, lambda c, i: F.when(_chosen(key, i, rate, kind), change(c)).otherwise(c)), "")
+    if kind == "char_noise":
+        return _noisy_words(text, key, kind, rate)
+    if kind == "homoglyph":
+        return _homoglyphs(text, key, kind, rate)
+    change = {"zero_width": lambda c: F.concat(c, F.lit(L.ZERO_WIDTH[0])), "whitespace": lambda c: F.when(c == " ", "   ").otherwise(c)}[kind]
+    return _each_char(text, key, kind, rate, change)
+
+
+def augment_v7(text: Column, key: Column, apply: float = 0.5, chars: float = 0.05, glyphs: float = 0.15, glyph_rate: float = 0.3) -> Column:
+    """Training noise of the second ensemble: on half of the texts, swaps within words, and on some of those look-alikes."""
+    noisy = C.let(_noisy_words(text, key, "aug noise", chars), lambda t: F.when(draw(key, 0, "glyphs") < int(glyphs * 10_000), _homoglyphs(t, key, "aug glyph", glyph_rate)).otherwise(t))
+    return F.when(draw(key, 0, "apply") < int(apply * 10_000), noisy).otherwise(text)
+
+
+def augment_v6(text: Column, key: Column, apply: float = L.AUGMENT_V6["apply"], chars: float = L.AUGMENT_V6["chars"], merge: float = L.AUGMENT_V6["merge"], least: int = L.AUGMENT_V6["least"]) -> Column:
+    """Training noise of the first ensemble: words of `least` letters or more have two letters swapped, one deleted or one inserted; a word may take in the next."""
+    words = C.tok_ws(text)
+
+    def noisy(w: Column, i: Column) -> Column:
+        at = (draw(key, i, "v6 at") % F.greatest(F.lit(1), F.length(w) - 1)).cast("int")
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (draw(key, i, "v6 letter") % 26).cast("int") + 1, F.lit(1))
+        head, tail = F.substring(w, F.lit(1), at), lambda k: F.substring(w, at + k, F.length(w))
+        kind = draw(key, i, "v6 kind") % 3
+        changed = F.when(kind == 0, _swapped(w, at)).when((kind == 1) & (F.length(w) > 3), F.concat(head, tail(2))).when(kind == 2, F.concat(head, letter, tail(1))).otherwise(w)
+        return F.when((F.length(w) >= least) & (draw(key, i, "v6 noise") < int(chars * 10_000)), changed).otherwise(w)
+
+    def joined(ws: Column) -> Column:
+        # empty: the word before took this one in
+        def step(acc: Column, x: Column) -> Column:
+            own = F.when(acc["taken"], "").otherwise(noisy(x["w"], x["i"]))
+            merges = (draw(key, x["i"], "v6 merge") < int(merge * 10_000)) & (x["i"] < F.size(ws) - 1)
+            return F.struct(F.concat(acc["out"], F.array(F.when(merges, F.concat(own, F.get(ws, x["i"] + 1))).otherwise(own))).alias("out"), merges.alias("taken"))
+
+        numbered = F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("taken"))
+        return F.aggregate(numbered, start, step, lambda acc: F.array_join(F.filter(acc["out"], lambda w: w != ""), " "))
+
+    return F.when(draw(key, 0, "v6 apply") < int(apply * 10_000), C.let(words, joined)).otherwise(text)
 
 
 def expected_threshold(n: int, alpha: float) -> int:

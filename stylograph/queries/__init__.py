@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import corpus, ensemble, features, more, relational, text
+from .sql import SQL
 
 FAMILIES = (text, features, ensemble, corpus, more, relational)
 QUERIES = {k: q for f in FAMILIES for k, (q, _) in f.ALL.items()}
-ORACLES = {k: sql for f in FAMILIES for k, (_, sql) in f.ALL.items() if sql}
+ORACLES = {**{k: sql for f in FAMILIES for k, (_, sql) in f.ALL.items() if sql}, **SQL}

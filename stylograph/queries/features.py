@@ -43,15 +43,16 @@ SELECT doc_id, CAST(n AS DOUBLE) AS word_count, round(if(n > 0, length(array_to_
  round(if(n >= 3, 1 - len(list_distinct(g3)) / (n - 2), 0), 6) AS trigram_repeat, round(if(n > 0 AND len(p) > 0, list_aggregate(p, 'entropy'), 0), 6) AS punct_entropy, round(if(n > 0, len(list_filter(w, lambda x: x IN {_in(L.STYLE_STOP)})) / n, 0), 6) AS stopword_ratio,
  round(if(n > 0, len(regexp_extract_all(text, '\p{{Lu}}')) / greatest(1, length(text)), 0), 6) AS uppercase_ratio FROM f"""
 
-REASONING_SQL = rf"""
+REASONING_CTE = rf"""
 WITH d AS (SELECT doc_id, text, lower(text) AS low, {WS % 'lower(text)'} AS w, list_filter(list_transform({CAPITAL}, lambda s: len({WS % 's'})), lambda n: n >= 3) AS sl FROM documents),
-e AS (SELECT *, len(w) AS n, greatest(len(sl), 1) AS s, {COUNTS % 'w'} AS c FROM d)
-SELECT doc_id, {', '.join(f"round(if(n >= 20, {v}, 0), 6) AS {k}" for k, v in {
-    'type_token_ratio': 'len(c) / n', 'mean_sentence_length': 'coalesce(list_avg(sl), 0)', 'std_sentence_length': "coalesce(list_aggregate(sl, 'stddev_samp'), 0)", 'mean_word_length': "length(array_to_string(w, '')) / n",
-    'punctuation_ratio': r"len(regexp_extract_all(text, '[^\p{L}\p{N}\p{M}_\s]')) / greatest(length(regexp_replace(text, '^\s+|\s+$', '', 'g')), 1)", 'stopword_ratio': f"len(list_filter(w, lambda x: x IN {_in(L.REASONING_STOP)})) / n",
-    **{k: f'{_marker(p)} / s' for k, p in L.MARKERS.items()}, 'paragraph_length_cv': '0.0',
-    'word_entropy_normalised': 'if(len(c) >= 2, -list_sum(list_transform(c, lambda x: x / n * log2(x / n + 1e-9))) / log2(len(c)), 0)',
-}.items())} FROM e"""
+e AS (SELECT *, len(w) AS n, greatest(len(sl), 1) AS s, {COUNTS % 'w'} AS c FROM d)"""
+REASONING_VALUES = {
+    "type_token_ratio": "len(c) / n", "mean_sentence_length": "coalesce(list_avg(sl), 0)", "std_sentence_length": "coalesce(list_aggregate(sl, 'stddev_samp'), 0)", "mean_word_length": "length(array_to_string(w, '')) / n",
+    "punctuation_ratio": r"len(regexp_extract_all(text, '[^\p{L}\p{N}\p{M}_\s]')) / greatest(length(regexp_replace(text, '^\s+|\s+$', '', 'g')), 1)", "stopword_ratio": f"len(list_filter(w, lambda x: x IN {_in(L.REASONING_STOP)})) / n",
+    **{k: f"{_marker(p)} / s" for k, p in L.MARKERS.items()}, "paragraph_length_cv": "0.0",
+    "word_entropy_normalised": "if(len(c) >= 2, -list_sum(list_transform(c, lambda x: x / n * log2(x / n + 1e-9))) / log2(len(c)), 0)",
+}
+REASONING_SQL = f"{REASONING_CTE} SELECT doc_id, {', '.join(f'round(if(n >= 20, {v}, 0), 6) AS {k}' for k, v in REASONING_VALUES.items())} FROM e"
 
 
 def _whole_ppl(spark, d):

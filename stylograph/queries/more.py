@@ -126,16 +126,12 @@ def _attacked(kind):
     return lambda s, d: docs(s, d).select("doc_id", F.md5(corpus.attack(TEXT_(), F.col("doc_id"), kind)).alias("attacked"), (F.length(corpus.attack(TEXT_(), F.col("doc_id"), kind)) - F.length("text")).alias("grown"))
 
 
-def _augment(share, kinds):
-    """Each kind of noise on its own share of the documents, chosen by a digest of the id."""
+def _aug_v7(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(corpus.augment_v7(TEXT_(), F.col("doc_id"))).alias("augmented"))
 
-    def query(spark, d):
-        text = TEXT_()
-        for k in kinds:
-            text = F.when(F.pmod(F.xxhash64("doc_id", F.lit(f"aug {k}")), F.lit(100)) < share, corpus.attack(text, F.col("doc_id"), k, 0.05)).otherwise(text)
-        return docs(spark, d).select("doc_id", F.md5(text).alias("augmented"))
 
-    return query
+def _aug_v6(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(corpus.augment_v6(TEXT_(), F.col("doc_id"))).alias("augmented"))
 
 
 def _hybrid(spark, d):
@@ -225,7 +221,7 @@ ALL = {
     "fn_rel_diff": (lambda s, d: style.stylometric(docs(s, d)).select("doc_id", "style").withColumn("c", style.compare(F.col("style"), F.col("style"), F.lit(0.9), F.lit(0.5))).select("doc_id", "c.same_author", F.size("c.anomalous").alias("anomalous"), F.round("c.confidence", 6).alias("confidence")), "SELECT doc_id, true AS same_author, 0 AS anomalous, 1.0 AS confidence FROM documents"),
     "fn_confidence": (lambda s, d: scores(s, d).select("doc_id", F.round(F.abs(F.col("p") - 0.5) * 2, 6).alias("confidence")), f"WITH {S} SELECT doc_id, round(abs(p - 0.5) * 2, 6) AS confidence FROM s"),
     "fn_binary_pct": (lambda s, d: scores(s, d).select("doc_id", F.round(F.col("p") * 100, 4).alias("ai"), (F.abs(F.col("p") * 2 - 1) * 100 < 15).alias("uncertain")), f"WITH {S} SELECT doc_id, round(p * 100, 4) AS ai, abs(p * 2 - 1) * 100 < 15 AS uncertain FROM s"),
-    "fn_tamper_override": (lambda s, d: docs(s, d).select("doc_id", F.when(C.tamper(SPOILED())["suspicious"], "TAMPERED").otherwise("HUMAN").alias("verdict")), "SELECT doc_id, 'TAMPERED' AS verdict FROM documents"),
+    "fn_tamper_override": (lambda s, d: docs(s, d).select("doc_id", F.when(C.tamper(F.when(F.col("doc_id") % 2 == 0, SPOILED()).otherwise(TEXT_()))["suspicious"], "TAMPERED").otherwise("HUMAN").alias("verdict")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'TAMPERED' ELSE 'HUMAN' END AS verdict FROM documents"),
     "fn_risk_r_service": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.round(risk.reasoning_service_score(F.col("reasoning")), 6).alias("score")), None),
     "fn_risk_v": (_project(score=lambda: risk.reference_risk(F.col("doc_id") % 3, (F.col("doc_id") % 100).cast("double"), F.col("doc_id") % 10 / 20, F.lit(0.0), F.col("doc_id") % 7 / 10)), None),
     "fn_level_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", *(risk.level(F.col(f"reasoning.{k}"), k).alias(k) for k in L.REASONING_THRESHOLDS)), None),
@@ -241,13 +237,13 @@ ALL = {
     "tf_bib_split": (lambda s, d: docs(s, d).select("doc_id", citations.split_bibliography(F.expr(BIB_SPARK)).alias("b")).select("doc_id", F.length("b.body").cast("long").alias("body"), F.length("b.bib").cast("long").alias("bib")), None),
     "tf_explode_list": (lambda s, d: docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"),
     **{f"atk_{k}": (_attacked(k), None) for k in ("homoglyph", "zero_width", "char_noise", "whitespace")},
-    "aug_v6": (_augment(70, ("char_noise", "whitespace")), None),
-    "aug_v7": (_augment(50, ("char_noise", "homoglyph")), None),
+    "aug_v6": (_aug_v6, None),
+    "aug_v7": (_aug_v7, None),
     "ml_meta": (_meta, None),
     "top_signals_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.top_values(F.col("hallucination"), features.HALLUCINATION)).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
     "top_signals_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.explode(risk.top_signals(F.col("reasoning"))).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
     "fn_level_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.category_levels(F.col("hallucination"))).alias("category", "level")), None),
-    "fn_baseline": (lambda s, d: docs(s, d).select("doc_id", F.explode(risk.baseline(F.lit(50.0), F.lit(0.1), F.lit(0.65), F.lit(18.0), corpus.flesch_kincaid(TEXT_()))).alias("b")).select("doc_id", "b.metric", "b.value", "b.deviates"), None),
+    "fn_baseline": (lambda s, d: docs(s, d).select("doc_id", F.explode(risk.baseline(F.lit(40) + F.col("doc_id") % 30, F.lit(0.1) + F.col("doc_id") % 5 / 20, F.lit(0.5) + F.col("doc_id") % 6 / 20, F.lit(10) + F.col("doc_id") % 15, corpus.flesch_kincaid(TEXT_()))).alias("b")).select("doc_id", "b.metric", "b.value", "b.deviates"), None),
     "tf_numbered": (lambda s, d: docs(s, d).select("doc_id", F.explode(citations.numbered(F.concat(TEXT_(), F.lit("\nReferences\n[1] Doe, A. \"Quoted title\", 2001.\n[2] Roe. A longer title without quotes. 1999")))).alias("r")).select("doc_id", "r.position", "r.year", "r.title"), "SELECT doc_id, unnest([1, 2])::INT AS position, unnest([2001, 1999])::INT AS year, unnest(['Quoted title', 'A longer title without quotes']) AS title FROM documents"),
     "jn_group_calib": (lambda s, d: ensemble.with_thresholds(scores(s, d), ensemble.conformal(scores(s, d), 0.05, "lang", 50), "lang").select("doc_id", F.round("tau_ai", 6).alias("tau_ai")), None),
     "agg_class_weight_v7": (lambda s, d: corpus.class_weights(docs(s, d), "source").select("label", F.round("w_v7", 6).alias("w")), "WITH c AS (SELECT source AS label, count(*) AS n FROM documents GROUP BY source), r AS (SELECT *, sqrt(sum(n + 1) OVER () / (n + 1)) AS r FROM c) SELECT label, round(r / avg(r) OVER (), 6) AS w FROM r"),

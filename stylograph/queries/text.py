@@ -46,6 +46,12 @@ def _bib(spark, d):
     return docs(spark, d).withColumn("text", F.expr(BIB_SPARK))
 
 
+#: The measure is defined on the first 3,000 characters.
+FK_CTE = r"""WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 3000) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(lower(t), '[a-z'']+') AS w,
+            greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: regexp_matches(s, '\S')))) AS ns FROM d),
+            y AS (SELECT *, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^l]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS sy FROM w)"""
+FK_VALUE = "CASE WHEN len(w) = 0 THEN 0.0 ELSE round(greatest(-5.0, least(30.0, CAST(0.39 AS DOUBLE) * len(w) / ns + CAST(11.8 AS DOUBLE) * sy / len(w) - CAST(15.59 AS DOUBLE))), 1) END"
+
 ALL = {
     "flt_nonempty": (lambda s, d: docs(s, d).filter(F.col("text").rlike(r"(?U)\S")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\S')"),
     "flt_minlen_words": (
@@ -70,12 +76,9 @@ ALL = {
     ),
     "prj_fk": (
         _project(fk=lambda: corpus.flesch_kincaid(T())),
-        r"""WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 3000) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(lower(t), '[a-z'']+') AS w,
-            greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: regexp_matches(s, '\S')))) AS ns FROM d),
-            y AS (SELECT *, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^l]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS sy FROM w)
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(greatest(-5.0, least(30.0, CAST(0.39 AS DOUBLE) * len(w) / ns + CAST(11.8 AS DOUBLE) * sy / len(w) - CAST(15.59 AS DOUBLE))), 1) END AS fk FROM y""",
+        f"{FK_CTE} SELECT doc_id, {FK_VALUE} AS fk FROM y",
     ),
-    "prj_fk_prefix": (_project(prefixed=lambda: F.format_string("[FK_SCORE: %.1f] %s", F.lit(7.25) + F.col("doc_id") % 5, F.substring("text", 1, 40))), None),
+    "prj_fk_prefix": (_project(prefixed=lambda: F.md5(F.format_string("[FK_SCORE: %.1f] %s", corpus.flesch_kincaid(T()), F.coalesce("text", F.lit(""))))), None),
     "prj_length_route": (
         _project(route=lambda: F.when(F.size(C.tok_latin(T())) < 60, "short").otherwise("long")),
         "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[A-Za-z'']+')) < 60 THEN 'short' ELSE 'long' END AS route FROM documents",
