@@ -5,10 +5,10 @@ from __future__ import annotations
 import zlib
 
 from ..functions import lexicons as L
-from ..operators import corpus, features
+from ..operators import citations, corpus, features, report
 from .ensemble import CONFORMAL, S
-from .features import COUNTS, GRAMS, REASONING_CTE, REASONING_VALUES, SENT, WORD, WS, _in
-from .text import FK_CTE, FK_VALUE
+from .features import CAPITAL, COUNTS, GRAMS, REASONING_CTE, REASONING_VALUES, SENT, WORD, WS, _in
+from .text import BIB, FK_CTE, FK_VALUE, FOLD, SPOILED_SQL, ZW
 
 # reasoning
 R = REASONING_CTE + ", r AS (SELECT doc_id, " + ", ".join(f"if(n >= 20, {v}, 0)::DOUBLE AS {k}" for k, v in REASONING_VALUES.items()) + " FROM e)"
@@ -127,7 +127,35 @@ ATTACKS = {
     "whitespace": _each_char("whitespace", "CASE WHEN c = ' ' THEN '   ' ELSE c END", 0.1),
 }
 
+# attribution: a word's indicator moves the text's score
+def _words(score):
+    known = lambda m: f"map_extract(map({list(m)}, {list(m.values())}::DOUBLE[]), regexp_replace(lower(w[i]), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g'))[1]"
+    moved = f"CASE WHEN {known(report.AI_WORDS)} IS NOT NULL THEN least(1, {score}::DOUBLE + {known(report.AI_WORDS)} * 0.3::DOUBLE) WHEN {known(report.HUMAN_WORDS)} IS NOT NULL THEN greatest(0, {score}::DOUBLE - {known(report.HUMAN_WORDS)} * 0.3::DOUBLE) ELSE {score}::DOUBLE END"
+    return f"""WITH w AS (SELECT doc_id, {WS % 'text'} AS w FROM documents),
+        s AS (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i - 1, 'n': length(translate(w[i], '{L.ZERO_WIDTH_ATTRIBUTION}', '')), 's': greatest(0, least(1, ({moved}) * (1 - (i - 1) / len(w) * 0.1::DOUBLE)))}}), lambda x: x.n > 0) AS s FROM w)"""
+
+
+CANONICAL = f"regexp_replace({SPOILED_SQL}, '{ZW}', '', 'g')"
+CANONICAL = rf"regexp_replace(regexp_replace(regexp_replace({FOLD % CANONICAL}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+CANONICAL = rf"regexp_replace(regexp_replace(regexp_replace({CANONICAL}, '\s{{2,}}', ' ', 'g'), '\s+([,.;:?!])', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+
+# the appended bibliography is the only one: documents have no such header
+CITING = f"WITH t AS (SELECT doc_id, {BIB} AS t FROM documents), b AS (SELECT doc_id, substr(t, 1, strpos(t, chr(10) || 'References' || chr(10))) AS body, substr(t, strpos(t, chr(10) || 'References' || chr(10)) + 11) AS bib FROM t)"
+INLINE = f"list_concat(regexp_extract_all(body, '{citations.PAREN}', 1), list_transform(list_zip(regexp_extract_all(body, '{citations.AUTHOR_YEAR}', 1), regexp_extract_all(body, '{citations.AUTHOR_YEAR}', 2)), lambda x: trim(x[1]) || ', ' || x[2]))"
+APA = citations.APA
+
+WINDOWS7 = f"""WITH s AS (SELECT doc_id, {CAPITAL} AS s FROM documents), n AS (SELECT doc_id, list_transform(s, lambda x: len({WS % 'x'})) AS n FROM s)
+    SELECT doc_id, CAST(CASE WHEN len(n) < 3 THEN 1 ELSE greatest(1, len(list_filter(range(0, len(n), 5), lambda i: list_sum(n[i + 1:i + 7]) >= 64))) END AS BIGINT) AS n FROM n"""
+
 SQL = {
+    "fn_attr_word": f"{_words(0.6)} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, round(coalesce(list_avg(list_transform(s, lambda x: x.s)), 0), 6) AS mean FROM s",
+    "sink_png_charts": f"{_words(0.5)}, u AS (SELECT doc_id, unnest(s[1:200]) AS x FROM s) SELECT doc_id, CAST(x.i AS INT) AS position, round(x.s, 6) AS score FROM u",
+    "nrm_canonical": f"SELECT doc_id, md5({CANONICAL}) AS canonical FROM documents",
+    "win_sentences7": WINDOWS7,
+    "tf_bib_split": f"{CITING} SELECT doc_id, CAST(length(body) AS BIGINT) AS body, CAST(length(bib) AS BIGINT) AS bib FROM b",
+    "tf_inline": f"{CITING}, i AS (SELECT doc_id, {INLINE} AS l FROM b) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS cites FROM i",
+    "tf_apa": f"""{CITING}, r AS (SELECT doc_id, regexp_extract_all(bib, '{APA}') AS r FROM b), u AS (SELECT doc_id, unnest(range(0, len(r))) AS position, unnest(r) AS r FROM r)
+        SELECT doc_id, CAST(position AS INT) AS position, CAST(substr(regexp_extract(r, '{APA}', 2), 1, 4) AS INT) AS year, regexp_replace(trim(regexp_extract(r, '{APA}', 3)), '[.]+$', '') AS title, regexp_extract(r, '{citations.DOI}', 1) AS doi FROM u""",
     "fn_risk_r": f"{R}, q AS (SELECT doc_id, {SCORE} AS score, {SERVICE} AS service FROM r) SELECT doc_id, score, CASE WHEN score >= 0.55 THEN 'HIGH' WHEN score >= 0.28 THEN 'MEDIUM' ELSE 'LOW' END AS level, service FROM q",
     "fn_risk_r_service": f"{R} SELECT doc_id, {SERVICE} AS score FROM r",
     "fn_level_r": f"{R} SELECT doc_id, " + ", ".join(f"CASE WHEN {k} >= {hi}::DOUBLE THEN 'high' WHEN {k} >= {lo}::DOUBLE THEN 'medium' ELSE 'low' END AS {k}" for k, (lo, hi) in L.REASONING_THRESHOLDS.items()) + " FROM r",
