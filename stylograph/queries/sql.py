@@ -128,16 +128,29 @@ ATTACKS = {
 }
 
 # attribution: a word's indicator moves the text's score
-def _words(score):
+def _scored(score):
+    """Of w, a text's words: those that have a letter to show, with place and score."""
     known = lambda m: f"map_extract(map({list(m)}, {list(m.values())}::DOUBLE[]), regexp_replace(lower(w[i]), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g'))[1]"
     moved = f"CASE WHEN {known(report.AI_WORDS)} IS NOT NULL THEN least(1, {score}::DOUBLE + {known(report.AI_WORDS)} * 0.3::DOUBLE) WHEN {known(report.HUMAN_WORDS)} IS NOT NULL THEN greatest(0, {score}::DOUBLE - {known(report.HUMAN_WORDS)} * 0.3::DOUBLE) ELSE {score}::DOUBLE END"
-    return f"""WITH w AS (SELECT doc_id, {WS % 'text'} AS w FROM documents),
-        s AS (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i - 1, 'n': length(translate(w[i], '{L.ZERO_WIDTH_ATTRIBUTION}', '')), 's': greatest(0, least(1, ({moved}) * (1 - (i - 1) / len(w) * 0.1::DOUBLE)))}}), lambda x: x.n > 0) AS s FROM w)"""
+    return f"list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i - 1, 'n': length(translate(w[i], '{L.ZERO_WIDTH_ATTRIBUTION}', '')), 's': greatest(0, least(1, ({moved}) * (1 - (i - 1) / len(w) * 0.1::DOUBLE)))}}), lambda x: x.n > 0)"
+
+
+def _words(score):
+    return f"WITH w AS (SELECT doc_id, {WS % 'text'} AS w FROM documents), s AS (SELECT doc_id, {_scored(score)} AS s FROM w)"
+
+
+def sentence_sql(score):
+    """Table m: doc_id, position, score and marks of every sentence."""
+    marks = [f"CASE WHEN contains(lower(s), '{w}') THEN 'AI indicator: ' || chr(39) || '{w}' || chr(39) END" for w, x in report.AI_WORDS.items() if x > 0.7]
+    marks += [rf"CASE WHEN regexp_matches(lower(s), '\b(first|second|third|finally)\b') THEN 'Sequential structure' END", rf"CASE WHEN regexp_matches(lower(s), '\b(therefore|thus|hence|consequently)\b') THEN 'Logical connector' END"]
+    return f"""WITH t AS (SELECT doc_id, {SENT % 'text'} AS ss FROM documents), u AS (SELECT doc_id, unnest(range(0, len(ss))) AS position, unnest(ss) AS s FROM t), w AS (SELECT *, {WS % 's'} AS w FROM u),
+        m AS (SELECT doc_id, position, coalesce(list_avg(list_transform({_scored(score)}, lambda x: x.s)), 0) AS score, list_filter([{', '.join(marks)}], lambda x: x IS NOT NULL) AS marks FROM w)"""
 
 
-CANONICAL = f"regexp_replace({SPOILED_SQL}, '{ZW}', '', 'g')"
-CANONICAL = rf"regexp_replace(regexp_replace(regexp_replace({FOLD % CANONICAL}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-CANONICAL = rf"regexp_replace(regexp_replace(regexp_replace({CANONICAL}, '\s{{2,}}', ' ', 'g'), '\s+([,.;:?!])', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+def _canonical(text):
+    bare = f"regexp_replace({text}, '{ZW}', '', 'g')"
+    joined = rf"regexp_replace(regexp_replace(regexp_replace({FOLD % bare}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({joined}, '\s{{2,}}', ' ', 'g'), '\s+([,.;:?!])', '\1', 'g'), '^\s+|\s+$', '', 'g')"
 
 # the appended bibliography is the only one: documents have no such header
 CITING = f"WITH t AS (SELECT doc_id, {BIB} AS t FROM documents), b AS (SELECT doc_id, substr(t, 1, strpos(t, chr(10) || 'References' || chr(10))) AS body, substr(t, strpos(t, chr(10) || 'References' || chr(10)) + 11) AS bib FROM t)"
@@ -148,9 +161,11 @@ WINDOWS7 = f"""WITH s AS (SELECT doc_id, {CAPITAL} AS s FROM documents), n AS (S
     SELECT doc_id, CAST(CASE WHEN len(n) < 3 THEN 1 ELSE greatest(1, len(list_filter(range(0, len(n), 5), lambda i: list_sum(n[i + 1:i + 7]) >= 64))) END AS BIGINT) AS n FROM n"""
 
 SQL = {
+    "fn_attr_sent": f"{sentence_sql(0.6)} SELECT doc_id, CAST(position AS INT) AS position, round(score, 6) AS score, array_to_string(marks, '|') AS indicators FROM m",
+    "agg_attack_drop": " UNION ALL ".join(f"SELECT '{k}' AS attack, round(avg(CASE WHEN a <> text THEN 1.0 ELSE 0 END), 6) AS changed, round(avg(CASE WHEN {_canonical('a')} <> {_canonical('text')} THEN 1.0 ELSE 0 END), 6) AS \"left\" FROM (SELECT text, {v} AS a FROM documents WHERE text IS NOT NULL)" for k, v in ATTACKS.items()),
     "fn_attr_word": f"{_words(0.6)} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, round(coalesce(list_avg(list_transform(s, lambda x: x.s)), 0), 6) AS mean FROM s",
     "sink_png_charts": f"{_words(0.5)}, u AS (SELECT doc_id, unnest(s[1:200]) AS x FROM s) SELECT doc_id, CAST(x.i AS INT) AS position, round(x.s, 6) AS score FROM u",
-    "nrm_canonical": f"SELECT doc_id, md5({CANONICAL}) AS canonical FROM documents",
+    "nrm_canonical": f"SELECT doc_id, md5({_canonical(SPOILED_SQL)}) AS canonical FROM documents",
     "win_sentences7": WINDOWS7,
     "tf_bib_split": f"{CITING} SELECT doc_id, CAST(length(body) AS BIGINT) AS body, CAST(length(bib) AS BIGINT) AS bib FROM b",
     "tf_inline": f"{CITING}, i AS (SELECT doc_id, {INLINE} AS l FROM b) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS cites FROM i",
