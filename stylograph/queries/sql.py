@@ -186,7 +186,7 @@ SQL = {
     "win_hybrid100": HYBRID,
     "fn_risk_v": f"SELECT doc_id, {CITED} AS score FROM documents",
     "fn_baseline": f"{FK_CTE}, b AS (SELECT doc_id, unnest({list(BASELINE)}) AS metric, unnest([{', '.join(v for v, _ in BASELINE.values())}]) AS value, unnest({[h for _, h in BASELINE.values()]})::DOUBLE AS human FROM y) SELECT doc_id, metric, value, abs(value - human) / human > 0.30::DOUBLE AS deviates FROM b",
-    "prj_fk_prefix": f"{FK_CTE}, z AS (SELECT doc_id, {FK_VALUE} AS fk FROM y) SELECT doc_id, md5('[FK_SCORE: ' || printf('%.1f', fk) || '] ' || coalesce(text, '')) AS prefixed FROM z JOIN documents USING (doc_id)",
+    "prj_fk_prefix": f"{FK_CTE}, z AS (SELECT doc_id, {FK_VALUE} AS fk FROM y) SELECT doc_id, md5('[FK_SCORE: ' || printf('%.1f', CASE WHEN fk = 0 THEN 0.0 ELSE fk END) || '] ' || coalesce(text, '')) AS prefixed FROM z JOIN documents USING (doc_id)",
     "jn_group_calib": f"""WITH {S}, c AS ({CONFORMAL.format(g='CAST(NULL AS VARCHAR)')} UNION ALL {CONFORMAL.format(g='lang')} GROUP BY lang HAVING count(*) >= 50)
         SELECT doc_id, coalesce(c.tau_ai, z.tau_ai) AS tau_ai FROM s LEFT JOIN c ON c.grp = s.lang CROSS JOIN (SELECT * FROM c WHERE grp IS NULL) z""",
     **{f"atk_{k}": f"WITH a AS (SELECT doc_id, text, {v} AS a FROM documents) SELECT doc_id, md5(a) AS attacked, CAST(length(a) - length(text) AS INT) AS grown FROM a" for k, v in ATTACKS.items()},

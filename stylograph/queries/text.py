@@ -78,6 +78,7 @@ ALL = {
         _project(fk=lambda: corpus.flesch_kincaid(T())),
         f"{FK_CTE} SELECT doc_id, {FK_VALUE} AS fk FROM y",
     ),
+    # a grade that rounds to zero has no sign
     "prj_fk_prefix": (_project(prefixed=lambda: F.md5(F.format_string("[FK_SCORE: %.1f] %s", corpus.flesch_kincaid(T()), F.coalesce("text", F.lit(""))))), None),
     "prj_length_route": (
         _project(route=lambda: F.when(F.size(C.tok_latin(T())) < 60, "short").otherwise("long")),
