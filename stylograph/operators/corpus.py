@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -112,9 +113,12 @@ def drop_near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id",
     """
     signed = stage.table(minhash(docs.filter(F.col(text_col).rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", band_keys(F.col("sig")).alias("keys"), F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary")).alias("s")), "signed")
     first = signed.groupBy("s").agg(F.min("id").alias("id"))
-    edges = stage.table(signed.join(first, ["s", "id"], "left_semi").select("id", F.explode("keys").alias("key")), "bands")
-    state = stage.table(edges.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "state0")
-    for k in range(1, 10_000):
+    members = stage.table(signed.join(first, ["s", "id"], "left_semi").select("id", "keys"), "members")
+    each = members.select("id", F.explode("keys").alias("key"))
+    # a band of one document decides nothing
+    edges = stage.table(each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi").select("id", "key"), "bands")
+    state = stage.table(members.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "state0")
+    for k in itertools.count(1):  # each round decides the least undecided document at least, so it ends
         if state.filter("kept is null").isEmpty():
             break
         # what a band knows: its first kept and first undecided document
