@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts
 from .toxicity import share
 
-#: Bounds of the sample the models are fitted on: documents of each language, and n-grams.
+#: Bounds of the sample the models are fitted on: documents of each language, and n-grams, of which every language has an equal share.
 SAMPLE, GRAMS = 2000, 200_000
 ORDER = 3
 PENALTY, ROUNDS = 6.0, 25
@@ -55,8 +55,12 @@ class Model:
     table: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text, lang; rows with a null in text or lang teach nothing. Keep held-out ones out of it."""
+def fit(docs: DataFrame, sample: int = SAMPLE, grams_kept: int = GRAMS) -> Model:
+    """docs: doc_id, text, lang; rows with a null in text or lang teach nothing, repeated rows count again. Keep held-out ones out of it.
+
+    A language is known by the n-grams that rank among its most frequent GRAMS / languages, ties counted in, so that no language takes the
+    room of another. The model has a column a language and a row an n-gram of any; an empty table gives a model without languages.
+    """
     known = docs.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -64,17 +68,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, sample / n)))))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < part[F.col("lang")]).select("lang", "text")
     counts = drawn.mapInArrow(_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS * 4).collect()
+    upto = F.count("*").over(Window.partitionBy("lang").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("upto", upto).filter(F.col("upto") <= max(1, grams_kept // len(sizes))).collect()
     langs = sorted(sizes)
     column = {k: i for i, k in enumerate(langs)}
-    rows: dict[str, int] = {}
-    for r in found:
-        if len(rows) < GRAMS:
-            rows.setdefault(r["gram"], len(rows))
+    rows = {g: i for i, g in enumerate(sorted({r["gram"] for r in found}))}
     n = np.zeros((len(rows), len(langs)))
     for r in found:
-        if r["gram"] in rows:
-            n[rows[r["gram"]], column[r["lang"]]] += r["n"]
+        n[rows[r["gram"]], column[r["lang"]]] += r["n"]
     order = np.array([len(g) for g in rows], np.int64)
     table = np.zeros((len(rows) + ORDER, len(langs)))
     for k in range(1, ORDER + 1):
@@ -159,6 +160,8 @@ def _predicted(model: Model, penalty: float, with_mixture: bool):
 def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred, score (its proportion), mixture (languages and proportions, largest first) of every row.
 
-    docs: doc_id bigint, text. A text that is null or has no letter, or a model without languages, gives `und`, 0 and an empty mixture.
+    docs: doc_id bigint, text; other columns are left out, whatever their names. A text that is null or has no letter, or a model without
+    languages, gives `und`, 0 and an empty mixture. Repeated rows each get a row, an empty table none; of languages of equal proportion the
+    first by name counts. Texts are taken whole, however long.
     """
     return docs.select("doc_id", "text").mapInArrow(_predicted(model, penalty, True), "doc_id bigint, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")

@@ -322,6 +322,126 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(frame(spark, ["abc"]), empty).collect()} == {"und"}
 
 
+def test_telling_features_are_those_of_a_plain_count(spark):
+    rng = random.Random(21)
+    rows = [(k % 5 == 0, [f for f in range(60) if rng.random() < (0.5 if k % 5 == 0 and f < 12 else 0.1)]) for k in range(1500)]
+    n_p = sum(p for p, _ in rows)
+    want = {}
+    for f in range(60):
+        a, c = sum(f in r for p, r in rows if p), sum(f in r for p, r in rows if not p)
+        pooled = (a + c) / len(rows)
+        z = (a / n_p - c / (len(rows) - n_p)) / (pooled * (1 - pooled) * (1 / n_p + 1 / (len(rows) - n_p))) ** 0.5
+        if z > toxicity.CLEAR:
+            want[f] = z
+    got = {r["feature"]: r["z"] for r in toxicity.telling(spark.createDataFrame(rows, "positive boolean, found array<bigint>"), n_p, len(rows) - n_p).collect()}
+    assert got.keys() == want.keys() and len(want) >= 10 and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
+def test_nnpu_is_at_the_least_risk():
+    """No step from the weights lowers the plainly computed non-negative risk."""
+    rng = np.random.default_rng(4)
+    draw = lambda n, p: [np.flatnonzero(rng.random(3) < p) for _ in range(n)]
+    positive, unlabelled, prior = draw(200, (0.8, 0.3, 0.5)), draw(900, (0.25, 0.3, 0.4)), 0.2
+
+    def risk(w, b):
+        z = lambda rows: [b + sum(w[k] for k in r) for r in rows]
+        loss = lambda x: float(np.log1p(np.exp(-x)))
+        zp, zu = z(positive), z(unlabelled)
+        lost = np.mean([loss(-x) for x in zu]) - prior * np.mean([loss(-x) for x in zp])
+        return prior * np.mean([loss(x) for x in zp]) + max(0.0, lost) + 1e-4 / 2 * float(np.sum(np.square(w)))
+
+    w, b = toxicity.nnpu(positive, unlabelled, 3, prior, steps=1500)
+    least = risk(w, b)
+    for k in range(4):
+        for step in (-0.3, 0.3):
+            moved = np.append(w, b)
+            moved[k] += step
+            assert risk(moved[:3], moved[3]) > least - 1e-4
+
+
+def test_toxicity_of_odd_rows(spark):
+    texts = [None, "", "vile zgrump " * 20_000, "vile", "vile"]
+    odd = spark.createDataFrame([(k, t, "x", 0.5) for k, t in enumerate(texts)] + [(3, "vile", "x", 0.5)], "doc_id long, text string, lang string, score double")
+    model = toxicity.Model({f: 1.0 for f in toxicity.features(toxicity.stems("vile"))}, -1.0)
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(odd, model).collect())
+    assert len(got) == 6 and got[3] == got[4] and got[5][1] == got[4][1] and got[0][1] == got[1][1] < got[2][1] == got[3][1]
+    assert toxicity.score(odd.filter("false"), model).count() == 0
+
+
+def test_proportions_are_the_likeliest():
+    """EM against a search over a grid of proportions."""
+    rng = np.random.default_rng(5)
+    likelihood, counts = np.log(rng.dirichlet((0.5, 0.5, 0.5), 40) + 1e-3), rng.integers(1, 6, 40).astype(float)
+    value = lambda pi: float(counts @ np.log(np.exp(likelihood) @ pi))
+    grid = [np.array([a, b, 100 - a - b]) / 100 for a in range(101) for b in range(101 - a)]
+    best = max(grid, key=value)
+    pi, reached = language.proportions(likelihood, counts, rounds=500)
+    assert abs(reached - value(pi)) < 1e-3 and reached > value(best) - 0.05 and np.abs(pi - best).max() < 0.03
+
+
+def test_mixture_is_the_best_set():
+    """The set of languages against all sets, by penalised likelihood."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    for shares in [(1, 0, 0, 0), (0.6, 0.4, 0, 0), (0, 0.2, 0.3, 0.5)]:
+        own = rng.choice(4, 200, p=shares)
+        likelihood = rng.normal(-6, 0.3, (200, 4))
+        likelihood[np.arange(200), own] += 5
+        counts = np.ones(200)
+        cost = language.PENALTY * np.log(200) / 2
+        sets = [s for k in range(1, 5) for s in combinations(range(4), k)]
+        best = max(sets, key=lambda s: language.proportions(likelihood[:, list(s)], counts, 200)[1] - len(s) * cost)
+        assert tuple(sorted(language.mixture(likelihood, counts))) == best == tuple(k for k, x in enumerate(shares) if x)
+
+
+def test_language_keeps_small_ones_and_odd_rows(spark):
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    big = [(k, " ".join(word("abcdefghijklm") for _ in range(300)), "big") for k in range(60)]
+    small = [(100 + k, " ".join(word("nopqr") for _ in range(5)), "small") for k in range(6)]
+    model = language.fit(spark.createDataFrame(big + small, "doc_id long, text string, lang string"), grams_kept=600)
+    assert len(model.rows) <= 600 and any("q" in g for g in model.rows)
+    texts = ["nopqr rqpon", "abc klm", "nopqr " * 100_000, None, "12 34", "abc klm"]
+    odd = spark.createDataFrame([(k, t, "big", 1.0) for k, t in enumerate(texts)] + [(5, "abc klm", "big", 1.0)], "doc_id long, text string, lang string, score double")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language.predict(odd, model).collect())
+    assert got == [(0, "small"), (1, "big"), (2, "small"), (3, "und"), (4, "und"), (5, "big"), (5, "big")]
+    assert language.predict(odd.filter("false"), model).count() == 0
+
+
+def test_divergence_is_that_of_plain_python(spark):
+    rng = random.Random(10)
+    common = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join([*(rng.choice(common) for _ in range(110)), *(f"{'X#é'[k % 3]}{rng.randint(0, 10**6)}," for _ in range(10 * (k % 5)))]), "en") for k in range(40)]
+    docs = spark.createDataFrame([*rows, (98, "W " * 150, "en"), (99, "W " * 150, "en")], "doc_id long, text string, lang string")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kinds = ["[a-z]", *(x[:-1] for x in quality.CLASSES.values())]
+
+    def classes(t):
+        chars = re.sub(r"[\x20\x09-\x0D]", "", t)
+        n = [len(re.findall(k, chars)) for k in kinds]
+        return [*n, len(chars) - sum(n)]
+
+    def distance(p, q):
+        part = lambda a, m: a * np.log2(a / m) if a else 0.0
+        return min(1.0, max(0.0, sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2)) ** 0.5
+
+    words = Counter(w for t in texts.values() for w in t.split())
+    total = sum(words.values())
+    known = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0])) if n >= total / 100]
+    sums = np.sum([classes(t) for t in texts.values()], 0)
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    for k, t in texts.items():
+        own, c = Counter(t.split()), classes(t)
+        n = sum(own.values())
+        js_chars = distance([x / sum(c) for x in c], sums / sums.sum())
+        js_words = distance([*(own[w] / n for w in known), 1 - sum(own[w] for w in known) / n], [*(words[w] / total for w in known), 1 - sum(words[w] for w in known) / total])
+        assert abs(got[k]["js_chars"] - js_chars) < 1e-6 and abs(got[k]["js_words"] - js_words) < 1e-6
+        assert got[k]["kept"] == (not got[k]["base_failed"] and js_chars <= 0.3 and js_words <= 0.24)
+    assert {got[98]["js_words"] == got[99]["js_words"], any(r["kept"] for r in got.values()), any(not r["kept"] for r in got.values())} == {True}
+    assert quality.quality(docs.filter("false")).count() == 0
+
+
 # media
 def test_media(spark):
     texts = [*HARD, *["same text"] * 300]
