@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import Scratch, texts
 
 #: Bounds of the sample the classifier is fitted on, in documents, and of its features.
 POSITIVE, UNLABELLED, FEATURES = 3000, 6000, 5000
@@ -87,11 +87,11 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED, scratch: Scratch | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows of labels teach; keep held-out ones out of it.
 
     At most about `positive` confirmed and `unlabelled` other documents are read, drawn by a hash of doc_id. Without a toxic label
-    the model gives every text the prior, here 0.
+    the model gives every text the prior, here 0, and likewise where labels or docs are empty. Repeated rows count again; a null text is empty.
     """
     counts = labels.filter("toxic is not null").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("d")).collect()[0]
     if not counts["p"]:
@@ -100,28 +100,40 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     chosen = labels.filter((F.col("toxic") == 1) & share(F.col("doc_id"), positive, counts["d"])).select(F.col("doc_id").alias("p_id")).distinct()
     confirmed = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["p_id"]).select(F.lit(True).alias("positive"), "text")  # at most about `positive` ids
     others = docs.filter(share(F.col("doc_id"), unlabelled, docs.count())).select(F.lit(False).alias("positive"), "text")
-    rows = confirmed.union(others).mapInArrow(_sample, "positive boolean, found array<bigint>").toArrow()
-    is_positive, lists = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool), rows.column("found").combine_chunks()
-    flat = lists.values.to_numpy()
-    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    known, index = np.unique(flat, return_inverse=True)
-    up, total = np.bincount(index[is_positive[owner]], minlength=len(known)), np.bincount(index[~is_positive[owner]], minlength=len(known))
-    n_p, n_u = is_positive.sum(), (~is_positive).sum()
-    if not n_p or not n_u:
-        return Model({}, -40.0 if not n_p else 0.0)
-    # features whose share differs most between the two, in standard errors
-    a, c = up / n_p, total / n_u
-    pooled = (up + total) / (n_p + n_u)
-    z = np.where(up + total >= 3, (a - c) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n_p + 1 / n_u)), 0.0)
-    keep = np.argsort(-z, kind="stable")[:FEATURES]
-    keep = np.sort(keep[z[keep] > CLEAR])
-    place = np.full(len(known), -1)
-    place[keep] = np.arange(len(keep))
-    cols = place[index]
-    ok = cols >= 0
-    by = np.split(cols[ok], np.cumsum(np.bincount(owner[ok], minlength=len(lists)))[:-1])
-    w, b = nnpu([by[i] for i in np.flatnonzero(is_positive)], [by[i] for i in np.flatnonzero(~is_positive)], len(keep), prior)
-    return Model({int(known[k]): float(x) for k, x in zip(keep, w, strict=True)}, b)
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
+    drawn = scratch.table(confirmed.union(others).mapInArrow(_sample, "positive boolean, found array<bigint>"), "sample")
+    size = drawn.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).collect()[0]
+    if not size["p"] or not size["u"]:
+        return Model({}, -40.0 if not size["p"] else 0.0)
+    known = [r["feature"] for r in telling(drawn, size["p"], size["u"]).collect()]
+    rows = drawn.mapInArrow(_placed({f: k for k, f in enumerate(known)}), "positive boolean, found array<bigint>").toArrow()
+    scratch.drop("sample")
+    by, is_positive = rows.column("found").to_pylist(), rows.column("positive").to_pylist()
+    some = lambda kind: [np.array(x, np.int64) for x, y in zip(by, is_positive, strict=True) if y == kind]
+    w, b = nnpu(some(True), some(False), len(known), prior)
+    return Model({f: float(x) for f, x in zip(known, w, strict=True)}, b)
+
+
+def telling(drawn: DataFrame, n_p: int, n_u: int) -> DataFrame:
+    """feature, z: the FEATURES ones whose share differs most between confirmed and other rows, in standard errors; ties by feature.
+
+    drawn: positive, found. Counts are made before the shuffle; the driver gets the chosen features alone.
+    """
+    counts = drawn.select("positive", F.explode("found").alias("feature")).groupBy("feature").agg(F.count_if("positive").alias("up"), F.count_if(~F.col("positive")).alias("total"))
+    pooled = (F.col("up") + F.col("total")) / (n_p + n_u)
+    z = (F.col("up") / n_p - F.col("total") / n_u) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
+    return counts.filter("up + total >= 3").select("feature", z.alias("z")).filter(F.col("z") > CLEAR).orderBy(F.desc("z"), "feature").limit(FEATURES)
+
+
+def _placed(place: dict[int, int]):
+    """The rows with the places of the features that have one, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(k for f in row if (k := place.get(f)) is not None) for row in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], names=["positive", "found"])
+
+    return run
 
 
 def _scored(model: Model):
@@ -148,5 +160,8 @@ def _scored(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row (0 to 1). docs: doc_id bigint, text; a null text counts as empty."""
+    """doc_id, score of every row (0 to 1). docs: doc_id bigint, text; a null text counts as empty.
+
+    Other columns are left out, whatever their names. Repeated rows each get a row, an empty table none. Texts are taken whole.
+    """
     return docs.select("doc_id", "text").mapInArrow(_scored(model), "doc_id bigint, score double")
