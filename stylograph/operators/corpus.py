@@ -57,7 +57,10 @@ def ngram_dictionary(docs: DataFrame, top: int = 100_000, **kw) -> DataFrame:
     edge = F.broadcast(upto.filter((F.col("above") < top) & (F.col("above") + F.col("types") >= top)).select(F.col("n").alias("n_"), F.col("cnt").alias("edge"), (F.lit(top) - F.col("above")).alias("room")))
     marked = counts.join(edge, F.col("n") == F.col("n_"), "left")
     sure = marked.filter(F.col("edge").isNull() | (F.col("cnt") > F.col("edge"))).select("n", "ngram", "cnt")
-    ranked = marked.filter(F.col("cnt") == F.col("edge")).withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("ngram"))).filter("k <= room").select("n", "ngram", "cnt")
+    # ties are ranked in slices first, so that the last rank has at most 64 times the room
+    tied = marked.filter(F.col("cnt") == F.col("edge")).withColumn("cell", F.pmod(F.xxhash64("ngram"), F.lit(64)))
+    some = tied.withColumn("k", F.row_number().over(Window.partitionBy("n", "cell").orderBy("ngram"))).filter("k <= room")
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("ngram"))).filter("k <= room").select("n", "ngram", "cnt")
     return sure.unionByName(ranked)
 
 

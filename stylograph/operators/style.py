@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,32 @@ def compare(profile: Column, candidate: Column, similarity: Column, threshold: C
     return C.let(odd, lambda o: F.struct(diffs.alias("distances"), o.alias("anomalous"), (similarity >= threshold).alias("same_author"), F.least(F.lit(1.0), similarity + 0.1 * (1 - F.size(o) / len(EXPLAINED))).alias("confidence")))
 
 
+def quick_compare(candidates: DataFrame, texts: list[str], text_col: str = "text", embed: Callable[[Column], Column] | None = None, scorer: Callable[[Column, Column], Column] | None = None, threshold: float = 0.80) -> DataFrame:
+    """Adds similarity, threshold and comparison (see compare) of each candidate with one author, whose samples are `texts`.
+
+    The profile is that of the samples as one text, each dimension relative to the samples' mean and deviation; candidates are measured
+    likewise. From three samples on the threshold is the samples' own. embed gives a text's vector, which is fused with the others; scorer
+    gives the similarity of two vectors in place of the cosine.
+    """
+    if not texts:
+        raise ValueError("no sample")
+    spark = candidates.sparkSession
+    samples = stylometric(spark.createDataFrame([("a", x) for x in texts], "author string, text string"))
+    known = centroids(samples, "author", "style_vector").select("mean", "std").collect()[0]
+    least = thresholds(samples, "author", "style_vector").collect()
+    own = stylometric(spark.createDataFrame([(" ".join(texts),)], "text string"))
+    numbers = lambda x: F.array(*map(F.lit, x))
+    relative = lambda v: zscore(v, numbers(known["mean"]), numbers(known["std"]))
+    full = lambda v, t: relative(v) if embed is None else fuse(relative(v), embed(t))
+    author = own.select("style", full(F.col("style_vector"), F.col("text")).alias("v")).collect()[0]
+    profile = F.struct(*(F.lit(author["style"][k]).alias(k) for k in SCALARS))
+    measured = stylometric(candidates, text_col, "q_style")
+    pair = numbers(author["v"]), full(F.col("q_style_vector"), F.col(text_col))
+    score = cosine(*pair) if scorer is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), scorer(*pair)))
+    out = measured.withColumns({"similarity": score, "threshold": F.lit(float(least[0]["threshold"]) if least else threshold)})
+    return out.withColumn("comparison", compare(profile, F.col("q_style"), F.col("similarity"), F.col("threshold"))).drop("q_style", "q_style_vector")
+
+
 def word_windows(text: Column, size: int, stride: int, least: int = 1, tail: bool = True) -> Column:
     """array<struct<offset, text>> of word windows; those after the last full one are not made."""
     return C.let(C.tok_ws(text), lambda w: F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - size), F.lit(stride)), lambda i: F.struct(i.alias("offset"), F.slice(w, i + 1, size).alias("words"))), lambda x: F.size(x["words"]) >= least))

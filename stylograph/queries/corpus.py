@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import lexicons as L
 from ..operators import corpus, watermark
 from ..plans import plugins
 from ..session import Stage
@@ -13,6 +14,8 @@ from ..streaming import counts
 from .features import GRAMS, WORD, WS
 from .text import docs
 
+#: N-grams of each order that a dictionary holds.
+TOP = 100_000
 GRAM_SQL = f"""WITH d AS (SELECT {WORD} AS w FROM documents WHERE len({WS % 'text'}) >= 20),
 g AS ({' UNION ALL '.join(f"SELECT {n} AS n, unnest({GRAMS % dict(w='w', n=n)}) AS ngram FROM d" for n in (2, 3, 4))}), c AS (SELECT n, ngram, count(*) AS cnt FROM g GROUP BY ALL)"""
 SHINGLES = r"list_distinct(list_transform(range(1, greatest(2, length(t) - 3)), lambda i: substr(t, i, 5)))"
@@ -23,7 +26,7 @@ SELECT doc_id, md5(string_agg(CAST(m AS VARCHAR), ',' ORDER BY p)) AS sig FROM s
 
 
 def _dictionary(spark, d):
-    return corpus.ngram_dictionary(docs(spark, d), top=1000)
+    return corpus.ngram_dictionary(docs(spark, d), top=TOP)
 
 
 def _minhash(spark, d):
@@ -100,8 +103,6 @@ def _green(spark, d):
 
 def _indicator(spark, d):
     """Documents' words met with a lexicon table."""
-    from ..functions import lexicons as L
-
     words = spark.createDataFrame([(w,) for w in L.FUNCTION_WORDS], "word string")  # a fixed list
     each = docs(spark, d).select("doc_id", F.explode(C.tok_word(F.col("text"))).alias("word"))
     return each.join(F.broadcast(words), "word").groupBy("doc_id").agg(F.count("*").alias("hits"))
@@ -119,16 +120,16 @@ ALL = {
         "SELECT 'GPT' AS label, source AS domain, count(*) AS n FROM documents GROUP BY source",
     ),
     "src_limit": (lambda s, d: files.limit_rows(docs(s, d).select("doc_id"), 100, "doc_id"), "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100"),
-    "agg_ngram_dict": (_dictionary, GRAM_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= 1000"),
-    "sink_dict_json": (_sink_dict, GRAM_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= 1000"),
+    "agg_ngram_dict": (_dictionary, GRAM_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= {TOP}"),
+    "sink_dict_json": (_sink_dict, GRAM_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= {TOP}"),
     "agg_proxy_ppl_dict": (
         lambda s, d: corpus.dictionary_perplexity(docs(s, d), Stage(s, "dict").table(_dictionary(s, d), "top")).select("id", F.round("ppl", 6).alias("ppl")),
         GRAM_SQL
-        + f""", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) WHERE r <= 1000), z AS (SELECT n, sum(cnt) AS total, count(*) AS types FROM r GROUP BY n),
+        + f""", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) WHERE r <= {TOP}), z AS (SELECT n, sum(cnt) AS total, count(*) AS types FROM r GROUP BY n),
             a AS (SELECT doc_id, {WORD} AS w FROM documents), b AS (SELECT * FROM a WHERE len(w) >= 3), e AS ({' UNION ALL '.join(f"SELECT doc_id, len(w) AS len, {n} AS n, unnest({GRAMS % dict(w='w', n=n)}) AS ngram FROM b" for n in (2, 3, 4))})
             SELECT doc_id AS id, round(least(15.0, greatest(0.1, pow(2, -avg(log2((coalesce(r.cnt, 0) + 0.01) / (total + 0.01 * types))) + 1 / len))), 6) AS ppl FROM e JOIN z USING (n) LEFT JOIN r ON r.n = e.n AND r.ngram = e.ngram GROUP BY doc_id, len""",
     ),
-    "jn_lexicon": (_indicator, None),
+    "jn_lexicon": (_indicator, f"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest({WORD}) AS word FROM documents) WHERE word IN {tuple(sorted(set(L.FUNCTION_WORDS)))} GROUP BY doc_id"),
     "set_minhash": (_minhash, MINHASH_SQL),
     "set_dedup_exact": (
         lambda s, d: docs(s, d).groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"),

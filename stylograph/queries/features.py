@@ -64,10 +64,14 @@ def _signal(n):
     return f"CASE WHEN len(w) >= {n + 2} THEN 0.35::DOUBLE * len(list_filter({g}, lambda x: x = 1)) / len({g}) + 0.35::DOUBLE * len({g}) / (len(w) - {n - 1}) + 0.30::DOUBLE * (1 - coalesce(list_sum(list_filter({g}, lambda x: x > 1)), 0) / (len(w) - {n - 1})) END"
 
 
-PPL_SQL = f"""
-WITH d AS (SELECT doc_id, {WORD} AS w FROM documents), e AS (SELECT *, {', '.join(f"{COUNTS % ('(' + GRAMS % dict(w='w', n=n) + ')')} AS g{n}" for n in (2, 3, 4))} FROM d),
-f AS (SELECT doc_id, len(w) AS n, list_filter([{', '.join(_signal(n) for n in (2, 3, 4))}], lambda x: x IS NOT NULL) AS s FROM e)
-SELECT doc_id, round(CASE WHEN n < 3 OR len(s) = 0 THEN 10.0 ELSE least(15.0, greatest(1.0, 1 + 14 * list_avg(s) + 1 / n)) END, 6) AS ppl FROM f"""
+def ppl_cte(keys):
+    """Table p: keys and ppl, of the words w of table d."""
+    return f"""e AS (SELECT {keys}, w, {', '.join(f"{COUNTS % ('(' + GRAMS % dict(w='w', n=n) + ')')} AS g{n}" for n in (2, 3, 4))} FROM d),
+f AS (SELECT {keys}, len(w) AS n, list_filter([{', '.join(_signal(n) for n in (2, 3, 4))}], lambda x: x IS NOT NULL) AS s FROM e),
+p AS (SELECT {keys}, CASE WHEN n < 3 OR len(s) = 0 THEN 10.0 ELSE least(15.0, greatest(1.0, 1 + 14 * list_avg(s) + 1 / n)) END AS ppl FROM f)"""
+
+
+PPL_SQL = f"WITH d AS (SELECT doc_id, {WORD} AS w FROM documents), {ppl_cte('doc_id')} SELECT doc_id, round(ppl, 6) AS ppl FROM p"
 
 
 def _entropy50(spark, d):

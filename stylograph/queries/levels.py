@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as L
-from ..operators import ensemble, features, levels, report
+from ..operators import corpus, ensemble, features, levels, render, report, style
+from ..session import Stage
+from ..sources import files
 from .ensemble import PROB_SQL, _gates, _votes
 from .features import COUNTS, GRAMS, SERIES, SERIES_SQL, STYLE_SQL, WORD, WS
 from .sql import sentence_sql
@@ -47,6 +51,78 @@ def _distance(spark, d):
     return docs(spark, d).select("doc_id", F.expr(SERIES).alias("v")).select("doc_id", F.round(levels.syntactic_distance([v(i) for i in range(4)], [v(i + 4) for i in range(4)]), 6).alias("distance"))
 
 
+SAMPLES = ["We went down to the river, and it was cold; nobody swam.", "It rained all day! So we stayed in, read, and talked about the long summer.", "Who knows? The boats left early, the wind was high, and we watched them go.", "She said little, as ever. The tea was strong, the bread was old."]
+
+
+def _quick(spark, d):
+    out = style.quick_compare(docs(spark, d).select("doc_id", "text"), SAMPLES)
+    return out.select("doc_id", F.round("similarity", 6).alias("similarity"), "comparison.same_author", F.size("comparison.anomalous").alias("n_anomalous"))
+
+
+#: Results of every kind: verdicts, levels, marks and errors by doc_id.
+RESULT = """struct(CASE WHEN doc_id % 7 = 0 THEN 'Unknown' WHEN doc_id % 2 = 0 THEN 'Human' ELSE 'AI' END AS prediction, cast(doc_id % 97 / 97 AS double) AS human, cast(1 - doc_id % 97 / 97 AS double) AS ai,
+    cast(50 + doc_id % 49 + 0.25 AS double) AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'GPT' END AS model, CASE WHEN doc_id % 3 = 0 THEN 'AI' END AS forensic,
+    CASE WHEN doc_id % 4 > 0 THEN named_struct('level', elt(cast(doc_id % 4 AS int), 'LOW', 'MEDIUM', 'HIGH'), 'risk', cast(doc_id % 4 / 4 AS double)) END AS hallucination,
+    CASE WHEN doc_id % 6 > 1 THEN named_struct('detected', doc_id % 6 > 3, 'scheme', 'green', 'confidence', cast(doc_id % 6 / 7 AS double)) END AS watermark,
+    CASE WHEN doc_id % 8 > 0 THEN cast(doc_id % 8 / 9 AS double) END AS reasoning, CASE WHEN doc_id % 9 = 0 THEN array('a', 'b') WHEN doc_id % 9 > 4 THEN cast(array() AS array<string>) END AS errors)"""
+
+
+def _rendered(spark, d):
+    r = F.col("r")
+    return docs(spark, d).select("doc_id", F.expr(RESULT).alias("r")).select("doc_id", F.md5(render.markdown(r)).alias("markdown"), render.short_summary(r).alias("line"), F.md5(render.detector_markdown(r)).alias("detector"))
+
+
+def _said(name, *values):
+    """SQL of a wording of L.RENDERED: each place of its values as text."""
+    parts, rest = [], L.RENDERED[name]
+    for value in values:
+        at = re.search(r"%(?:\.(\d))?([sfd])", rest)
+        parts += [rest[: at.start()], f"format('{{:.{at[1]}f}}', {value})" if at[2] == "f" else f"CAST({value} AS VARCHAR)"]
+        rest = rest[at.end() :]
+    quoted = lambda x: "'" + x.replace("%%", "%").replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join(quoted(x) if k % 2 == 0 else x for k, x in enumerate([*parts, rest]))
+
+
+def _signs(of):
+    return "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.RENDERED[of].items()) + " END"
+
+
+RENDER_SQL = f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Unknown' WHEN doc_id % 2 = 0 THEN 'Human' ELSE 'AI' END AS prediction, (doc_id % 97 / 97)::DOUBLE AS human, (1 - doc_id % 97 / 97)::DOUBLE AS ai,
+    (50 + doc_id % 49 + 0.25)::DOUBLE AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'GPT' END AS model, CASE WHEN doc_id % 3 = 0 THEN 'AI' END AS forensic,
+    CASE WHEN doc_id % 4 > 0 THEN ['LOW', 'MEDIUM', 'HIGH'][doc_id % 4] END AS level, (doc_id % 4 / 4)::DOUBLE AS risk, doc_id % 6 > 3 AS detected, (doc_id % 6 / 7)::DOUBLE AS sure,
+    CASE WHEN doc_id % 8 > 0 THEN (doc_id % 8 / 9)::DOUBLE END AS reasoning, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END AS n FROM documents),
+    h AS (SELECT *, human / (human + ai + 1e-9) * 100 AS h FROM r),
+    s AS (SELECT *, array_to_string(list_filter([CASE WHEN forensic <> prediction THEN {_said('forensic', 'forensic')} END, CASE WHEN level IS NOT NULL THEN {_said('risk', _signs('risk_signs'), 'level', "format('{:.0f}%', risk * 100)")} END,
+        CASE WHEN detected THEN {_said('watermark', "'green'", "format('{:.0f}%', sure * 100)")} END, CASE WHEN reasoning > 0.4::DOUBLE THEN {_said('reasoning', 'reasoning')} END, CASE WHEN n > 0 THEN {_said('errors', "'a, b'")} END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS below,
+        array_to_string(list_filter([CASE WHEN prediction = 'Human' THEN {_said('human', 'confidence')} ELSE {_said('ai', 'confidence')} END, CASE WHEN prediction <> 'Human' AND model <> 'unknown' THEN {_said('detector_model', 'model')} END,
+        CASE WHEN reasoning IS NOT NULL THEN {_said('detector_reasoning', 'reasoning', f"CASE WHEN reasoning > 0.5::DOUBLE THEN '{L.RENDERED['high_cot']}' ELSE '{L.RENDERED['low_cot']}' END")} END,
+        CASE WHEN level IS NOT NULL THEN {_said('detector_risk', _signs('detector_risk_signs'), 'level', "format('{:.1f}%', risk * 100)")} END, CASE WHEN detected THEN {_said('detector_watermark', "'green'", "format('{:.1f}%', sure * 100)")} END,
+        CASE WHEN n > 0 THEN {_said('detector_errors', "'a, b'")} END], lambda x: x IS NOT NULL), chr(10)) AS detector FROM h)
+    SELECT doc_id, md5(CASE WHEN prediction = 'Unknown' THEN '{L.RENDERED['unknown']}' ELSE (CASE WHEN prediction = 'Human' THEN {_said('human', 'h')} ELSE {_said('ai', '(100 - h)')} END) || CASE WHEN below <> '' THEN chr(10) || chr(10) || below ELSE '' END END) AS markdown,
+        {_said('line', 'prediction', 'confidence', 'model', "coalesce(forensic, 'N/A')", "coalesce(level, 'N/A')", "CASE WHEN detected THEN 'YES' ELSE 'NO' END", 'n')} AS line, md5(detector) AS detector FROM s"""
+
+
+def _profiles(spark, d):
+    """Profiles as earlier versions stored them: some lack their version, a scalar or the threshold."""
+    path = Stage(spark, "profiles").path("p")
+    stored = docs(spark, d).select(
+        F.concat(F.lit("a"), F.col("doc_id")).alias("author_id"), F.when(F.col("doc_id") % 2 == 0, "2.1").alias("schema_version"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") / 8).alias("burstiness_score"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 16 / 16).alias("adaptive_threshold"), F.array(F.col("doc_id") / 2, F.lit(1.5)).alias("feature_mean"), F.lit("kept nowhere").alias("other"),
+    )
+    files.write_json(stored, path)
+    return files.read_profiles(spark, path, style.SCALARS).select("author_id", "schema_version", "pos_bigrams_source", "burstiness_score", "avg_tree_depth", "adaptive_threshold", F.element_at("feature_mean", 1).alias("first"), "comma_rate")
+
+
+def _artifacts(spark, d):
+    """Split sizes and class counts, written beside each other and read again as one table."""
+    base = docs(spark, d).select("doc_id", "lang", corpus.split_random(F.col("doc_id")).alias("split"))
+    tables = {"split_sizes": base.groupBy("split").agg(F.count("*").alias("n")), "languages": base.groupBy("lang").agg(F.count("*").alias("n"))}
+    path = Stage(spark, "artifacts").path("run")
+    files.write_artifacts(tables, path)
+    read = [files.read_artifact(t, path, k).select(F.lit(k).alias("artifact"), F.col(t.columns[0]).alias("key"), "n") for k, t in tables.items()]
+    return read[0].unionByName(read[1])
+
+
 def _level_sql(metric, value):
     low, high = L.STYLE_LEVELS[metric]
     return f"CASE WHEN {value} >= {high}::DOUBLE THEN 'HIGH' WHEN {value} >= {low}::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END"
@@ -57,6 +133,16 @@ _BEFORE, _AFTER = L.INDICATORS_TEXT.split("%s")
 _WORDS = [(w, "ai", s) for w, s in report.AI_WORDS.items()] + [(w, "human", s) for w, s in report.HUMAN_WORDS.items() if w not in report.AI_WORDS]
 
 ALL = {
+    "fn_quick_compare": (_quick, None),
+    "fn_render": (_rendered, RENDER_SQL),
+    "src_profile_json": (
+        _profiles,
+        "SELECT 'a' || doc_id AS author_id, CASE WHEN doc_id % 2 = 0 THEN '2.1' ELSE '1.0' END AS schema_version, 'none' AS pos_bigrams_source, CASE WHEN doc_id % 3 > 0 THEN doc_id / 8 ELSE 0 END::DOUBLE AS burstiness_score, 0.0::DOUBLE AS avg_tree_depth, CASE WHEN doc_id % 5 > 0 THEN doc_id % 16 / 16 END::DOUBLE AS adaptive_threshold, (doc_id / 2)::DOUBLE AS first, CAST(NULL AS DOUBLE) AS comma_rate FROM documents",
+    ),
+    "sink_artifacts": (
+        _artifacts,
+        "WITH s AS (SELECT lang, CASE WHEN ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 6))::BIGINT < 1677721 THEN 'test' ELSE 'train' END AS split FROM documents) SELECT 'split_sizes' AS artifact, split AS key, count(*) AS n FROM s GROUP BY split UNION ALL SELECT 'languages', lang, count(*) FROM s GROUP BY lang",
+    ),
     "fn_style_levels": (_levels, f"SELECT doc_id, unnest({list(SHOWN)}) AS metric, unnest([{', '.join(SHOWN.values())}]) AS value, unnest([{', '.join(_level_sql(k, v) for k, v in SHOWN.items())}]) AS level FROM ({STYLE_SQL})"),
     "prj_explain": (_explained, f"{sentence_sql(0.6)} SELECT doc_id, CAST(position AS INT) AS position, md5({_SAID} || CASE WHEN len(marks) > 0 THEN '{_BEFORE}' || array_to_string(marks[1:3], '; ') || '{_AFTER}' ELSE '{L.NO_INDICATORS_TEXT}' END) AS explanation FROM m"),
     "prj_sentinel_profile": (

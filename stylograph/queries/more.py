@@ -68,7 +68,7 @@ def _lsh(spark, d):
 
 
 def _ngram_lookup(spark, d):
-    dictionary = Stage(spark, "lookup").table(corpus.ngram_dictionary(docs(spark, d), top=500, orders=(2,)), "top")
+    dictionary = Stage(spark, "lookup").table(corpus.ngram_dictionary(docs(spark, d), orders=(2,)), "top")
     own = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(C.ngrams(C.tok_word(TEXT_()), 2)).alias("ngram"))
     return own.join(dictionary.select("ngram", "cnt"), "ngram", "left").groupBy("item_id").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("total"), F.count("cnt").alias("known"))
 
@@ -171,7 +171,7 @@ ALL = {
     "jn_ngram_lookup": (
         _ngram_lookup,
         f"""WITH d AS (SELECT {WORD} AS w FROM documents WHERE len({WS % 'text'}) >= 20), g AS (SELECT unnest({GRAMS % dict(w='w', n=2)}) AS ngram FROM d), c AS (SELECT ngram, count(*) AS cnt FROM g GROUP BY 1),
-            r AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cnt DESC, ngram) AS r FROM c) WHERE r <= 500), b AS (SELECT item_id, {WORD} AS w FROM benchmark), e AS (SELECT item_id, unnest({GRAMS % dict(w='w', n=2)}) AS ngram FROM b)
+            r AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cnt DESC, ngram) AS r FROM c) WHERE r <= 100000), b AS (SELECT item_id, {WORD} AS w FROM benchmark), e AS (SELECT item_id, unnest({GRAMS % dict(w='w', n=2)}) AS ngram FROM b)
             SELECT item_id, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS total, count(cnt) AS known FROM e LEFT JOIN r USING (ngram) GROUP BY item_id""",
     ),
     "jn_lsh_band": (_lsh, None),

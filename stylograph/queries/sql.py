@@ -6,8 +6,9 @@ import zlib
 
 from ..functions import lexicons as L
 from ..operators import citations, corpus, features, report
+from .corpus import MINHASH_SQL
 from .ensemble import CONFORMAL, S
-from .features import CAPITAL, COUNTS, GRAMS, REASONING_CTE, REASONING_VALUES, SENT, WORD, WS, _in
+from .features import CAPITAL, COUNTS, GRAMS, REASONING_CTE, REASONING_VALUES, SENT, WORD, WS, _in, ppl_cte
 from .text import BIB, FK_CTE, FK_VALUE, FOLD, SPOILED_SQL, ZW
 
 # reasoning
@@ -160,6 +161,30 @@ APA = citations.APA
 WINDOWS7 = f"""WITH s AS (SELECT doc_id, {CAPITAL} AS s FROM documents), n AS (SELECT doc_id, list_transform(s, lambda x: len({WS % 'x'})) AS n FROM s)
     SELECT doc_id, CAST(CASE WHEN len(n) < 3 THEN 1 ELSE greatest(1, len(list_filter(range(0, len(n), 5), lambda i: list_sum(n[i + 1:i + 7]) >= 64))) END AS BIGINT) AS n FROM n"""
 
+EVIDENCE_SCORE = "(CASE WHEN doc_id % 2 = 0 THEN 0.7 ELSE 0.3 END)"
+
+# perplexity: each window of sentences with its own n-grams, then the features of all windows
+W7 = rf"""WITH a AS (SELECT doc_id, text, len({WS % 'text'}) AS nw, list_transform({CAPITAL}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM documents),
+    b AS (SELECT doc_id, s, list_filter(list_transform(range(0, len(s), 5), lambda i: array_to_string(s[i + 1:i + 7], ' ')), lambda x: len({WS % 'x'}) >= 64) AS k FROM a),
+    win AS (SELECT doc_id, CASE WHEN len(s) < 3 OR len(k) = 0 THEN [array_to_string(s, ' ')] ELSE k END AS win FROM b)"""
+ENT_OF = "list_transform(CASE WHEN len(w) <= 50 THEN [w] ELSE list_transform(range(0, len(w) - 49, 25), lambda i: w[i + 1:i + 50]) END, lambda y: CASE WHEN len(y) = 0 THEN 0 ELSE list_aggregate(y, 'entropy') END)"
+PERPLEXITY = f"""{W7}, d AS (SELECT doc_id, i, {WORD} AS w FROM (SELECT doc_id, unnest(range(0, len(win))) AS i, unnest(win) AS text FROM win)), {ppl_cte('doc_id, i')},
+    v AS (SELECT doc_id, list(ppl::DOUBLE ORDER BY i) AS v FROM p GROUP BY doc_id), t AS (SELECT doc_id, nw, {WORD} AS w FROM a), u AS (SELECT doc_id, nw, len(w) AS n, v, {ENT_OF} AS x, list_avg(v) AS mu, list_aggregate(v, 'stddev_pop') AS sd, len(list_filter(v, lambda q: q < 7)) / len(v) AS low FROM t JOIN v USING (doc_id)),
+    z AS (SELECT doc_id, n, {', '.join(f'CASE WHEN nw >= 15 THEN {value} ELSE 0 END::DOUBLE AS {k}' for k, value in {
+        "proxy_perplexity_mean": "mu", "proxy_perplexity_std": "sd", "perplexity_curve_slope": "CASE WHEN len(v) > 1 THEN list_sum(list_transform(range(0, len(v)), lambda i: (i - (len(v) - 1) / 2) * v[i + 1])) / (len(v) * (len(v) * len(v) - 1) / 12) ELSE 0 END",
+        "low_perplexity_ratio": "low", "perplexity_valley_count": "len(list_filter(range(1, len(v) + 1), lambda i: v[i] < 7 AND (i = 1 OR v[i - 1] >= 7)))", "perplexity_range": "list_max(v) - list_min(v)", "token_entropy_mean": "list_avg(x)", "token_entropy_std": "list_aggregate(x, 'stddev_pop')",
+        "burstiness_perplexity": "CASE WHEN mu > 0 THEN sd / mu ELSE 0 END", "curvature_score": "0", "smoothing_factor": "CASE WHEN n > 0 THEN 1 / n ELSE 0 END", "hybrid_segment_ratio": "low"}.items())} FROM u)"""
+
+
+def _vote(value, high, medium):
+    return f"CASE WHEN {value} {high}::DOUBLE THEN 1.0::DOUBLE WHEN {value} {medium}::DOUBLE THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+VOTES = [
+    _vote("proxy_perplexity_mean", "< 4.0", "< 7.0"), _vote("token_entropy_mean", "< 3.0", "< 4.5"), _vote("burstiness_perplexity", "< 0.05", "< 0.15"),
+    _vote("low_perplexity_ratio", "> 0.7", "> 0.3"), _vote("perplexity_valley_count", ">= 3", ">= 1"),
+]
+
 SQL = {
     "fn_attr_sent": f"{sentence_sql(0.6)} SELECT doc_id, CAST(position AS INT) AS position, round(score, 6) AS score, array_to_string(marks, '|') AS indicators FROM m",
     "agg_attack_drop": " UNION ALL ".join(f"SELECT '{k}' AS attack, round(avg(CASE WHEN a <> text THEN 1.0 ELSE 0 END), 6) AS changed, round(avg(CASE WHEN {_canonical('a')} <> {_canonical('text')} THEN 1.0 ELSE 0 END), 6) AS \"left\" FROM (SELECT text, {v} AS a FROM documents WHERE text IS NOT NULL)" for k, v in ATTACKS.items()),
@@ -192,4 +217,16 @@ SQL = {
     **{f"atk_{k}": f"WITH a AS (SELECT doc_id, text, {v} AS a FROM documents) SELECT doc_id, md5(a) AS attacked, CAST(length(a) - length(text) AS INT) AS grown FROM a" for k, v in ATTACKS.items()},
     "aug_v7": f"""WITH a AS (SELECT doc_id, CASE WHEN {_draw('0', 'apply')} < 5000 THEN {_noise(0.05, 'aug noise')} ELSE text END AS a FROM documents),
         b AS (SELECT doc_id, CASE WHEN {_draw('0', 'apply')} < 5000 AND {_draw('0', 'glyphs')} < 1500 THEN {_homoglyph(0.3, 'aug glyph', 'a')} ELSE a END AS b FROM a) SELECT doc_id, md5(b) AS augmented FROM b""",
+    "jn_lsh_band": MINHASH_SQL[: MINHASH_SQL.rindex("SELECT doc_id, md5")].rstrip() + """, b AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, p // 4 AS b, string_agg(CAST(m AS VARCHAR), ',' ORDER BY p) AS k FROM s GROUP BY 1, 2))
+        SELECT n, count(*) AS bands FROM (SELECT k, count(*) AS n FROM b GROUP BY k HAVING count(*) > 1) GROUP BY n""",
+    "sink_profile_json": f"WITH d AS (SELECT source, CASE WHEN {LONG} THEN length(array_to_string({WORD}, '')) / greatest(len({WORD}), 1) ELSE 0 END AS x FROM documents) SELECT source AS author, count(*) AS n, round(avg(x), 4) AS word_length FROM d GROUP BY source",
+    "fn_evidence": f"""{sentence_sql(EVIDENCE_SCORE)}, g AS (SELECT doc_id, list({{'p': position, 's': score, 'm': marks}} ORDER BY position) AS x, list(score ORDER BY position) AS v FROM m GROUP BY doc_id),
+        h AS (SELECT *, list_filter(x, lambda s: s.s > 0.6::DOUBLE)[1:5] AS high, list_filter(v, lambda s: s < 0.4::DOUBLE) AS low FROM g)
+        SELECT doc_id, 'high_confidence_ai_sentence' AS type, CAST(e.p AS INT) AS position, round(e.s, 4) AS score, array_to_string(e.m[1:3], ', ') AS detail FROM (SELECT doc_id, unnest(high) AS e FROM h)
+        UNION ALL SELECT doc_id, 'human_writing_indicators', NULL, round(list_avg(low), 4), len(low) || ' of ' || len(v) FROM h WHERE len(high) = 0 AND len(low) > 0
+        UNION ALL SELECT doc_id, 'uniform_high_ai_scores', NULL, round(list_avg(v), 4), 'std ' || printf('%.4f', list_aggregate(v, 'stddev_pop')) FROM h WHERE len(v) >= 3 AND list_aggregate(v, 'stddev_pop') < 0.08::DOUBLE AND list_avg(v) > 0.5""",
+    "jn_plugin_merge": f"""SELECT doc_id, r.level, h.level AS hallucination_level, 0 AS n_errors FROM ({R}, q AS (SELECT doc_id, {SCORE} AS score FROM r) SELECT doc_id, CASE WHEN score >= 0.55 THEN 'HIGH' WHEN score >= 0.28 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM q) r
+        JOIN ({H}, q AS (SELECT doc_id, {RISK} AS s FROM h) SELECT doc_id, CASE WHEN s < 0.25 THEN 'LOW' WHEN s < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM q) h USING (doc_id)""",
+    "feat_perplexity": f"{PERPLEXITY} SELECT doc_id, " + ", ".join(f"round({k}, 6) AS {k}" for k in features.PERPLEXITY) + " FROM z",
+    "fn_risk_p": f"""{PERPLEXITY}, q AS (SELECT doc_id, n, ({' + '.join(VOTES)}) / 5.0::DOUBLE AS raw FROM z) SELECT doc_id, CASE WHEN n < 15 THEN 0.0 ELSE round(greatest(0, least(1, CASE WHEN n < 300 THEN 0.5 + (raw - 0.5) * n / 300.0::DOUBLE ELSE raw END)), 4) END::DOUBLE AS score FROM q""",
 }

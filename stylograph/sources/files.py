@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import lexicons as L
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -81,3 +82,24 @@ def write_dictionary(counts: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def read_profiles(spark: SparkSession, path: str, scalars: list[str]) -> DataFrame:
+    """Stored profiles, an object a line: author_id, schema_version, adaptive_threshold, vectors and scalars.
+
+    What an earlier version lacks gets its default (L.PROFILE_DEFAULTS); other keys are left out, other missing values are null.
+    """
+    text, number, vector = ("author_id", "schema_version", "pos_bigrams_source"), ("adaptive_threshold", *scalars), ("feature_mean", "feature_std", "feature_vector")
+    schema = ", ".join([*(f"{k} string" for k in text), *(f"{k} double" for k in number), *(f"{k} array<double>" for k in vector)])
+    return spark.read.schema(schema).json(path).fillna({k: v for k, v in L.PROFILE_DEFAULTS.items() if k in (*text, *number)})
+
+
+def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
+    """Small result tables (calibration, thresholds, split sizes, evaluation), each as JSON lines in a folder of its name."""
+    for name, df in tables.items():
+        write_json(df, f"{path}/{name}")
+
+
+def read_artifact(like: DataFrame, path: str, name: str) -> DataFrame:
+    """A table of write_artifacts, with the columns of `like`."""
+    return like.sparkSession.read.schema(like.schema).json(f"{path}/{name}")

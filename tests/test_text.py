@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,30 @@ def test_candidates_of_common_words(spark):
         want = [i for n, i in shared[:3] if n < 0]
         assert sorted(r["work_id"] for r in found if r["ref_id"] == k and r["work_id"] is not None) == sorted(want)
         assert [r["ref_id"] for r in found].count(k) == max(1, len(want))
+
+
+def test_quick_compare_is_plain_arithmetic(spark):
+    samples = ["One day, we sat by the sea and ate bread.", "The sea was calm; nobody spoke, and we ate.", "Bread again! We did not mind it, by the sea."]
+    docs = spark.createDataFrame([(1, samples[0]), (2, "Utterly different: 12 numbers, 9 words? No, none at all."), (3, None)], "doc_id long, text string")
+    vectors = lambda df: [np.array(r["style_vector"]) for r in style.stylometric(df).collect()]
+    known = np.array(vectors(spark.createDataFrame([(x,) for x in samples], "text string")))
+    mean, std = known.mean(0), np.where(known.std(0) < 1e-9, 1.0, known.std(0))
+    profile = (vectors(spark.createDataFrame([(" ".join(samples),)], "text string"))[0] - mean) / std
+    cosine = lambda a, b: max(0.0, a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+    got = {r["doc_id"]: r for r in style.quick_compare(docs, samples).collect()}
+    for k, v in zip((1, 2, 3), vectors(docs.orderBy("doc_id")), strict=True):
+        assert abs(got[k]["similarity"] - cosine(profile, (v - mean) / std)) < 1e-6
+        assert got[k]["comparison"]["same_author"] == (got[k]["similarity"] >= got[k]["threshold"])
+    fixed = style.quick_compare(docs, samples[:2], scorer=lambda a, b: F.lit(7.0), embed=lambda t: F.array(F.lit(1.0), F.lit(0.0))).collect()
+    assert {(r["similarity"], r["threshold"]) for r in fixed} == {(1.0, 0.8)}
+    with pytest.raises(ValueError):
+        style.quick_compare(docs, [])
+
+
+def test_rendering_of_nothing(spark):
+    from stylograph.operators import render
+
+    r = F.expr("struct('Human' AS prediction, 1d AS human, 0d AS ai, 62.5d AS confidence, 'unknown' AS model, cast(null AS string) AS forensic, cast(null AS struct<level:string,risk:double>) AS hallucination, cast(null AS struct<detected:boolean,scheme:string,confidence:double>) AS watermark, cast(null AS double) AS reasoning, cast(null AS array<string>) AS errors)")
+    row = spark.range(1).select(r.alias("r")).select(render.markdown(F.col("r")), render.short_summary(F.col("r")), render.detector_markdown(F.col("r"))).collect()[0]
+    assert row[0] == "**The text is** <span class='highlight-human'>**100.00%** likely <b>Human written</b>.</span>"
+    assert row[1] == "[Human] conf=62.5% model=unknown forensic=N/A hal=N/A wm=NO errors=0" and row[2].endswith("**62.50%** likely <b>Human written</b>.</span>")
