@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, language, media, packing, passages, quality, secrets, simhash, toxicity, warc
+from . import audit, automaton, codebooks, language, media, metric, packing, passages, quality, secrets, simhash, toxicity, warc
 from .common import Scratch, table
 
 
@@ -89,6 +89,19 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op11_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op12"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"), Scratch(spark, "op13"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op10_substring_dedup": op10_substring_dedup,
@@ -100,6 +113,9 @@ QUERIES = {
     "op7_warc_captures": op7_warc_captures,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op11_metric_range_join": op11_metric_range_join,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
     "media_page_sequences": page_sequences,
 }
 ORACLES: dict[str, str] = {
@@ -111,4 +127,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
         FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000
     """,
+    "op11_metric_range_join": metric.sql(),
+    "op12_filter_audit": audit.sql(),
+    "op13_vector_codes": codebooks.sql(),
 }
