@@ -125,7 +125,7 @@ def _sums(trees, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def _codes(trees, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = _cuts(dims, len(trees.value))
+        cuts = _cuts(dims, max(1, len(trees.value)))
         for batch in batches:
             if not batch.num_rows:
                 continue
