@@ -136,3 +136,29 @@ RENDERED = {
 
 #: What a stored profile of an earlier version lacks.
 PROFILE_DEFAULTS = {"schema_version": "1.0", "pos_bigrams_source": "none", "avg_dep_distance": 0.0, "max_dep_distance": 0.0, "avg_tree_depth": 0.0, "complex_sentence_ratio": 0.0, "burstiness_score": 0.0}
+
+#: Indicator words and their strengths.
+AI_WORDS = {
+    "furthermore": 0.8, "moreover": 0.8, "additionally": 0.7, "consequently": 0.85, "therefore": 0.7, "thus": 0.7, "delve": 0.95, "utilize": 0.7, "leverage": 0.75, "robust": 0.7, "comprehensive": 0.7, "innovative": 0.65,
+    "streamline": 0.75, "optimize": 0.7, "enhance": 0.65, "facilitate": 0.75, "implement": 0.65, "integrate": 0.65, "whilst": 0.8, "hence": 0.75, "thereby": 0.8, "aforementioned": 0.85, "pertaining": 0.8, "regarding": 0.6,
+}
+HUMAN_WORDS = {
+    "kinda": 0.9, "gonna": 0.9, "wanna": 0.9, "like": 0.3, "basically": 0.4, "actually": 0.4, "honestly": 0.5, "literally": 0.5, "seriously": 0.5, "anyway": 0.6, "whatever": 0.7, "stuff": 0.6, "thing": 0.4, "things": 0.4,
+    "guy": 0.6, "cool": 0.5, "awesome": 0.5, "crazy": 0.5,
+}
+
+#: What an item of evidence names where a sentence has no indicator; risk categories as they are shown; what people write.
+NO_SIGNAL = "Elevated AI probability (score-based)"
+CATEGORY_NAMES = {
+    "lexical_risk": "Lexical Risk", "entity_anomaly": "Entity Anomaly", "entropy": "Entropy", "semantic_incoherence": "Semantic Incoherence", "vagueness": "Vagueness", "repetition": "Repetition",
+    "structural_anomaly": "Structural Anomaly", "imprecision": "Imprecision",
+}
+STATISTICS_OF_PEOPLE = {"burstiness": (0.25, "burstiness"), "lexical_diversity": (0.70, "lexical diversity"), "avg_sentence_length": (16.0, "average sentence length")}
+
+#: What a summary calls kinds of evidence.
+EVIDENCE_NAMES = {
+    "high_confidence_ai_sentence": "sentences of a machine", "human_writing_indicators": "sentences of a person", "uniform_high_ai_scores": "scores alike", "absent_human_markers": "no informal words", "low_perplexity": "low perplexity",
+    "stylometric_anomaly": "unusual style", "high_hallucination_category": "risky categories", "statistical_deviation_from_baseline": "unusual statistics", "high_hallucination_risk": "risk of invented details",
+    "elevated_hallucination_categories": "raised categories", "high_reasoning_model_signal": "marks of reasoning models", "moderate_reasoning_model_signal": "some marks of reasoning models", "candidate_watermark_signal": "a watermark",
+    "high_perplexity_ai_signal": "a machine's perplexity", "perplexity_valley_detected": "valleys of perplexity", "fabricated_citations_detected": "references not found", "chimeric_citations_detected": "mixed references", "ornamental_references": "references not cited",
+}

@@ -8,15 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import lexicons as L
 
-#: Indicator words and their strengths.
-AI_WORDS = {
-    "furthermore": 0.8, "moreover": 0.8, "additionally": 0.7, "consequently": 0.85, "therefore": 0.7, "thus": 0.7, "delve": 0.95, "utilize": 0.7, "leverage": 0.75, "robust": 0.7, "comprehensive": 0.7, "innovative": 0.65,
-    "streamline": 0.75, "optimize": 0.7, "enhance": 0.65, "facilitate": 0.75, "implement": 0.65, "integrate": 0.65, "whilst": 0.8, "hence": 0.75, "thereby": 0.8, "aforementioned": 0.85, "pertaining": 0.8, "regarding": 0.6,
-}
-HUMAN_WORDS = {
-    "kinda": 0.9, "gonna": 0.9, "wanna": 0.9, "like": 0.3, "basically": 0.4, "actually": 0.4, "honestly": 0.5, "literally": 0.5, "seriously": 0.5, "anyway": 0.6, "whatever": 0.7, "stuff": 0.6, "thing": 0.4, "things": 0.4,
-    "guy": 0.6, "cool": 0.5, "awesome": 0.5, "crazy": 0.5,
-}
+AI_WORDS, HUMAN_WORDS = L.AI_WORDS, L.HUMAN_WORDS
 
 
 def word_scores(text: Column, score: Column) -> Column:
@@ -60,28 +52,32 @@ def hybrid(scores: Column) -> Column:
     return (F.size(scores) >= 6) & (F.abs(a - b) > 0.25) & ((a > 0.5) != (b > 0.5))
 
 
-def evidence(sentences: Column) -> Column:
-    """array<struct<type, position, score, detail>>: up to 5 AI sentences, else a human summary; uniform scores."""
-    return C.let(sentences, _evidence)
+def report_json(fields: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
-def _evidence(sentences: Column) -> Column:
-    item = lambda kind, position, score, detail: F.struct(F.lit(kind).alias("type"), position.cast("int").alias("position"), F.round(score, 4).alias("score"), detail.alias("detail"))
-    high = F.slice(F.transform(F.filter(sentences, lambda s: s["score"] > 0.60), lambda s: item("high_confidence_ai_sentence", s["position"], s["score"], F.array_join(F.slice(s["indicators"], 1, 3), ", "))), 1, 5)
-    low = F.filter(sentences, lambda s: s["score"] < 0.40)
-    scores = F.transform(sentences, lambda s: s["score"])
-    human = F.when((F.size(high) == 0) & (F.size(low) > 0), item("human_writing_indicators", F.lit(None), C.mean(F.transform(low, lambda s: s["score"])), F.concat_ws(" of ", F.size(low).cast("string"), F.size(sentences).cast("string"))))
-    even = F.when((F.size(scores) >= 3) & (F.sqrt(C.variance(scores)) < 0.08) & (C.mean(scores) > 0.5), item("uniform_high_ai_scores", F.lit(None), C.mean(scores), F.format_string("std %.4f", F.sqrt(C.variance(scores)))))
-    return F.array_compact(F.concat(high, F.array(human, even)))
+def _safe(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def report_json(fields: dict[str, Column]) -> Column:
-    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+def _gauge(name: str, value: Column) -> Column:
+    """A bar from 0 to 100 %, drawn by width alone."""
+    return F.format_string('<div class="gauge"><span>%s</span><div style="width:%.1f%%"></div><b>%.1f%%</b></div>', F.lit(name), *(F.bround(value * 100, 1),) * 2)
 
 
-def report_html(title: Column, verdict: Column, sentences: Column, items: Column) -> Column:
-    """A page with the verdict, the first 8 pieces of evidence and the first 10 sentences."""
-    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    rows = F.array_join(F.transform(F.slice(sentences, 1, 10), lambda s: F.format_string("<tr><td>%d</td><td>%.3f</td><td>%s</td></tr>", s["position"], s["score"], safe(s["text"]))), "")
-    listed = F.array_join(F.transform(F.slice(items, 1, 8), lambda e: F.format_string("<li>%s %.4f %s</li>", e["type"], e["score"], safe(e["detail"]))), "")
-    return F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>"), safe(title), F.lit("</title></head><body><h1>"), safe(verdict), F.lit("</h1><ul>"), listed, F.lit("</ul><table>"), rows, F.lit("</table></body></html>"))
+def report_html(title: Column, given: dict[str, Column]) -> Column:
+    """A page of one result: gauges of the scores, the summary, the first 8 items of evidence, a comparison with what people write, levels
+    of risk and the first 10 sentences. given: as for evidence.summary, with evidence and summary (string). Sections without content are left out.
+    """
+    gauges = F.concat(*(_gauge(name, given[k]) for k, name in (("neural", "Neural"), ("statistical", "Statistical"), ("reasoning_score", "Reasoning"), ("watermark_score", "Watermark"))))
+    section = lambda name, body, when: F.when(when, F.concat(F.lit(f'<section id="{name}"><h2>{name.title()}</h2>'), body, F.lit("</section>"))).otherwise("")
+    always = F.lit(True)
+    items = F.array_join(F.transform(F.slice(given["evidence"], 1, 8), lambda e: F.concat(F.lit('<li class="evidence"><code>'), e["type"], F.lit("</code> "), _safe(e["explanation"]), F.lit("</li>"))), "")
+    rows = F.array_join(F.transform(F.slice(given["sentences"], 1, 10), lambda s: F.concat(F.format_string('<tr class="sentence"><td>%d</td><td>%.3f</td><td>%s</td>', s["position"] + 1, s["score"], sentence_level(s["score"])), F.lit("<td>"), _safe(s["text"]), F.lit("</td></tr>"))), "")
+    compared = F.array_join(F.transform(given["baseline"], lambda b: F.format_string("<tr><td>%s</td><td>%.3f</td><td>%.3f</td></tr>", b["metric"], b["value"], b["human"])), "")
+    levels = F.concat(F.lit("<p>Invented details: "), F.coalesce(given["hallucination"]["level"], F.lit("unknown")), F.lit("</p><p>Reasoning markers: "), F.coalesce(given["reasoning"]["level"], F.lit("unknown")), F.lit("</p>"))
+    parts = [
+        section("scores", gauges, always), section("summary", F.concat(F.lit("<p>"), _safe(given["summary"]), F.lit("</p>")), always), section("evidence", F.concat(F.lit("<ul>"), items, F.lit("</ul>")), F.size(given["evidence"]) > 0),
+        section("statistics", F.concat(F.lit("<table>"), compared, F.lit("</table>")), always), section("risks", levels, always), section("sentences", F.concat(F.lit("<table>"), rows, F.lit("</table>")), F.size(given["sentences"]) > 0),
+    ]
+    return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), _safe(title), F.lit("</title></head><body><h1>"), _safe(given["verdict"]), F.lit("</h1>"), *parts, F.lit("</body></html>"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, ensemble, features, levels, more, relational, text
+from . import corpus, ensemble, features, levels, more, relational, text, verdicts
 from .sql import SQL
 
-FAMILIES = (text, features, ensemble, corpus, more, relational, levels)
+FAMILIES = (text, features, ensemble, corpus, more, relational, levels, verdicts)
 QUERIES = {k: q for f in FAMILIES for k, (q, _) in f.ALL.items()}
 ORACLES = {**{k: sql for f in FAMILIES for k, (_, sql) in f.ALL.items() if sql}, **SQL}

@@ -233,7 +233,6 @@ ALL = {
         "SELECT doc_id, 'T' || CAST(doc_id AS VARCHAR) AS title, CAST(2000 + doc_id % 20 AS INT) AS year, 'Smith' AS author FROM documents",
     ),
     "fn_attr_word": (lambda s, d: docs(s, d).select("doc_id", report.word_scores(TEXT_(), F.lit(0.6)).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.round(C.mean(F.transform("w", lambda x: x["score"])), 6).alias("mean")), None),
-    "fn_summary": (_project(summary=lambda: F.format_string("Document %d: %d words in %d sentences.", F.col("doc_id"), F.size(C.tok_ws(TEXT_())), F.size(C.sent_punct(TEXT_())))), rf"SELECT doc_id, 'Document ' || doc_id || ': ' || len({WS % 'text'}) || ' words in ' || len({SENT % 'text'}) || ' sentences.' AS summary FROM documents"),
     "tf_bib_split": (lambda s, d: docs(s, d).select("doc_id", citations.split_bibliography(F.expr(BIB_SPARK)).alias("b")).select("doc_id", F.length("b.body").cast("long").alias("body"), F.length("b.bib").cast("long").alias("bib")), None),
     "tf_explode_list": (lambda s, d: docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"),
     **{f"atk_{k}": (_attacked(k), None) for k in ("homoglyph", "zero_width", "char_noise", "whitespace")},

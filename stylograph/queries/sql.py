@@ -161,8 +161,6 @@ APA = citations.APA
 WINDOWS7 = f"""WITH s AS (SELECT doc_id, {CAPITAL} AS s FROM documents), n AS (SELECT doc_id, list_transform(s, lambda x: len({WS % 'x'})) AS n FROM s)
     SELECT doc_id, CAST(CASE WHEN len(n) < 3 THEN 1 ELSE greatest(1, len(list_filter(range(0, len(n), 5), lambda i: list_sum(n[i + 1:i + 7]) >= 64))) END AS BIGINT) AS n FROM n"""
 
-EVIDENCE_SCORE = "(CASE WHEN doc_id % 2 = 0 THEN 0.7 ELSE 0.3 END)"
-
 # perplexity: each window of sentences with its own n-grams, then the features of all windows
 W7 = rf"""WITH a AS (SELECT doc_id, text, len({WS % 'text'}) AS nw, list_transform({CAPITAL}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM documents),
     b AS (SELECT doc_id, s, list_filter(list_transform(range(0, len(s), 5), lambda i: array_to_string(s[i + 1:i + 7], ' ')), lambda x: len({WS % 'x'}) >= 64) AS k FROM a),
@@ -220,11 +218,6 @@ SQL = {
     "jn_lsh_band": MINHASH_SQL[: MINHASH_SQL.rindex("SELECT doc_id, md5")].rstrip() + """, b AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, p // 4 AS b, string_agg(CAST(m AS VARCHAR), ',' ORDER BY p) AS k FROM s GROUP BY 1, 2))
         SELECT n, count(*) AS bands FROM (SELECT k, count(*) AS n FROM b GROUP BY k HAVING count(*) > 1) GROUP BY n""",
     "sink_profile_json": f"WITH d AS (SELECT source, CASE WHEN {LONG} THEN length(array_to_string({WORD}, '')) / greatest(len({WORD}), 1) ELSE 0 END AS x FROM documents) SELECT source AS author, count(*) AS n, round(avg(x), 4) AS word_length FROM d GROUP BY source",
-    "fn_evidence": f"""{sentence_sql(EVIDENCE_SCORE)}, g AS (SELECT doc_id, list({{'p': position, 's': score, 'm': marks}} ORDER BY position) AS x, list(score ORDER BY position) AS v FROM m GROUP BY doc_id),
-        h AS (SELECT *, list_filter(x, lambda s: s.s > 0.6::DOUBLE)[1:5] AS high, list_filter(v, lambda s: s < 0.4::DOUBLE) AS low FROM g)
-        SELECT doc_id, 'high_confidence_ai_sentence' AS type, CAST(e.p AS INT) AS position, round(e.s, 4) AS score, array_to_string(e.m[1:3], ', ') AS detail FROM (SELECT doc_id, unnest(high) AS e FROM h)
-        UNION ALL SELECT doc_id, 'human_writing_indicators', NULL, round(list_avg(low), 4), len(low) || ' of ' || len(v) FROM h WHERE len(high) = 0 AND len(low) > 0
-        UNION ALL SELECT doc_id, 'uniform_high_ai_scores', NULL, round(list_avg(v), 4), 'std ' || printf('%.4f', list_aggregate(v, 'stddev_pop')) FROM h WHERE len(v) >= 3 AND list_aggregate(v, 'stddev_pop') < 0.08::DOUBLE AND list_avg(v) > 0.5""",
     "jn_plugin_merge": f"""SELECT doc_id, r.level, h.level AS hallucination_level, 0 AS n_errors FROM ({R}, q AS (SELECT doc_id, {SCORE} AS score FROM r) SELECT doc_id, CASE WHEN score >= 0.55 THEN 'HIGH' WHEN score >= 0.28 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM q) r
         JOIN ({H}, q AS (SELECT doc_id, {RISK} AS s FROM h) SELECT doc_id, CASE WHEN s < 0.25 THEN 'LOW' WHEN s < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM q) h USING (doc_id)""",
     "feat_perplexity": f"{PERPLEXITY} SELECT doc_id, " + ", ".join(f"round({k}, 6) AS {k}" for k in features.PERPLEXITY) + " FROM z",

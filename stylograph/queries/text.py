@@ -133,8 +133,6 @@ ALL = {
         _project(level=lambda: report.sentence_level(F.col("doc_id") % 100 / 100)),
         "SELECT doc_id, CASE WHEN doc_id % 100 >= 85 THEN 'very high' WHEN doc_id % 100 >= 65 THEN 'high' WHEN doc_id % 100 >= 45 THEN 'uncertain' WHEN doc_id % 100 >= 25 THEN 'low' ELSE 'very low' END AS level FROM documents",
     ),
-    "fn_evidence": (lambda s, d: docs(s, d).select("doc_id", F.explode(report.evidence(report.sentence_scores(T(), F.when(F.col("doc_id") % 2 == 0, 0.7).otherwise(0.3)))).alias("e")).select("doc_id", "e.*"), None),
-    "sink_html_report": (lambda s, d: docs(s, d).select("doc_id", report.sentence_scores(T(), F.lit(0.7)).alias("s")).select("doc_id", F.length(report.report_html(F.col("doc_id").cast("string"), F.lit("AI"), F.col("s"), report.evidence(F.col("s")))).alias("size")), None),
     "sink_json_report": (
         _project(json=lambda: report.report_json({"doc_id": F.col("doc_id"), "lang": F.col("lang"), "text_hash": F.substring(F.sha2(T(), 256), 1, 16)})),
         """SELECT doc_id, '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","text_hash":"' || substr(sha256(text), 1, 16) || '"}' AS json FROM documents""",
