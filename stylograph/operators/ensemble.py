@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as L
+from ..session import Stage
+from . import selection
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
@@ -76,17 +78,16 @@ def conformal(scores: DataFrame, alpha: float = 0.01, group: str | None = None,
     """Thresholds from scores (p, y, and a group column): grp (null: all), n, tau_ai, tau_human, from human rows (y = 0).
 
     tau_ai is the k-th smallest score, k = ceil((n + 1)(1 - alpha)) held within 1..n; tau_human the median. Without a human row
-    tau_ai is 1.01 and tau_human .49. Groups under `least` human rows have no row. Ranks come from counts of equal scores, so
-    copies of a score are one row.
+    tau_ai is 1.01 and tau_human .49. Groups under `least` human rows have no row. The ranks are selected exactly, without sorting a group.
     """
-    human = scores.filter("y = 0 and p is not null").select((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), "p")
-    both = human.select("p", F.lit(None).cast("string").alias("grp")).unionByName(human.filter("grp is not null")) if group else human
-    found = both.groupBy("grp").agg(F.count("*").alias("n"), F.percentile("p", F.lit(0.5)).alias("tau_human"), F.percentile("p", F.lit(0.0)).alias("lowest"))
-    need = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)))
-    counts = both.groupBy("grp", "p").agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("grp").orderBy("p")))
-    tau = ranked.join(F.broadcast(found.select(F.col("grp").alias("g"), need.alias("k"))), F.col("grp").eqNullSafe(F.col("g"))).filter("upto >= k").groupBy("grp").agg(F.min("p").alias("tau_ai"))
-    out = found.join(tau.withColumnsRenamed({"grp": "g"}), F.col("grp").eqNullSafe(F.col("g"))).filter((F.col("n") >= least) | F.col("grp").isNull()).select("grp", "n", "tau_ai", "tau_human")
+    stage = Stage(scores.sparkSession, "conformal")
+    human = scores.filter("y = 0 and p is not null").select((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col("p").alias("v"))
+    both = human.select(F.lit(None).cast("string").alias("g"), "v").unionByName(human.filter("g is not null")) if group else human
+    n = F.col("n")
+    need, low, high = F.least(n, F.greatest(F.lit(1), F.ceil((n + 1) * (1 - alpha) - 1e-9))), F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("value")))
+    found = selection.ranked(both, F.array(need, low, high), stage).groupBy(F.col("g").alias("grp"), "n").agg(at(need).alias("tau_ai"), ((at(low) + at(high)) / 2).alias("tau_human"))
+    out = found.filter((n >= least) | F.col("grp").isNull()).select("grp", "n", "tau_ai", "tau_human")
     none = scores.sparkSession.createDataFrame([(None, 0, 1.01, 0.49)], "grp string, n bigint, tau_ai double, tau_human double")
     return out.unionByName(none.join(human.limit(1), F.lit(True), "left_anti"))
 
@@ -100,7 +101,7 @@ def with_thresholds(scores: DataFrame, thresholds: DataFrame, group: str) -> Dat
     own = thresholds.filter("grp is not null").select(F.col("grp").alias("g_"), F.col("tau_ai").alias("a_"), F.col("tau_human").alias("h_"))
     every = thresholds.filter("grp is null").select(F.col("tau_ai").alias("a0"), F.col("tau_human").alias("h0"))
     row = F.broadcast(every)  # a single row
-    return scores.join(F.broadcast(own), F.col(group).cast("string") == F.col("g_"), "left").join(row, F.lit(True), "left").select(scores["*"], F.coalesce("a_", "a0").alias("tau_ai"), F.coalesce("h_", "h0").alias("tau_human"))
+    return scores.join(selection.small(own), F.col(group).cast("string") == F.col("g_"), "left").join(row, F.lit(True), "left").select(scores["*"], F.coalesce("a_", "a0").alias("tau_ai"), F.coalesce("h_", "h0").alias("tau_human"))
 
 
 def fit_temperature(logits: DataFrame, labels: DataFrame, low: float = 0.05, high: float = 10.0, rounds: int = 40) -> float:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Stage
+from . import selection
+
 
 def confusion(scores: DataFrame, *by: str) -> DataFrame:
     """tp, tn, fp, fn, accuracy, precision, recall, f1, mcc; 0 where a ratio has no ground."""
@@ -42,7 +45,9 @@ def auroc(scores: DataFrame) -> DataFrame:
 
 def tpr_at_fpr(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
     """tau: the linear 1 - fpr quantile of negatives; tpr: share of positives at tau or above."""
-    tau = scores.agg(F.percentile(F.when(F.col("y") == 0, F.col("p")), F.lit(1 - fpr)).alias("tau"))
+    human = scores.filter("y = 0").select(F.lit(None).cast("string").alias("g"), F.col("p").alias("v"))
+    tau = selection.quantiles(human, [1 - fpr], Stage(scores.sparkSession, "fpr")).select(F.col("value").alias("tau"))
+    tau = scores.sparkSession.range(1).select(F.lit(0)).join(tau, F.lit(True), "left").select("tau")  # one row, null without negatives
     return scores.join(F.broadcast(tau), F.lit(True)).groupBy("tau").agg(F.avg(F.when(F.col("y") == 1, (F.col("p") >= F.col("tau")).cast("double"))).alias("tpr"))
 
 

@@ -21,7 +21,13 @@ class Plugin:
 
 @dataclass(frozen=True)
 class Config:
-    """Which plugins run. References and watermark are off unless asked for."""
+    """Which plugins run, and how. References and watermark are off unless asked for.
+
+    report_path and report_format ("html" or "json"): where reports() writes each document's report. dictionary: a table of n-gram
+    counts (write_dictionary) for the perplexity of texts. tokens: perplexity by tokens, from a column of per-token values that a model made
+    (token_column), where it isn't null. catalogue: references are looked up in a table of works, else judged offline. device is where such a
+    model runs; no model runs here.
+    """
 
     stylometric: bool = True
     reasoning: bool = True
@@ -29,9 +35,16 @@ class Config:
     perplexity: bool = True
     references: bool = False
     watermark: bool = False
+    report: bool = True
+    report_path: str | None = None
+    report_format: str = "html"
+    device: str | None = None
+    dictionary: str | None = None
+    tokens: bool = True
+    catalogue: bool = True
 
     def names(self) -> list[str]:
-        return [k for k, on in vars(self).items() if on]
+        return [k for k in ("stylometric", "reasoning", "hallucination", "perplexity", "references", "watermark") if getattr(self, k)]
 
 
 def order(plugins: list[Plugin]) -> list[Plugin]:
@@ -71,15 +84,31 @@ def run(docs: DataFrame, plugins: list[Plugin]) -> tuple[DataFrame, dict[str, st
     return docs, errors
 
 
-def standard(config: Config = Config(), text_col: str = "text") -> list[Plugin]:
-    from ..operators import features, risk, style
-
+def standard(config: Config = Config(), text_col: str = "text", ids_col: str = "token_ids", token_column: str = "token_ppl", year: int = 2025, id_col: str = "doc_id") -> list[Plugin]:
+    """The plugins that config asks for. watermark takes token ids (ids_col, array<int>), tokens a column of per-token perplexities."""
     from pyspark.sql import functions as F
 
+    from ..functions import columns as C
+    from ..operators import citations, corpus, features, risk, style, watermark
+
+    def perplexity(df: DataFrame) -> DataFrame:
+        out = features.perplexity(df, text_col, "perplexity").withColumn("tier", F.lit("tier1"))
+        if config.tokens and token_column in df.columns:
+            some = F.size(token_column) > 0
+            mean = F.when(some, C.mean(F.col(token_column))).otherwise(F.col("perplexity.proxy_perplexity_mean"))
+            out = out.withColumns({"perplexity": F.col("perplexity").withField("proxy_perplexity_mean", mean), "tier": F.when(some, "tier2").otherwise("tier1")})
+        if config.dictionary:
+            counts = df.sparkSession.read.parquet(config.dictionary)
+            known = corpus.dictionary_perplexity(df, counts, id_col, text_col).select(F.col("id").alias(id_col), F.col("ppl").alias("dictionary_perplexity"))
+            out = out.join(known, id_col, "left")
+        return out.withColumn("perplexity_risk", risk.perplexity_risk(F.col("perplexity"), F.size(C.tok_word(F.coalesce(F.col(text_col), F.lit(""))))))
+
     known = {
         "stylometric": Plugin("stylometric", lambda df: style.stylometric(df, text_col, "stylometric")),
         "reasoning": Plugin("reasoning", lambda df: features.reasoning(df, text_col, "reasoning").withColumn("reasoning_risk", risk.reasoning_risk(F.col("reasoning")))),
         "hallucination": Plugin("hallucination", lambda df: features.hallucination(df, text_col, "hallucination").withColumn("hallucination_risk", risk.hallucination_risk(F.col("hallucination")))),
-        "perplexity": Plugin("perplexity", lambda df: features.perplexity(df, text_col, "perplexity")),
+        "perplexity": Plugin("perplexity", perplexity),
+        "references": Plugin("references", lambda df: df.withColumn("references", citations.features(F.coalesce(F.col(text_col), F.lit("")), year))),
+        "watermark": Plugin("watermark", lambda df: df.withColumn("watermark", watermark.green_test(ids_col))),
     }
-    return [known[n] for n in config.names() if n in known]
+    return [known[n] for n in config.names()]

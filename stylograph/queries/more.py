@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import lexicons as L
-from ..operators import citations, corpus, ensemble, features, report, risk, style, watermark
+from ..operators import citations, corpus, ensemble, features, report, risk, selection, style, watermark
 from ..session import Stage
 from ..sources import files
 from .ensemble import S, scores
@@ -116,6 +116,11 @@ def _vector(spark, d):
     return e
 
 
+def _median(spark, d):
+    q = selection.quantiles(docs(spark, d).select(F.col("lang").alias("g"), F.col("n_chars").alias("v")), [0.5, 0.99], Stage(spark, "median"))
+    return q.groupBy(F.col("g").alias("lang")).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(k) for k, p in (("median", 0.5), ("q99", 0.99))))
+
+
 def _cosine(spark, d):
     e = _vector(spark, d)
     c = style.centroids(e, "label", "v", 64).select(F.col("author").alias("l"), "mean")
@@ -154,7 +159,6 @@ def _candidates(spark, d):
     return found.groupBy("ref_id").agg(F.round(F.max("confidence"), 4).alias("confidence"), F.max_by("work_id", F.struct("confidence", -F.col("work_id"))).alias("work_id"))
 
 
-META = '{"title": ["T%d"], "author": [{"family": "Smith"}], "issued": {"date-parts": [[%d]]}, "DOI": "10.1/x"}'
 V = "v AS (SELECT doc_id, " + SERIES_SQL + " AS v FROM documents)"
 _v = lambda spark, d: docs(spark, d).select("doc_id", F.expr(SERIES).alias("v"))
 
@@ -202,7 +206,7 @@ ALL = {
     "top_common": (_top_common, f"WITH c AS (SELECT source, g, count(*) AS n FROM (SELECT source, unnest({GRAMS % dict(w='w', n=2)}) AS g FROM (SELECT source, {WORD} AS w FROM documents)) GROUP BY ALL) SELECT source, r, g, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, g) AS r FROM c) WHERE r <= 10"),
     "top_argmax": (lambda s, d: _v(s, d).select("doc_id", ensemble.argmax(F.col("v")).alias("at")), f"WITH {V} SELECT doc_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS at FROM v"),
     "top_caps": (lambda s, d: _v(s, d).select("doc_id", C.total(F.slice("v", 1, 8)).alias("t")), f"WITH {V} SELECT doc_id, list_sum(v[1:8]) AS t FROM v"),
-    "top_median": (lambda s, d: docs(s, d).groupBy("lang").agg(F.percentile("n_chars", F.lit(0.5)).alias("median"), F.percentile("n_chars", F.lit(0.99)).alias("q99")), "SELECT lang, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.99) AS q99 FROM documents GROUP BY lang"),
+    "top_median": (_median, "SELECT lang, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.99) AS q99 FROM documents GROUP BY lang"),
     "top_candidate": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best")), "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS best FROM orders GROUP BY o_custkey"),
     "set_concat": (lambda s, d: docs(s, d).select("text").unionByName(s.read.parquet(f"{d}/benchmark.parquet").select("text", "item_id"), allowMissingColumns=True).agg(F.count("*").alias("n"), F.count("item_id").alias("items")), "SELECT count(*) AS n, count(item_id) AS items FROM (SELECT text, NULL AS item_id FROM documents UNION ALL SELECT text, item_id FROM benchmark)"),
     "set_ops_tokens": (_project(both=lambda: F.size(F.array_intersect(C.tok_word(TEXT_()), F.array(*map(F.lit, L.FUNCTION_WORDS)))).cast("long")), f"WITH {W} SELECT doc_id, CAST(len(list_intersect(w, {_in(L.FUNCTION_WORDS)})) AS BIGINT) AS both FROM w"),
@@ -228,10 +232,6 @@ ALL = {
     "fn_green_mask": (lambda s, d: s.createDataFrame([(k, int(watermark.green(k, 1000, 0.5).sum())) for k in range(3)], "seed int, n int"), "SELECT unnest([0, 1, 2])::INT AS seed, 500 AS n"),
     "fn_watermark_rule": (_project(detected=lambda: watermark.rule(F.col("doc_id") % 5 + 0.5, F.col("doc_id") % 10 / 100, F.lit(0.6), F.lit(0.0))["detected"], scheme=lambda: watermark.rule(F.col("doc_id") % 5 + 0.5, F.col("doc_id") % 10 / 100, F.lit(0.6), F.lit(0.0))["scheme"]), "SELECT doc_id, doc_id % 10 < 5 AND doc_id % 5 + 0.5 > 2 AS detected, CASE WHEN doc_id % 10 < 5 AND doc_id % 5 + 0.5 > 2 THEN 'green_red' ELSE 'none' END AS scheme FROM documents"),
     "fn_entropy_stats": (lambda s, d: _v(s, d).select("doc_id", F.round(C.mean(F.col("v")), 6).alias("mean"), F.round(F.sqrt(C.variance(F.col("v"))), 6).alias("std"), F.round((F.array_max("v") - F.array_min("v")) / C.mean(F.col("v")), 6).alias("range_ratio")), f"WITH {V} SELECT doc_id, round(list_avg(v), 6) AS mean, round(list_aggregate(v, 'stddev_pop'), 6) AS std, round((list_max(v) - list_min(v)) / list_avg(v), 6) AS range_ratio FROM v"),
-    "fn_meta_norm": (
-        lambda s, d: docs(s, d).select("doc_id", F.from_json(F.format_string(META, F.col("doc_id"), F.lit(2000) + F.col("doc_id") % 20), "title array<string>, author array<struct<family:string>>, issued struct<`date-parts`:array<array<int>>>, DOI string").alias("m")).select("doc_id", F.get("m.title", F.lit(0)).alias("title"), F.get(F.get("m.issued.date-parts", F.lit(0)), F.lit(0)).alias("year"), F.get("m.author.family", F.lit(0)).alias("author")),
-        "SELECT doc_id, 'T' || CAST(doc_id AS VARCHAR) AS title, CAST(2000 + doc_id % 20 AS INT) AS year, 'Smith' AS author FROM documents",
-    ),
     "fn_attr_word": (lambda s, d: docs(s, d).select("doc_id", report.word_scores(TEXT_(), F.lit(0.6)).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.round(C.mean(F.transform("w", lambda x: x["score"])), 6).alias("mean")), None),
     "tf_bib_split": (lambda s, d: docs(s, d).select("doc_id", citations.split_bibliography(F.expr(BIB_SPARK)).alias("b")).select("doc_id", F.length("b.body").cast("long").alias("body"), F.length("b.bib").cast("long").alias("bib")), None),
     "tf_explode_list": (lambda s, d: docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"),
