@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import dropped_at_exit, shared_dir
@@ -48,6 +48,26 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def draw_limit(wanted: int, there: int) -> int:
+    """The largest 64-bit hash with which one of `there` rows is drawn, so that about `wanted` are, however many there are."""
+    return -(1 << 63) + max(0, min((1 << 64) * wanted // max(1, there), 1 << 64) - 1)
+
+
+def share(wanted: int, there: int, *of: str) -> Column:
+    """A filter that about `wanted` of `there` rows pass, by a hash of these columns, the same ones each time; all if there are no more."""
+    return F.xxhash64(*of, F.lit("sample")) <= F.lit(draw_limit(wanted, there)).cast("bigint")
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df in one struct: an operator that keeps them there has its own names for itself."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
+
+
+def unpacked(df: DataFrame, name: str = "row", **changed: Column) -> list[Column]:
+    """The columns in that struct, some of them changed. df: where they come from."""
+    return [changed[c].alias(c) if c in changed else F.col(f"{name}.`{c}`") for c in df.columns]
+
+
 def lookup(rows: DataFrame, of: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """The rows whose key is in `of` (a row a key), with its other columns but count: how many of the rows have that key, in all `total`.
 

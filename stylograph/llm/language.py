@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
-from .toxicity import share
+from .common import draw_limit, texts
 
 #: Bounds of the sample the models are fitted on: documents of each language, and n-grams, of which every language has an equal share.
 SAMPLE, GRAMS = 2000, 200_000
+#: Values of lang that are learned at most.
+LANGUAGES = 1000
 ORDER = 3
 PENALTY, ROUNDS = 6.0, 25
 WORD = re.compile(r"[^\W\d_]+")
@@ -55,18 +56,20 @@ class Model:
     table: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, grams_kept: int = GRAMS) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, grams_kept: int = GRAMS, languages: int = LANGUAGES) -> Model:
     """docs: doc_id, text, lang; rows with a null in text or lang teach nothing, repeated rows count again. Keep held-out ones out of it.
 
     A language is known by the n-grams that rank among its most frequent GRAMS / languages, ties counted in, so that no language takes the
     room of another. The model has a column a language and a row an n-gram of any; an empty table gives a model without languages.
+    Of more than `languages` values of lang, those of the most documents are learned (ties by name): the rest are mistakes in a column rather than languages.
     """
-    known = docs.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], {}, np.zeros((ORDER, 0)))
-    part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, sample / n)))))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < part[F.col("lang")]).select("lang", "text")
+    # a row a language
+    limits = F.broadcast(docs.sparkSession.createDataFrame([(k, draw_limit(sample, n)) for k, n in sizes.items()], "l_lang string, l_most bigint"))
+    drawn = known.select("doc_id", "lang", "text").join(limits, F.col("lang") == F.col("l_lang")).filter(F.xxhash64("doc_id", "text", F.lit("sample")) <= F.col("l_most")).select("lang", "text")
     counts = drawn.mapInArrow(_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     upto = F.count("*").over(Window.partitionBy("lang").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, 0))
     found = counts.withColumn("upto", upto).filter(F.col("upto") <= max(1, grams_kept // len(sizes))).collect()

@@ -67,17 +67,32 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};changes={int((x[1:] != x[:-1]).sum())};rows={len(x) // WIDTH}"
 
 
+class _Figure:
+    """An open figure: its media parts, and its caption with the part that stands for it as long as no media is known."""
+
+    def __init__(self):
+        self.media: list[list] = []
+        self.caption: str | None = None
+        self.stand_in: list | None = None
+
+
 class _Parser(HTMLParser):
-    """Ordered parts of a page: text between block elements, and img elements with the caption of their figure or their alt."""
+    """Ordered parts of a page: text between block elements, and img elements with the caption of their figure or their alt.
+
+    Ends that HTML allows to leave out are found: what is left out of a head is known by its own elements (titles, scripts, styles, templates),
+    a caption ends with its figure, the next figure or caption, or the page, a figure with the page. A caption may come before or after its
+    media; one without media, or without a figure, is text.
+    """
 
     BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-    SILENT = frozenset(("script", "style", "head", "template"))
+    SILENT = frozenset(("script", "style", "title", "template"))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
         self.words: list[str] = []
-        self.silent, self.caption, self.figure = 0, None, []
+        self.silent, self.caption = 0, None
+        self.figures: list[_Figure] = []
 
     def flush(self) -> None:
         text = "".join(self.words)
@@ -85,6 +100,30 @@ class _Parser(HTMLParser):
         if text.strip():
             self.parts.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = "".join(self.caption).strip(), None
+        if not self.figures:
+            if text:
+                self.parts.append(["text", text, None, None])
+            return
+        figure = self.figures[-1]
+        if figure.caption is None:
+            figure.caption, figure.stand_in = text, ["text", text, None, None]
+        else:  # a second one
+            figure.stand_in[1] = figure.caption = f"{figure.caption}\n{text}".strip()
+        if text and not any(p is figure.stand_in for p in self.parts):
+            self.parts.append(figure.stand_in)
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        figure = self.figures.pop()
+        if figure.media and figure.caption is not None:
+            for part in figure.media:
+                part[3] = figure.caption
+            self.parts = [p for p in self.parts if p is not figure.stand_in]
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
             self.silent += 1
@@ -93,38 +132,48 @@ class _Parser(HTMLParser):
             have = dict(attrs)
             source = have.get("src") or ""
             self.parts.append(["media", None, source.removeprefix(SCHEME) if source.startswith(SCHEME) else source, have.get("alt")])
-            self.figure.append(len(self.parts) - 1)
+            if self.figures:
+                self.figures[-1].media.append(self.parts[-1])
         elif tag in self.BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.end_caption()
+                self.figures.append(_Figure())
             elif tag == "figcaption":
+                self.end_caption()
                 self.caption = []
+            elif self.caption:
+                self.caption.append("\n")
 
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = "".join(self.caption).strip()
-            for k in self.figure:
-                self.parts[k][3] = text
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in self.BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = []
+            if tag == "figure" and self.figures:
+                self.end_figure()
+            elif tag == "body":
+                self.finish()
 
     def handle_data(self, data):
         if not self.silent:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+
 
 def parts(page: str) -> list[dict]:
     """The parts of a page in order; position counts them from 0. A caption is with its media, not a part of its own."""
     p = _Parser()
     p.feed(page)
     p.close()
-    p.flush()
+    p.finish()
     return [{"position": k, "kind": x[0], "text": x[1], "digest": x[2], "caption": x[3]} for k, x in enumerate(p.parts)]
 
 

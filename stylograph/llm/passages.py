@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, components, lookup, texts
+from .common import WHITE, Scratch, components, lookup, packed, texts
 
 SHINGLE, SIMILARITY, RECALL, MIN_WORDS, PERMUTATIONS, TILE = 5, 0.8, 0.995, 20, 64, 1024
 #: Words of a seed; a run that adds fewer words than EDGE to longer ones is left out; most words between two runs of a near copy.
@@ -464,30 +464,33 @@ def repeats(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, m
     return whole.withColumnRenamed("key", "text_hash")
 
 
+def _cut(text: str | None, spans: list[dict] | None) -> str | None:
+    if not spans or text is None:
+        return text
+    at, parts = 0, []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        parts.append(text[at : max(at, s["start"])])
+        end = s["end"]
+        whole = (s["start"] == 0 or text[s["start"] - 1] == "\n") and text[end : end + 1] in ("", "\n")
+        at = max(at, end + whole)  # a whole line goes with its end
+    return "".join([*parts, text[at:]])
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("p_spans").to_pylist(), strict=True):
-            if not spans or text is None:
-                out.append(text)
-                continue
-            at, parts = 0, []
-            for s in sorted(spans, key=lambda s: s["start"]):
-                parts.append(text[at : max(at, s["start"])])
-                end = s["end"]
-                whole = (s["start"] == 0 or text[s["start"] - 1] == "\n") and text[end : end + 1] in ("", "\n")
-                at = max(at, end + whole)  # a whole line goes with its end
-            out.append("".join([*parts, text[at:]]))
-        names = [c for c in batch.schema.names if c != "p_spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+        row = batch.column("row")
+        columns = dict(zip((f.name for f in row.type), row.flatten(), strict=True))
+        columns["text"] = pa.array(map(_cut, columns["text"].to_pylist(), batch.column("spans").to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs, with spans (doc_id, text_hash, start, end; as repeats() gives them) cut out of text.
 
     A span is cut from the rows of its doc_id, which may be null, whose text has that hash; other rows of the doc_id stay as they
-    are, as do null texts.
+    are, as do null texts and all other columns, whatever their names.
     """
-    each = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("p_spans")).withColumnsRenamed({"doc_id": "p_doc", "text_hash": "p_hash"})
-    full = docs.withColumn("p_own", F.xxhash64("text")).join(each, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("p_own") == F.col("p_hash")), "left").drop("p_doc", "p_own", "p_hash")
+    each = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "s_doc", "text_hash": "s_hash"})
+    keyed = docs.select(packed(docs), F.col("doc_id"), F.xxhash64("text").alias("hash"))
+    full = keyed.join(each, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("hash") == F.col("s_hash")), "left").select("row", "spans")
     return full.mapInArrow(_without, docs.schema)

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, packed, unpacked
 
 #: Character classes of a word's characters beside a-z and what is in none of them.
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "stop": "[.,;:!?'\"()-]+", "sign": "[#*$%&|<>@^~=+/_`{}\\[\\]\\\\]+"}
@@ -135,13 +135,14 @@ def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20
     compared with the nearest reference of a main language; where there is none, both distances are 0. js_chars and js_words are
     null for texts under guard_words words and for those of a language without a reference, which the method doesn't judge: kept
     is then decided by the base rules. A null
-    text counts as empty. Repeated rows each get the same values. Columns of docs that have a result's name are replaced.
+    text counts as empty; texts are taken whole, whatever their length; an empty table gives no row. Equally near references count as one
+    distance. Repeated rows each get the same values. Columns of docs that have a result's name are replaced, all others stay as they are.
     """
     refs = references(docs) if refs is None else refs
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept"]
-    own = [c for c in docs.columns if c not in new]
-    step = docs.select(*own, F.coalesce("text", F.lit("")).alias("q_text"), lang.alias("q_lang"))
+    own = docs.drop(*new)
+    step = docs.select(packed(own), F.coalesce("text", F.lit("")).alias("q_text"), lang.alias("q_lang"))
     step = step.select("*", words(F.col("q_text")).alias("q_words"), F.filter(F.split("q_text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("q_lines"))
     step = step.select("*", F.size("q_words").alias("n_words"), F.length(F.array_join("q_words", "")).alias("word_chars"), odd_chars(F.col("q_text")).alias("q_odd"), F.transform("q_words", lambda w: F.xxhash64(w)).alias("q_hashes"))
     kinds = [x.split(":") for x in REFERENCE.split(",")]
@@ -164,7 +165,7 @@ def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20
 
     judged = (n >= guard_words) & (F.col("q_lang").isNull() | F.col("q_key").isNotNull())
     step = step.select(
-        *own,
+        "row",
         n.cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         (F.length("q_odd") - F.length(F.regexp_replace("q_odd", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -175,4 +176,5 @@ def quality(docs: DataFrame, refs: list[dict] | None = None, min_words: int = 20
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     diverges = F.coalesce((F.col("js_chars") > max_chars) | (F.col("js_words") > max_common), F.lit(False))
-    return step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~diverges)
+    step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~diverges)
+    return step.select(*unpacked(own), *new)

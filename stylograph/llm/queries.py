@@ -38,13 +38,23 @@ def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as its ordered sequence; a reference's payload is how often, and where first, its source is shown."""
+    """Every page as its ordered sequence, with the figure of the document of its number: captions before or after, payloads by digest.
+
+    Payloads are the documents' texts; those of every third document are in no store, so their references stay unresolved.
+    """
     scratch = Scratch(spark, "pages")
-    seqs = scratch.table(media.sequences(table(spark, sf_dir, "pages"), "page_id", "html"), "parsed")
-    shown = media.references(seqs).groupBy("digest").agg(F.count("*").alias("n_shown"), F.min("id").alias("first_page"))
-    out = media.interleaved(seqs, shown, scratch)
-    media_parts = F.filter("parts", lambda p: p["kind"] == "media")
-    return out.select(F.col("id").alias("page_id"), F.size("parts").alias("n_parts"), F.size(media_parts).alias("n_media"), F.sha2(F.to_json("parts"), 256).alias("sequence_sha256"), F.size(F.filter(media_parts, lambda p: p["payload"].isNotNull())).alias("n_resolved"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("caption"), F.coalesce("text", F.lit("")).alias("text"))
+    known = docs.select("doc_id", "caption", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes"))
+    image, below = F.concat(F.lit(f'<img src="{media.SCHEME}'), F.col("digest"), F.lit('">')), F.concat(F.lit("<figcaption>"), F.col("caption"), F.lit("</figcaption>"))
+    figure = F.concat(F.lit("<figure>"), F.when(F.col("doc_id") % 2 == 0, F.concat(below, image)).otherwise(F.concat(image, below)), F.lit("</figure>"))
+    pages = table(spark, sf_dir, "pages").join(known, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.coalesce(figure, F.lit(""))).alias("html"))
+    store = known.filter("doc_id % 3 > 0").groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"))
+    out = media.interleaved(scratch.table(media.sequences(pages, "page_id", "html"), "parsed"), store, scratch)
+    shown = F.filter("parts", lambda p: (p["kind"] == "media") & (F.length(p["digest"]) == 64))
+    return out.select(
+        F.col("id").alias("page_id"), F.size("parts").alias("n_parts"), F.size(shown).alias("n_media"), F.sha2(F.to_json("parts"), 256).alias("sequence_sha256"), F.size(F.filter(shown, lambda p: p["payload"].isNotNull())).alias("n_resolved"),
+        F.get(shown, F.lit(0))["payload"]["n_bytes"].cast("long").alias("n_bytes"), F.get(shown, F.lit(0))["caption"].alias("caption"),
+    )
 
 
 def op7_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

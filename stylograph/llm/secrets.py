@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .quality import let
 
 #: Fixed values of the contract: kinds in their order, patterns, group to measure, least length of it.
@@ -142,17 +143,17 @@ def secrets(docs: DataFrame, rate: float = 0.001, uniform_p: float = 0.001) -> D
     """
     least = thresholds(docs, rate)
     new = ["n_assign", "n_access", "n_hex", "base_spans", "spans"]
-    own = [c for c in docs.columns if c not in new]
-    text = F.col("s_text")
-    step = docs.select(*own, F.coalesce("text", F.lit("")).alias("s_text"))
-    step = step.select(*own, text, *(matches(text, p, k, g, n).alias(f"s_{kind}") for k, (kind, (p, g, n)) in enumerate(KINDS.items())), candidates(text).alias("s_cand") if least else F.array().cast("array<struct<start:int,kind:int,end:int,band:int,bin:int,random:double>>").alias("s_cand"))
+    own = docs.drop(*new)
+    text = F.col("text")
+    step = docs.select(packed(own), F.coalesce("text", F.lit("")).alias("text"))
+    step = step.select("row", *(matches(text, p, k, g, n).alias(f"s_{kind}") for k, (kind, (p, g, n)) in enumerate(KINDS.items())), candidates(text).alias("s_cand") if least else F.array().cast("array<struct<start:int,kind:int,end:int,band:int,bin:int,random:double>>").alias("s_cand"))
     base = F.sort_array(F.concat(*(F.col(f"s_{k}") for k in KINDS)))
-    step = step.select(*own, "s_cand", *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base_spans"))
+    step = step.select("row", "s_cand", *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base_spans"))
     floor = F.create_map(*(F.lit(x) for kv in least.items() for x in kv)) if least else None
     free = lambda c: ~F.exists("base_spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     wanted = (lambda c: F.coalesce(c["bin"] >= floor[c["band"]], F.lit(False)) & (c["random"] >= uniform_p) & free(c)) if least else (lambda c: F.lit(False))
     added = F.transform(F.filter("s_cand", wanted), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return step.select(*own, *(f"n_{k}" for k in KINDS), "base_spans", F.sort_array(F.concat("base_spans", added)).alias("spans"))
+    return step.select(*unpacked(own), *(f"n_{k}" for k in KINDS), "base_spans", F.sort_array(F.concat("base_spans", added)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, texts
+from .common import Scratch, components, lookup, texts
 
 WORDS, SEED, BITS = 4, 42, 64
 PIVOTS = 24
@@ -50,7 +50,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in texts(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
 
 def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
         near = np.bitwise_count(fp[:, None] ^ of[None, :]).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("rep"), pa.array([x.tobytes() for x in near], pa.binary())], names=["fp", "rep", "pivots"])
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("fp"), pa.array([x.tobytes() for x in near], pa.binary())], names=["fp", "rep", "pivots"])
 
 
 def blocks_for(n: int, max_distance: int, bucket: int = 256) -> int:
@@ -148,14 +148,20 @@ def links(reps: DataFrame, n: int, scratch: Scratch, max_distance: int = 4, tile
 
 
 def simhash(docs: DataFrame, scratch: Scratch, max_distance: int = 4, tile: int = TILE, local_edges: int = 1_000_000) -> DataFrame:
-    """One row per row of docs: doc_id, fp (bigint of the fingerprint's bits), component_id (smallest doc_id reachable).
+    """One row per row of docs: doc_id, text_hash (Spark's xxhash64 of the text), fp (bigint of the fingerprint's bits), component (its
+    smallest fp), component_id (smallest doc_id reachable).
 
-    docs: doc_id bigint, text. A null text counts as empty; texts without words have fingerprint zero and link like others.
-    Equal fingerprints are one node, so copies make no pairs. A row whose doc_id is null gets the component of its fingerprint
-    (null if no row of that fingerprint has a doc_id). Repeated rows each get their row.
+    docs: doc_id bigint, text; other columns play no part. A null text counts as empty; texts without words have fingerprint zero and
+    link like others; texts of any length are taken whole. Equal fingerprints are one node, so copies make no pairs. A row without
+    doc_id links like any other, and so may connect rows that have one; it gets the component_id of those (null if there is none).
+    Rows of one doc_id with different texts are placed by their texts. Repeated rows each get their row; an empty table gives none.
     """
-    prints = scratch.table(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "prints")
-    reps = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).mapInArrow(_table, "fp bigint, rep bigint, pivots binary"), "reps")
-    found = components(links(reps.filter("rep is not null"), reps.count(), scratch, max_distance, tile), scratch, local_edges)
-    named = scratch.table(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = scratch.table(keyed.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint"), "prints")
+    groups = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+    reps = scratch.table(groups.select("fp").mapInArrow(_table, "fp bigint, rep bigint, pivots binary"), "reps")
+    found = components(links(reps, reps.count(), scratch, max_distance, tile), scratch, local_edges)
+    placed = scratch.table(groups.join(found, groups["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component")), "placed")
+    least = scratch.table(placed.groupBy("component").agg(F.count("*").alias("m"), F.min("first").alias("component_id")), "least")
+    named = scratch.table(lookup(placed, least, "component", "m", reps.count()).select("fp", "n", "component", "component_id"), "named")
+    return lookup(prints, named, "fp", "n", prints.count()).select("doc_id", "text_hash", "fp", "component", "component_id")

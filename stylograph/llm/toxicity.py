@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, share, texts
 
 #: Bounds of the sample the classifier is fitted on, in documents, and of its features.
 POSITIVE, UNLABELLED, FEATURES = 3000, 6000, 5000
@@ -57,11 +57,6 @@ class Model:
     bias: float
 
 
-def share(of: Column, wanted: int, there: int) -> Column:
-    """A filter that about `wanted` of `there` rows pass, the same ones each time."""
-    return F.pmod(F.xxhash64(of, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(1, there)))
-
-
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias from rows of feature indices, by Adam on the non-negative risk with the logistic loss."""
 
@@ -90,16 +85,16 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED, scratch: Scratch | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows of labels teach; keep held-out ones out of it.
 
-    At most about `positive` confirmed and `unlabelled` other documents are read, drawn by a hash of doc_id. Without a toxic label
+    At most about `positive` confirmed and `unlabelled` other documents are read, drawn by hashes of doc_id (and text). Without a toxic label
     the model gives every text the prior, here 0, and likewise where labels or docs are empty. Repeated rows count again; a null text is empty.
     """
     counts = labels.filter("toxic is not null").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("d")).collect()[0]
     if not counts["p"]:
         return Model({}, -40.0)
     prior = counts["p"] / counts["n"]
-    chosen = labels.filter((F.col("toxic") == 1) & share(F.col("doc_id"), positive, counts["d"])).select(F.col("doc_id").alias("p_id")).distinct()
+    chosen = labels.filter((F.col("toxic") == 1) & share(positive, counts["d"], "doc_id")).select(F.col("doc_id").alias("p_id")).distinct()
     confirmed = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["p_id"]).select(F.lit(True).alias("positive"), "text")  # at most about `positive` ids
-    others = docs.filter(share(F.col("doc_id"), unlabelled, docs.count())).select(F.lit(False).alias("positive"), "text")
+    others = docs.filter(share(unlabelled, docs.count(), "doc_id", "text")).select(F.lit(False).alias("positive"), "text")
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     drawn = scratch.table(confirmed.union(others).mapInArrow(_sample, "positive boolean, found array<bigint>"), "sample")
     size = drawn.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).collect()[0]

@@ -68,6 +68,28 @@ def test_simhash_null_id_and_empty_table(spark):
     assert simhash.simhash(d.filter("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_simhash_rows_without_id_connect(spark):
+    """Brute force over texts some of which have no doc_id, or one that other texts have too."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(90)]
+    rows, words = [], list(base)
+    for k in range(120):  # a chain of near copies: each changes a word of the one before
+        words = list(words)
+        words[rng.randrange(90)] = f"x{k}"
+        rows.append((None if k % 3 else k // 6, " ".join(words), "en"))
+    got = simhash.simhash(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    up = forest((min(a, b), max(a, b)) for a in set(prints) for b in set(prints) if bin(a ^ b).count("1") <= 4)
+    least = {}
+    for (d, _, _), f in zip(rows, prints, strict=True):
+        c = up.get(f, f)
+        least[c] = min((x for x in (least.get(c), d) if x is not None), default=None)
+    want = sorted(((d, f, least[up.get(f, f)]) for (d, _, _), f in zip(rows, prints, strict=True)), key=str)
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == want
+    with_ids = forest((min(a, b), max(a, b)) for a in {f for (d, _, _), f in zip(rows, prints, strict=True) if d is not None} for b in {f for (d, _, _), f in zip(rows, prints, strict=True) if d is not None} if bin(a ^ b).count("1") <= 4)
+    assert len(set(up.values())) < len(set(prints)) and any(up[a] == up[b] and with_ids.get(a) != with_ids.get(b) for a in with_ids for b in with_ids)  # rows without id bridge others
+
+
 @pytest.mark.parametrize("local_edges", [1_000_000, 3])
 def test_components_of_hard_shapes(spark, local_edges):
     chain = [(k, k + 1) for k in range(60)]

@@ -45,6 +45,40 @@ def test_stages(spark, docs):
     assert {r["doc_id"] for r in seen["packing"]} == {r["doc_id"] for r in seen["secret scans"]}
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows are told apart by doc_id and text: copies go even where their doc_id has another text, or none."""
+    a, b, c = ("the first text of some words " * 3, "something else entirely that has nothing in common " * 3, "a third one of its own kind " * 3)
+    schema = "doc_id long, text string, lang string"
+    kept = lambda rows: sorted(map(tuple, corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), "").select("doc_id", "text").collect()), key=str)
+    assert kept([(1, a, "x"), (5, a, "x"), (5, b, "x")]) == sorted([(1, a), (5, b)], key=str)
+    assert kept([(1, a, "x"), (None, a, "x"), (None, b, "x")]) == sorted([(1, a), (None, b)], key=str)
+    assert kept([(None, a, "x"), (None, a, "y"), (None, None, None), (None, "", "z")]) == sorted([(None, a), (None, "")], key=str) or kept([(None, a, "x"), (None, a, "y"), (None, None, None), (None, "", "z")]) == sorted([(None, a), (None, None)], key=str)
+    assert kept([(3, c, "x"), (3, c, "x"), (3, c, "y")]) == [(3, c)]
+
+
+def test_runs_close_their_own_tables(spark, monkeypatch):
+    closed, made = [], []
+
+    class Counted(Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def close(self):
+            closed.append(self)
+            super().close()
+
+    def fails(spark, docs, sf_dir):
+        corpus_pipeline._scratch(spark, "x")
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(corpus_pipeline, "Scratch", Counted)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", lambda s, d, _: d), ("b", fails)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF)
+    assert len(made) == 2 and set(closed) == set(made) and corpus_pipeline._open.get() is None
+
+
 def test_stages_of_an_empty_table(spark, docs):
     now, kept = docs.filter("false"), Scratch(spark, "t")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -56,3 +90,16 @@ def test_stages_of_an_empty_table(spark, docs):
 @pytest.mark.parametrize("name", ["op2_toxicity_pu", "op4_language_mixture", "op6_media_sequences"])
 def test_query(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_page_sequences_resolve(spark):
+    got = {r["page_id"]: r for r in __spark_entry__.queries()["media_page_sequences"](spark, SF).collect()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts = {d["text"] or "" for k, d in docs.items() if k % 3}
+    for k, r in got.items():
+        d = docs.get(k)
+        there = d is not None and (d["text"] or "") in texts
+        assert (r["n_media"], r["n_resolved"]) == (int(d is not None), int(there))
+        assert r["n_bytes"] == (len((d["text"] or "").encode()) if there else None) and (d is None or r["caption"] == (d["source"] or ""))
+    assert sum(r["n_resolved"] for r in got.values()) > 10

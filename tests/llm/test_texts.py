@@ -510,3 +510,64 @@ def test_records_of_a_plain_or_multi_member_archive():
 
 def test_json_of_references(spark):
     assert json.loads(json.dumps(quality.references(frame(spark, ["a b c"]).withColumn("lang", F.lit("en")))))[0]["lang"] == "en"
+
+
+def test_pages_with_ends_left_out():
+    seen = lambda page: [(p["kind"], p["text"] if p["kind"] == "text" else p["digest"], p["caption"]) for p in media.parts(page)]
+    assert seen("<head><title>x</title><body><p>hello</p><img src=a>") == [("text", "hello", None), ("media", "a", None)]
+    assert seen("<title>t</title>hello<script>no</script> there") == [("text", "hello there", None)]
+    assert seen("<figure><img src=a><figcaption>cap</figure><p>after</p><img src=b>") == [("media", "a", "cap"), ("text", "after", None), ("media", "b", None)]
+    assert seen("<p>before</p><figure><figcaption>cap</figcaption><img src=a><img src=b></figure>after") == [("text", "before", None), ("media", "a", "cap"), ("media", "b", "cap"), ("text", "after", None)]
+    assert seen("<figure><img src=a alt=x><figcaption>never closed") == [("media", "a", "never closed")]
+    assert seen("<figure><figcaption>alone</figcaption></figure><figcaption>loose</figcaption>x") == [("text", "alone", None), ("text", "loose", None), ("text", "x", None)]
+    assert seen("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("media", "a", "out"), ("media", "b", "in")]
+    assert seen("<figure><figcaption>one</figcaption><figcaption>two</figcaption><img src=a></figure>") == [("media", "a", "one\ntwo")]
+
+
+def test_samples_of_large_tables():
+    """What is drawn follows the wanted number, however many rows there are."""
+    from stylograph.llm.common import draw_limit
+
+    for wanted, there in ((2000, 10**11), (3000, 10**15), (6000, 10**7), (10, 10), (10, 3), (5, 0)):
+        drawn = (draw_limit(wanted, there) + (1 << 63) + 1) / (1 << 64) * max(there, 1)
+        assert abs(drawn - min(wanted, max(there, 1))) <= 1e-3 * wanted
+        assert -(1 << 63) <= draw_limit(wanted, there) < 1 << 63
+
+
+def test_sample_of_a_table_said_to_be_large(spark):
+    from stylograph.llm.common import share
+
+    ids = spark.range(200_000).toDF("doc_id")
+    assert 1700 < ids.filter(share(2000, 200_000, "doc_id")).count() < 2300 and ids.filter(share(300_000, 200_000, "doc_id")).count() == 200_000
+    assert 0 < ids.filter(share(2 * 10**7, 10**12, "doc_id")).count() < 20  # a share of 2 in 100,000
+
+
+def test_more_values_of_lang_than_are_learned(spark):
+    rows = [(k, "hello there my friends " * 5, "en") for k in range(5)] + [(10 + k, "bonjour mes amis " * 5, "fr") for k in range(4)] + [(100 + k, "junk", f"x{k}") for k in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
+    assert model.langs == ["en", "fr"]
+
+
+INTERNAL = "row s_text s_own s_cand s_assign q_text q_lang q_key q_ref q_words first_id f_doc f_hash hash p_own p_doc p_spans spans_ judged masked f_key f_of r_key r_of n component fp text_hash rep node found start end w_doc key".split()
+
+
+def test_clashing_names_stay(spark):
+    """Every operator that keeps the caller's columns, and every stage, given columns of the names they use themselves."""
+    import corpus_pipeline
+
+    text = "the secret=abcdef0123456789abcdef99 of a long text " + " ".join(f"word{k % 37} and" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, " + ", ".join(f"{c} string" for c in INTERNAL)
+    rows = [(k, text if k < 3 else f"{text} {k * 'more '}", "en", "s", 1, "kept!", "spans!", *(f"{c}!{k}" for c in INTERNAL)) for k in range(6)] + [(None, None, None, None, None, None, None, *(None for _ in INTERNAL))]
+    docs = spark.createDataFrame(rows, schema)
+    own = ["source", "lang", *INTERNAL]
+    held = {(r["doc_id"]): tuple(r[c] for c in own) for r in docs.collect()}
+    for out in (secrets.secrets(docs), quality.quality(docs)):
+        assert {r["doc_id"]: tuple(r[c] for c in own) for r in out.collect()} == held
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = [r.asDict() for r in out.collect()]
+        assert all(tuple(r[c] for c in own) == held[r["doc_id"]] and (r["kept"], r["spans"]) == (("kept!", "spans!") if r["doc_id"] is not None else (None, None)) for r in got) and got, name
+        if name == "secret scans":
+            assert not any("abcdef0123456789" in str(r) for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
