@@ -215,12 +215,12 @@ def interleaved(seqs: DataFrame, store: DataFrame, scratch: Scratch) -> DataFram
     to their row by id and a hash of its parts, so ids may be null or repeated. Rows repeated as a whole each get their row; a part
     whose digest isn't in store has a null payload, as text has; a row without media keeps its text.
     """
-    rest = [c for c in store.columns if c != "digest"]
+    stored = store.select("digest", F.struct(*(F.col(f"`{c}`") for c in store.columns if c != "digest")).alias("payload"))
     keyed = scratch.table(seqs.select("id", "parts", F.xxhash64("parts").alias("own")), "sequences")
     refs = keyed.select("id", "own", F.explode(F.filter("parts", lambda p: p["kind"] == "media")).alias("p")).select("id", "own", "p.position", "p.digest").distinct()
-    counted = scratch.table(store.join(refs.groupBy("digest").agg(F.count("*").alias("n_refs")), "digest"), "resolved")
-    found = resolve(refs, counted, max(1000, refs.count() // 1000))
-    by_row = found.groupBy(F.col("id").alias("r_id"), F.col("own").alias("r_own")).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*rest)))).alias("payloads"))
+    counted = scratch.table(stored.join(refs.groupBy("digest").agg(F.count("*").alias("n_refs")), "digest"), "resolved")
+    found = resolve(refs, counted, max(1000, refs.count() // 1000)).filter("payload is not null")
+    by_row = found.groupBy(F.col("id").alias("r_id"), F.col("own").alias("r_own")).agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("payloads"))
     full = keyed.join(by_row, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("own") == F.col("r_own")), "left")
     return full.select("id", F.transform("parts", lambda p: F.struct(*(p[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")), F.try_element_at("payloads", p["position"]).alias("payload"))).alias("parts"))
 

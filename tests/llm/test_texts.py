@@ -555,9 +555,12 @@ def test_clashing_names_stay(spark):
     """Every operator that keeps the caller's columns, and every stage, given columns of the names they use themselves."""
     import corpus_pipeline
 
-    text = "the secret=abcdef0123456789abcdef99 of a long text " + " ".join(f"word{k % 37} and" for k in range(60))
+    rng = random.Random(4)
+    common, letters = "the of and to in a is was for on".split(), "etaoinshrdlu"
+    line = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    texts = [f"{line(90)} secret=abcdef0123456789abcdef99 {line(60)}" for _ in range(4)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, " + ", ".join(f"{c} string" for c in INTERNAL)
-    rows = [(k, text if k < 3 else f"{text} {k * 'more '}", "en", "s", 1, "kept!", "spans!", *(f"{c}!{k}" for c in INTERNAL)) for k in range(6)] + [(None, None, None, None, None, None, None, *(None for _ in INTERNAL))]
+    rows = [(k, texts[k % 4], "en", "s", 1, "kept!", "spans!", *(f"{c}!{k}" for c in INTERNAL)) for k in range(6)] + [(None, None, None, None, None, None, None, *(None for _ in INTERNAL))]
     docs = spark.createDataFrame(rows, schema)
     own = ["source", "lang", *INTERNAL]
     held = {(r["doc_id"]): tuple(r[c] for c in own) for r in docs.collect()}
