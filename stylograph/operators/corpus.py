@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +46,13 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", orders: tuple[int, ...
     return each.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
 
 
-def ngram_dictionary(docs: DataFrame, top: int = 100_000, **kw) -> DataFrame:
-    """The `top` most frequent n-grams of each order; ties by n-gram.
+def ngram_dictionary(docs: DataFrame, top: int = 100_000, stage: Stage | None = None, **kw) -> DataFrame:
+    """The `top` most frequent n-grams of each order; ties by n-gram. Counts are made once and written.
 
     The least count that reaches the top is found from how many n-grams have each count, a small table; only those at that count
     are ranked, so no order is sorted as a whole in one task.
     """
-    counts = ngram_counts(docs, **kw)
+    counts = (stage or Stage(docs.sparkSession, "ngrams")).table(ngram_counts(docs, **kw), "counts")
     by = counts.groupBy("n", "cnt").agg(F.count("*").alias("types"))
     upto = by.withColumn("above", F.coalesce(F.sum("types").over(Window.partitionBy("n").orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     edge = F.broadcast(upto.filter((F.col("above") < top) & (F.col("above") + F.col("types") >= top)).select(F.col("n").alias("n_"), F.col("cnt").alias("edge"), (F.lit(top) - F.col("above")).alias("room")))
@@ -79,17 +80,28 @@ PERMUTATIONS, BANDS = 64, 16
 SALTS = [(p * 0x9E3779B1) & 0xFFFFFFFF for p in range(PERMUTATIONS)]
 
 
+#: Shingles whose hashes a task keeps in mind.
+KNOWN = 1_000_000
+
+
 def minhash(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds sig, array<bigint> of 64: least (low 32 bits of a shingle's MD5) xor salt over 5-character shingles of the lower-cased text."""
 
     @F.pandas_udf("array<bigint>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         salts = np.array(SALTS, np.uint32)
+        known: dict[str, int] = {}
+
+        def hashed(shingle: str) -> int:
+            h = int.from_bytes(hashlib.md5(shingle.encode("utf-8", "surrogatepass")).digest()[12:], "big")
+            if len(known) < KNOWN:
+                known[shingle] = h
+            return h
 
         def one(text: str | None) -> list[int]:
             t = " ".join((text or "").lower().split())
             shingles = {t[i : i + 5] for i in range(max(1, len(t) - 4))}
-            h = np.array([int.from_bytes(hashlib.md5(s.encode("utf-8", "surrogatepass")).digest()[12:], "big") for s in shingles], np.uint32)
+            h = np.fromiter((known[s] if s in known else hashed(s) for s in shingles), np.uint32, len(shingles))
             low = np.full(len(salts), 0xFFFFFFFF, np.uint32)
             for i in range(0, len(h), 1 << 16):
                 low = np.minimum(low, np.bitwise_xor.outer(salts, h[i : i + (1 << 16)]).min(1))
@@ -107,31 +119,66 @@ def band_keys(sig: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.md5(F.array_join(F.slice(sig, b * rows + 1, rows).cast("array<string>"), ",").cast("binary"))))
 
 
-def drop_near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids that are kept, of rows of id and key in the order of ids; held: the band has an earlier kept document already."""
+    kept: list = []
+    taken: set[bytes] = set()
+    now, keys, hit = None, [], False
+
+    def decided() -> None:
+        if keys and not hit and taken.isdisjoint(keys):
+            kept.append(now)
+            taken.update(keys)
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for i, key, held in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("held").to_pylist(), strict=True):
+            if i != now:
+                decided()
+                now, keys, hit = i, [], False
+            keys.append(key)
+            hit = hit or held
+    decided()
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(kept, kind)], names=["id"])
+
+
+def drop_near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", local_rows: int = 1_000_000) -> DataFrame:
     """The documents a greedy pass in id order keeps: each is dropped if it shares a band with an earlier kept one.
 
-    Rounds: a document none of whose earlier neighbours is undecided or kept is kept, one with an earlier kept neighbour is
-    dropped. Equal signatures share all bands, so only the first of them takes part. Neighbours meet at their band, never as pairs:
-    a band's least undecided and least kept document say all that its members need.
+    Equal signatures share all bands, so only the first of them takes part, and a document alone in its bands is kept at once. The rest
+    are decided in rounds: one with an earlier kept neighbour is dropped, one without an earlier undecided one is kept. Neighbours meet at
+    their band, never as pairs: a band's least undecided and least kept document say all that its members need. A round reads the
+    bands of undecided documents alone; once they have local_rows rows or fewer, one task finishes them in order, however long their
+    chains. Rows that repeat an id go together; ids and texts that are null are left out.
     """
-    signed = stage.table(minhash(docs.filter(F.col(text_col).rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", band_keys(F.col("sig")).alias("keys"), F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary")).alias("s")), "signed")
-    first = signed.groupBy("s").agg(F.min("id").alias("id"))
-    members = stage.table(signed.join(first, ["s", "id"], "left_semi").select("id", "keys"), "members")
+    known = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = stage.table(minhash(known, "text").select("id", band_keys(F.col("sig")).alias("keys"), F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary")).alias("s")), "signed")
+    first = signed.groupBy("s").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    members = stage.table(first.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")), "members")  # an id has a row a text of its own
     each = members.select("id", F.explode("keys").alias("key"))
-    # a band of one document decides nothing
-    edges = stage.table(each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi").select("id", "key"), "bands")
-    state = stage.table(members.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "state0")
-    for k in itertools.count(1):  # each round decides the least undecided document at least, so it ends
-        if state.filter("kept is null").isEmpty():
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    now = stage.table(each.join(shared, "key", "left_semi").select("id", "key"), "bands0")
+    kept = [members.join(now.select("id").distinct(), "id", "left_anti").select("id")]
+    closed = stage.table(now.filter("false"), "closed0")  # bands of kept documents
+    for k in itertools.count(1):  # a round decides the least undecided document at least, so this ends
+        rows = now.count()
+        held = now.join(closed.select(F.col("key").alias("c_key"), F.lit(True).alias("closed")), F.col("key") == F.col("c_key"), "left").select("id", "key", F.coalesce("closed", F.lit(False)).alias("held"))
+        if rows <= local_rows:
+            kept.append(stage.table(held.repartition(1).sortWithinPartitions("id").mapInArrow(_greedy, f"id {dict(now.dtypes)['id']}"), "last"))
             break
-        # what a band knows: its first kept and first undecided document
-        live = edges.join(state, "id").filter("kept is null or kept")
-        band = live.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("first_open"))
-        seen = edges.join(band, "key").groupBy("id").agg(F.max((F.col("first_kept") < F.col("id")).cast("int")).alias("hit"), F.max((F.col("first_open") < F.col("id")).cast("int")).alias("wait"))
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(0)) == 1, False).when(F.coalesce("wait", F.lit(0)) == 0, True)
-        state = stage.table(state.join(seen, "id", "left").select("id", new.alias("kept")), f"state{k}")
-    kept = state.filter("kept").select(F.col("id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi")
+        least = now.groupBy(F.col("key").alias("l_key")).agg(F.min("id").alias("first_open"))
+        seen = held.join(least, F.col("key") == F.col("l_key")).groupBy("id").agg(F.max("held").alias("hit"), F.max(F.col("first_open") < F.col("id")).alias("wait"))
+        state = stage.table(seen.filter("hit or not wait").select("id", (~F.col("hit")).alias("kept")), f"state{k}")
+        chosen = state.filter("kept").select("id")
+        kept.append(chosen)
+        closed = stage.table(closed.unionByName(now.join(chosen, "id", "left_semi")), f"closed{k}")
+        now = stage.table(now.join(state, "id", "left_anti"), f"bands{k}")
+    every = kept[0]
+    for part in kept[1:]:
+        every = every.unionByName(part)
+    return docs.join(every.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
 # splits and weights

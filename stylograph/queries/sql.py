@@ -217,6 +217,10 @@ SQL = {
         b AS (SELECT doc_id, CASE WHEN {_draw('0', 'apply')} < 5000 AND {_draw('0', 'glyphs')} < 1500 THEN {_homoglyph(0.3, 'aug glyph', 'a')} ELSE a END AS b FROM a) SELECT doc_id, md5(b) AS augmented FROM b""",
     "jn_lsh_band": MINHASH_SQL[: MINHASH_SQL.rindex("SELECT doc_id, md5")].rstrip() + """, b AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, p // 4 AS b, string_agg(CAST(m AS VARCHAR), ',' ORDER BY p) AS k FROM s GROUP BY 1, 2))
         SELECT n, count(*) AS bands FROM (SELECT k, count(*) AS n FROM b GROUP BY k HAVING count(*) > 1) GROUP BY n""",
+    "set_dedup_near": MINHASH_SQL[: MINHASH_SQL.rindex("SELECT doc_id, md5")].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT doc_id, p // 4 AS b, hash(string_agg(CAST(m AS VARCHAR), ',' ORDER BY p)) AS k FROM s GROUP BY 1, 2),
+        dd AS MATERIALIZED (SELECT doc_id, list(DISTINCT k) AS ks, row_number() OVER (ORDER BY doc_id) AS i FROM b JOIN documents USING (doc_id) WHERE regexp_matches(text, '\\S') GROUP BY doc_id),
+        r(i, taken, stays) AS (SELECT CAST(0 AS BIGINT), CAST([] AS UBIGINT[]), false UNION ALL SELECT dd.i, CASE WHEN list_has_any(taken, ks) THEN taken ELSE list_concat(taken, ks) END, NOT list_has_any(taken, ks) FROM r JOIN dd ON dd.i = r.i + 1)
+        SELECT doc_id FROM dd JOIN r USING (i) WHERE stays""",
     "sink_profile_json": f"WITH d AS (SELECT source, CASE WHEN {LONG} THEN length(array_to_string({WORD}, '')) / greatest(len({WORD}), 1) ELSE 0 END AS x FROM documents) SELECT source AS author, count(*) AS n, round(avg(x), 4) AS word_length FROM d GROUP BY source",
     "jn_plugin_merge": f"""SELECT doc_id, r.level, h.level AS hallucination_level, 0 AS n_errors FROM ({R}, q AS (SELECT doc_id, {SCORE} AS score FROM r) SELECT doc_id, CASE WHEN score >= 0.55 THEN 'HIGH' WHEN score >= 0.28 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM q) r
         JOIN ({H}, q AS (SELECT doc_id, {RISK} AS s FROM h) SELECT doc_id, CASE WHEN s < 0.25 THEN 'LOW' WHEN s < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM q) h USING (doc_id)""",
