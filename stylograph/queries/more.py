@@ -99,18 +99,6 @@ def _profile_json(spark, d):
     return spark.read.schema(c.schema).json(path).select("author", "n", F.round(F.get("mean", F.lit(1)), 4).alias("word_length"))
 
 
-def _meta(spark, d):
-    """A logistic meta-model over two features, with class weights; its training accuracy."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    s = scores(spark, d).withColumn("half", F.col("doc_id") % 7 / 7.0).withColumn("weight", F.when(F.col("y") == 1, 4.0).otherwise(1.0)).withColumn("label", F.col("y").cast("double"))
-    x = VectorAssembler(inputCols=["p", "half"], outputCol="raw").transform(s)
-    x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
-    m = LogisticRegression(weightCol="weight", maxIter=20).fit(x)
-    return m.transform(x).agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"))
-
-
 def _vector(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return e
@@ -238,7 +226,6 @@ ALL = {
     **{f"atk_{k}": (_attacked(k), None) for k in ("homoglyph", "zero_width", "char_noise", "whitespace")},
     "aug_v6": (_aug_v6, None),
     "aug_v7": (_aug_v7, None),
-    "ml_meta": (_meta, None),
     "top_signals_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.top_values(F.col("hallucination"), features.HALLUCINATION)).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
     "top_signals_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.explode(risk.top_signals(F.col("reasoning"))).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
     "fn_level_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.category_levels(F.col("hallucination"))).alias("category", "level")), None),

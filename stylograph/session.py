@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,15 @@ class Stage:
     """Written tables in the shared folder: later steps read them, whatever happens to the executors that made them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self._used = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", Counter()
         dropped_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        """df, written. A name that is used again gets a table of its own, as the earlier one may still be read."""
+        self._used[name] += 1
+        place = self.path(name if self._used[name] == 1 else f"{name}-again{self._used[name]}")
+        df.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
