@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -282,6 +282,16 @@ def attack(text: Column, key: Column, kind: str, rate: float | None = None) -> C
     return _each_char(text, key, kind, rate, change)
 
 
+def score_drop(docs: DataFrame, kind: str, score: Callable[[Column], Column], canonical: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: mean score of the texts (plain) and under an attack (attacked), what is lost, and what is left of that between canonical texts.
+
+    Null texts count for nothing. score: of a text; a model's scores are joined in by the caller instead, as columns.
+    """
+    base = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), attack(F.col(text_col), F.col(id_col), kind).alias("a"))
+    each = base.select(score(F.col("t")).alias("p"), score(F.col("a")).alias("q"), score(canonical(F.col("t"))).alias("u"), score(canonical(F.col("a"))).alias("v"))
+    return each.agg(F.avg("p").alias("plain"), F.avg("q").alias("attacked"), (F.avg("p") - F.avg("q")).alias("lost"), (F.avg("u") - F.avg("v")).alias("left"))
+
+
 def augment_v7(text: Column, key: Column, apply: float = 0.5, chars: float = 0.05, glyphs: float = 0.15, glyph_rate: float = 0.3) -> Column:
     """Training noise of the second ensemble: on half of the texts, swaps within words, and on some of those look-alikes."""
     noisy = C.let(_noisy_words(text, key, "aug noise", chars), lambda t: F.when(draw(key, 0, "glyphs") < int(glyphs * 10_000), _homoglyphs(t, key, "aug glyph", glyph_rate)).otherwise(t))

@@ -115,10 +115,6 @@ ALL = {
     "src_csv": (_round_trip(_csv, ".csv"), READ_SQL),
     "src_dict_csv": (_dict_source("csv"), DICT_SQL),
     "src_dict_jsonl": (_dict_source("jsonl"), DICT_SQL),
-    "src_infer_cols": (
-        lambda s, d: corpus.label_rows(docs(s, d).select("text", F.lit("gpt-4").alias("model"), "source")).groupBy("label", "domain").agg(F.count("*").alias("n")),
-        "SELECT 'GPT' AS label, source AS domain, count(*) AS n FROM documents GROUP BY source",
-    ),
     "src_limit": (lambda s, d: files.limit_rows(docs(s, d).select("doc_id"), 100, "doc_id"), "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100"),
     "agg_ngram_dict": (_dictionary, GRAM_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= {TOP}"),
     "sink_dict_json": (_sink_dict, GRAM_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS r FROM c) SELECT CAST(n AS INT) AS n, ngram, cnt FROM r WHERE r <= {TOP}"),

@@ -86,15 +86,16 @@ def _temperature(spark, d):
     return spark.createDataFrame([(float(t),)], "temperature double")
 
 
-def _attack_drop(spark, d):
-    """Share of documents whose word count an attack changes, and after canonicalisation."""
+def _canonical_drop(spark, d):
+    """What each attack takes from a score (the share of function words), and what is left of that once texts are made canonical."""
     from ..functions import columns as C
 
-    base = docs(spark, d).select("doc_id", F.col("text"))
+    def score(text):
+        return C.let(C.tok_word(text), lambda w: C.share_in(w, L.FUNCTION_WORDS) / F.greatest(F.size(w), F.lit(1)))
+
     out = None
     for kind in ("homoglyph", "zero_width", "char_noise", "whitespace"):
-        spoiled = base.select("text", corpus.attack(F.col("text"), F.col("doc_id"), kind).alias("a"))
-        row = spoiled.agg(F.lit(kind).alias("attack"), F.round(F.avg((F.col("a") != F.col("text")).cast("double")), 6).alias("changed"), F.round(F.avg((C.canonical(F.col("a")) != C.canonical(F.col("text"))).cast("double")), 6).alias("left"))
+        row = corpus.score_drop(docs(spark, d).select("doc_id", "text"), kind, score, C.canonical).select(F.lit(kind).alias("attack"), *(F.round(c, 5).alias(c) for c in ("plain", "attacked", "lost", "left")))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -163,5 +164,4 @@ ALL = {
         "WITH c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT *, sqrt(sum(n + 1) OVER () / (n + 1)) AS r FROM c) SELECT label, n, round(382720 / n, 6) AS w_v6, round(r / avg(r) OVER (), 6) AS w_v7 FROM r",
     ),
     "ml_temperature": (_temperature, None),
-    "agg_attack_drop": (_attack_drop, None),
 }

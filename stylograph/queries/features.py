@@ -83,8 +83,9 @@ WITH d AS (SELECT doc_id, {WORD} AS w FROM documents), e AS (SELECT doc_id, CASE
 f AS (SELECT doc_id, list_transform(x, lambda y: CASE WHEN len(y) = 0 THEN 0 ELSE list_aggregate(y, 'entropy') END) AS x FROM e)
 SELECT doc_id, CAST(len(x) AS BIGINT) AS n_windows, round(list_avg(x), 6) AS mean_entropy FROM f"""
 
-SERIES = "transform(sequence(0, 20), i -> cast((doc_id * 37 + i * i * 13) % 11 as double))"
-SERIES_SQL = "list_transform(range(0, 21), lambda i: ((doc_id * 37 + i * i * 13) % 11)::DOUBLE)"
+# 21 values of a text: word i adds its length to value i modulo 21, and the sums count modulo 11
+SERIES = r"transform(array(regexp_extract_all(coalesce(text, ''), '(?U)\\S+', 0)), ws -> transform(sequence(0, 20), i -> cast(aggregate(filter(ws, (w, k) -> k % 21 = i), 0, (a, w) -> a + length(w)) % 11 as double)))[0]"
+SERIES_SQL = r"list_transform(range(0, 21), lambda i: (coalesce(list_sum(list_transform(list_filter(regexp_extract_all(text, '\S+'), lambda w, k: (k - 1) % 21 = i), lambda w: length(w))), 0) % 11)::DOUBLE)"
 
 
 def _series(**columns):

@@ -73,13 +73,6 @@ def _ngram_lookup(spark, d):
     return own.join(dictionary.select("ngram", "cnt"), "ngram", "left").groupBy("item_id").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("total"), F.count("cnt").alias("known"))
 
 
-def _folder(spark, d):
-    path = Stage(spark, "folder").path("texts")
-    rows = docs(spark, d).select("text")
-    rows.write.partitionBy().option("lineSep", "\n").text(path + "-all")
-    return files.dictionary_texts(spark, path + "-all", "folder").agg((F.count("*") > 0).alias("found"))
-
-
 def _copy_verify(spark, d):
     stage = Stage(spark, "copy")
     docs(spark, d).select("doc_id", "text").write.parquet(stage.path("a"))
@@ -147,11 +140,13 @@ def _candidates(spark, d):
     return found.groupBy("ref_id").agg(F.round(F.max("confidence"), 4).alias("confidence"), F.max_by("work_id", F.struct("confidence", -F.col("work_id"))).alias("work_id"))
 
 
+#: The largest inner peak of the autocorrelation.
+AUTOCORR = f"""WITH v AS (SELECT doc_id, {SERIES_SQL} AS v FROM documents), m AS (SELECT doc_id, list_transform(v, lambda x: x - list_avg(v)) AS x FROM v), r AS (SELECT doc_id, list_transform(range(0, 21), lambda k: list_sum(list_transform(range(1, 22 - k), lambda i: x[i] * x[i + k]))) AS r FROM m),
+    n AS (SELECT doc_id, list_transform(r, lambda y: round(y / r[1], 9)) AS r, abs(r[1]) < 1e-12 AS flat FROM r) SELECT doc_id, CASE WHEN flat THEN 0 ELSE round(coalesce(list_max(list_filter(r, lambda y, i: i > 1 AND i < 21 AND y > r[i - 1] AND y > r[i + 1])), 0), 5) END AS peak FROM n"""
 V = "v AS (SELECT doc_id, " + SERIES_SQL + " AS v FROM documents)"
 _v = lambda spark, d: docs(spark, d).select("doc_id", F.expr(SERIES).alias("v"))
 
 ALL = {
-    "src_dict_folder": (_folder, "SELECT true AS found"),
     "src_copy_verify": (_copy_verify, "SELECT true AS same, true AS ready"),
     "cache_stage": (_cached, "SELECT doc_id, lang FROM documents"),
     "sink_dataset": (lambda s, d: Stage(s, "sink").table(docs(s, d).select("doc_id", "n_chars"), "t"), "SELECT doc_id, n_chars FROM documents"),
@@ -179,7 +174,6 @@ ALL = {
     "agg_sentence_stats": (_sentences, SENT_SQL),
     "agg_burstiness": (lambda s, d: _sentences(s, d).select("doc_id", "burstiness"), SENT_SQL.replace("SELECT doc_id, round(m, 6) AS mean, round(v, 6) AS var, round(s, 6) AS std, round(CASE", "SELECT doc_id, round(CASE")),
     "agg_doc_windows": (lambda s, d: _v(s, d).select("doc_id", F.round(C.mean(F.col("v")), 6).alias("mean"), F.round(F.size(F.filter("v", lambda x: x >= 5)) / F.size("v"), 6).alias("share")), f"WITH {V} SELECT doc_id, round(list_avg(v), 6) AS mean, round(len(list_filter(v, lambda x: x >= 5)) / len(v), 6) AS share FROM v"),
-    "agg_mean_centroid": (lambda s, d: style.centroids(_vector(s, d), "label", "v", 8).select(F.col("author").alias("label"), "n", F.round(F.get("mean", F.lit(3)), 5).alias("m"), F.round(F.get("std", F.lit(3)), 5).alias("s")), "SELECT label, count(*) AS n, round(avg(embedding[4]::DOUBLE), 5) AS m, round(stddev_pop(embedding[4]::DOUBLE), 5) AS s FROM embeddings GROUP BY label"),
     "agg_distinct": (lambda s, d: docs(s, d).groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct("text").alias("texts")), "SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents GROUP BY lang"),
     "agg_class_weight_v6": (lambda s, d: corpus.class_weights(docs(s, d), "lang").select("label", F.round("w_v6", 6).alias("w")), "SELECT lang AS label, round(382720 / count(*), 6) AS w FROM documents GROUP BY lang"),
     "win_ngrams": (lambda s, d: docs(s, d).select("lang", F.explode(C.ngrams(C.tok_word(TEXT_()), 3)).alias("g")).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("g").alias("types")), f"SELECT lang, count(*) AS n, count(DISTINCT g) AS types FROM (SELECT lang, unnest({GRAMS % dict(w='w', n=3)}) AS g FROM (SELECT lang, {WORD} AS w FROM documents)) GROUP BY lang"),
@@ -190,7 +184,7 @@ ALL = {
     "win_halves": (lambda s, d: _v(s, d).select("doc_id", report.hybrid(F.transform("v", lambda x: x / 11)).alias("hybrid")), f"WITH {V}, h AS (SELECT doc_id, list_avg(v[1:10]) / 11 AS a, list_avg(v[11:21]) / 11 AS b FROM v) SELECT doc_id, abs(a - b) > 0.25 AND (a > 0.5) <> (b > 0.5) AS hybrid FROM h"),
     "win_position_decay": (lambda s, d: _v(s, d).select("doc_id", F.round(C.total(F.transform("v", lambda x, i: x * (1 - i / 21 * 0.1))), 6).alias("total")), f"WITH {V} SELECT doc_id, round(list_sum(list_transform(range(0, 21), lambda i: v[i + 1] * (1 - i / 21 * 0.1::DOUBLE))), 6) AS total FROM v"),
     "win_rank_avg": (_rank_avg, f"WITH {S}, c AS (SELECT p, count(*) AS c FROM s GROUP BY p) SELECT round(p, 6) AS p, coalesce(sum(c) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2 AS rank FROM c"),
-    "win_autocorr": (lambda s, d: _v(s, d).select("doc_id", F.round(watermark.entropy_periodicity(F.concat("v", "v")), 6).alias("peak")), None),
+    "win_autocorr": (lambda s, d: _v(s, d).select("doc_id", F.explode(F.array("v")).alias("v")).select("doc_id", F.round(watermark.entropy_periodicity("v"), 5).alias("peak")), AUTOCORR),
     "top_common": (_top_common, f"WITH c AS (SELECT source, g, count(*) AS n FROM (SELECT source, unnest({GRAMS % dict(w='w', n=2)}) AS g FROM (SELECT source, {WORD} AS w FROM documents)) GROUP BY ALL) SELECT source, r, g, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, g) AS r FROM c) WHERE r <= 10"),
     "top_argmax": (lambda s, d: _v(s, d).select("doc_id", ensemble.argmax(F.col("v")).alias("at")), f"WITH {V} SELECT doc_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS at FROM v"),
     "top_caps": (lambda s, d: _v(s, d).select("doc_id", C.total(F.slice("v", 1, 8)).alias("t")), f"WITH {V} SELECT doc_id, list_sum(v[1:8]) AS t FROM v"),
@@ -208,17 +202,12 @@ ALL = {
     "fn_uniformity": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.round("hallucination.sentence_length_uniformity", 6).alias("uniformity")), None),
     "fn_char_ratio": (_project(upper=lambda: F.round(F.regexp_count(TEXT_(), F.lit(r"\p{Lu}")) / F.greatest(F.length("text"), F.lit(1)), 6)), r"SELECT doc_id, round(len(regexp_extract_all(text, '\p{Lu}')) / greatest(length(text), 1), 6) AS upper FROM documents"),
     "fn_cosine": (_cosine, "WITH c AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding[1:64]::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL) GROUP BY label) SELECT vec_id, round(greatest(0, least(1, list_cosine_similarity(embedding[1:64]::DOUBLE[], m))), 5) AS cosine FROM embeddings JOIN c USING (label)"),
-    "fn_fuse": (lambda s, d: _vector(s, d).select("vec_id", F.round(C.total(F.transform(style.fuse(F.slice("v", 1, 8), F.slice("v", 9, 8)), lambda x: x * x)), 4).alias("norm")), "SELECT vec_id, 0.52 AS norm FROM embeddings"),
     "fn_zscore": (lambda s, d: _v(s, d).select("doc_id", F.round(C.total(style.zscore(F.col("v"), F.array_repeat(F.lit(5.0), 21), F.array_repeat(F.lit(2.0), 21))), 6).alias("z")), f"WITH {V} SELECT doc_id, round(list_sum(list_transform(v, lambda x: (x - 5) / 2)), 6) AS z FROM v"),
-    "fn_rel_diff": (lambda s, d: style.stylometric(docs(s, d)).select("doc_id", "style").withColumn("c", style.compare(F.col("style"), F.col("style"), F.lit(0.9), F.lit(0.5))).select("doc_id", "c.same_author", F.size("c.anomalous").alias("anomalous"), F.round("c.confidence", 6).alias("confidence")), "SELECT doc_id, true AS same_author, 0 AS anomalous, 1.0 AS confidence FROM documents"),
     "fn_confidence": (lambda s, d: scores(s, d).select("doc_id", F.round(F.abs(F.col("p") - 0.5) * 2, 6).alias("confidence")), f"WITH {S} SELECT doc_id, round(abs(p - 0.5) * 2, 6) AS confidence FROM s"),
     "fn_binary_pct": (lambda s, d: scores(s, d).select("doc_id", F.round(F.col("p") * 100, 4).alias("ai"), (F.abs(F.col("p") * 2 - 1) * 100 < 15).alias("uncertain")), f"WITH {S} SELECT doc_id, round(p * 100, 4) AS ai, abs(p * 2 - 1) * 100 < 15 AS uncertain FROM s"),
     "fn_tamper_override": (lambda s, d: docs(s, d).select("doc_id", F.when(C.tamper(F.when(F.col("doc_id") % 2 == 0, SPOILED()).otherwise(TEXT_()))["suspicious"], "TAMPERED").otherwise("HUMAN").alias("verdict")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'TAMPERED' ELSE 'HUMAN' END AS verdict FROM documents"),
     "fn_risk_r_service": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.round(risk.reasoning_service_score(F.col("reasoning")), 6).alias("score")), None),
-    "fn_risk_v": (_project(score=lambda: risk.reference_risk(F.col("doc_id") % 3, (F.col("doc_id") % 100).cast("double"), F.col("doc_id") % 10 / 20, F.lit(0.0), F.col("doc_id") % 7 / 10)), None),
     "fn_level_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", *(risk.level(F.col(f"reasoning.{k}"), k).alias(k) for k in L.REASONING_THRESHOLDS)), None),
-    "fn_green_mask": (lambda s, d: s.createDataFrame([(k, int(watermark.green(k, 1000, 0.5).sum())) for k in range(3)], "seed int, n int"), "SELECT unnest([0, 1, 2])::INT AS seed, 500 AS n"),
-    "fn_watermark_rule": (_project(detected=lambda: watermark.rule(F.col("doc_id") % 5 + 0.5, F.col("doc_id") % 10 / 100, F.lit(0.6), F.lit(0.0))["detected"], scheme=lambda: watermark.rule(F.col("doc_id") % 5 + 0.5, F.col("doc_id") % 10 / 100, F.lit(0.6), F.lit(0.0))["scheme"]), "SELECT doc_id, doc_id % 10 < 5 AND doc_id % 5 + 0.5 > 2 AS detected, CASE WHEN doc_id % 10 < 5 AND doc_id % 5 + 0.5 > 2 THEN 'green_red' ELSE 'none' END AS scheme FROM documents"),
     "fn_entropy_stats": (lambda s, d: _v(s, d).select("doc_id", F.round(C.mean(F.col("v")), 6).alias("mean"), F.round(F.sqrt(C.variance(F.col("v"))), 6).alias("std"), F.round((F.array_max("v") - F.array_min("v")) / C.mean(F.col("v")), 6).alias("range_ratio")), f"WITH {V} SELECT doc_id, round(list_avg(v), 6) AS mean, round(list_aggregate(v, 'stddev_pop'), 6) AS std, round((list_max(v) - list_min(v)) / list_avg(v), 6) AS range_ratio FROM v"),
     "fn_attr_word": (lambda s, d: docs(s, d).select("doc_id", report.word_scores(TEXT_(), F.lit(0.6)).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.round(C.mean(F.transform("w", lambda x: x["score"])), 6).alias("mean")), None),
     "tf_bib_split": (lambda s, d: docs(s, d).select("doc_id", citations.split_bibliography(F.expr(BIB_SPARK)).alias("b")).select("doc_id", F.length("b.body").cast("long").alias("body"), F.length("b.bib").cast("long").alias("bib")), None),
@@ -230,10 +219,7 @@ ALL = {
     "top_signals_r": (lambda s, d: features.reasoning(docs(s, d)).select("doc_id", F.explode(risk.top_signals(F.col("reasoning"))).alias("x")).select("doc_id", "x.feature", F.round("x.value", 6).alias("value")), None),
     "fn_level_h": (lambda s, d: features.hallucination(docs(s, d)).select("doc_id", F.explode(risk.category_levels(F.col("hallucination"))).alias("category", "level")), None),
     "fn_baseline": (lambda s, d: docs(s, d).select("doc_id", F.explode(risk.baseline(F.lit(40) + F.col("doc_id") % 30, F.lit(0.1) + F.col("doc_id") % 5 / 20, F.lit(0.5) + F.col("doc_id") % 6 / 20, F.lit(10) + F.col("doc_id") % 15, corpus.flesch_kincaid(TEXT_()))).alias("b")).select("doc_id", "b.metric", "b.value", "b.deviates"), None),
-    "tf_numbered": (lambda s, d: docs(s, d).select("doc_id", F.explode(citations.numbered(F.concat(TEXT_(), F.lit("\nReferences\n[1] Doe, A. \"Quoted title\", 2001.\n[2] Roe. A longer title without quotes. 1999")))).alias("r")).select("doc_id", "r.position", "r.year", "r.title"), "SELECT doc_id, unnest([1, 2])::INT AS position, unnest([2001, 1999])::INT AS year, unnest(['Quoted title', 'A longer title without quotes']) AS title FROM documents"),
     "jn_group_calib": (lambda s, d: ensemble.with_thresholds(scores(s, d), ensemble.conformal(scores(s, d), 0.05, "lang", 50), "lang").select("doc_id", F.round("tau_ai", 6).alias("tau_ai")), None),
     "agg_class_weight_v7": (lambda s, d: corpus.class_weights(docs(s, d), "source").select("label", F.round("w_v7", 6).alias("w")), "WITH c AS (SELECT source AS label, count(*) AS n FROM documents GROUP BY source), r AS (SELECT *, sqrt(sum(n + 1) OVER () / (n + 1)) AS r FROM c) SELECT label, round(r / avg(r) OVER (), 6) AS w FROM r"),
     "agg_paragraph_cv": (lambda s, d: features.reasoning(docs(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", F.round("reasoning.paragraph_length_cv", 6).alias("cv")), None),
-    "agg_profile": (lambda s, d: style.stylometric(docs(s, d)).groupBy("source").agg(F.count("*").alias("n"), *(F.round(F.avg(f"style.{k}"), 6).alias(k) for k in style.SCALARS)), None),
-    "verify_ready": (lambda s, d: s.createDataFrame([tuple(files.ready(s, [f"{d}/documents.parquet", f"{d}/nothing"]).values())], "there boolean, missing boolean"), "SELECT true AS there, false AS missing"),
 }

@@ -185,7 +185,6 @@ VOTES = [
 
 SQL = {
     "fn_attr_sent": f"{sentence_sql(0.6)} SELECT doc_id, CAST(position AS INT) AS position, round(score, 6) AS score, array_to_string(marks, '|') AS indicators FROM m",
-    "agg_attack_drop": " UNION ALL ".join(f"SELECT '{k}' AS attack, round(avg(CASE WHEN a <> text THEN 1.0 ELSE 0 END), 6) AS changed, round(avg(CASE WHEN {_canonical('a')} <> {_canonical('text')} THEN 1.0 ELSE 0 END), 6) AS \"left\" FROM (SELECT text, {v} AS a FROM documents WHERE text IS NOT NULL)" for k, v in ATTACKS.items()),
     "fn_attr_word": f"{_words(0.6)} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, round(coalesce(list_avg(list_transform(s, lambda x: x.s)), 0), 6) AS mean FROM s",
     "sink_png_charts": f"{_words(0.5)}, u AS (SELECT doc_id, unnest(s[1:200]) AS x FROM s) SELECT doc_id, CAST(x.i AS INT) AS position, round(x.s, 6) AS score FROM u",
     "nrm_canonical": f"SELECT doc_id, md5({_canonical(SPOILED_SQL)}) AS canonical FROM documents",
@@ -207,7 +206,6 @@ SQL = {
     "fn_level_h": f"{H}, q AS (SELECT doc_id, unnest({list(CATEGORIES)}) AS category, unnest([{', '.join(CATEGORIES.values())}]) AS v FROM h) SELECT doc_id, category, CASE WHEN v >= 0.6::DOUBLE THEN 'high' WHEN v >= 0.3::DOUBLE THEN 'medium' ELSE 'low' END AS level FROM q",
     "agg_paragraph_cv": PARAGRAPH,
     "win_hybrid100": HYBRID,
-    "fn_risk_v": f"SELECT doc_id, {CITED} AS score FROM documents",
     "fn_baseline": f"{FK_CTE}, b AS (SELECT doc_id, unnest({list(BASELINE)}) AS metric, unnest([{', '.join(v for v, _ in BASELINE.values())}]) AS value, unnest({[h for _, h in BASELINE.values()]})::DOUBLE AS human FROM y) SELECT doc_id, metric, value, abs(value - human) / human > 0.30::DOUBLE AS deviates FROM b",
     "prj_fk_prefix": f"{FK_CTE}, z AS (SELECT doc_id, {FK_VALUE} AS fk FROM y) SELECT doc_id, md5('[FK_SCORE: ' || printf('%.1f', CASE WHEN fk = 0 THEN 0.0 ELSE fk END) || '] ' || coalesce(text, '')) AS prefixed FROM z JOIN documents USING (doc_id)",
     "jn_group_calib": f"""WITH {S}, c AS ({CONFORMAL.format(g='CAST(NULL AS VARCHAR)')} UNION ALL {CONFORMAL.format(g='lang')} GROUP BY lang HAVING count(*) >= 50)

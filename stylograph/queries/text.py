@@ -105,10 +105,6 @@ ALL = {
     "nrm_alnum": (_project(alnum=lambda: F.md5(citations.alnum(T()))), r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g')) AS alnum FROM documents"),
     "nrm_canonical": (_project(canonical=lambda: F.md5(C.canonical(SPOILED()))), None),
     "fn_text_hash": (_project(text_hash=lambda: F.substring(F.sha2(T(), 256), 1, 16)), "SELECT doc_id, substr(sha256(text), 1, 16) AS text_hash FROM documents"),
-    "fn_hash_context": (
-        _project(h=lambda: F.conv(F.substring(F.sha2(F.concat(F.lit("3:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long")),
-        "SELECT doc_id, CAST(('0x' || substr(sha256('3:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM documents",
-    ),
     "fn_punct_rates": (
         _project(commas=lambda: C.occurrences(T(), ",").cast("long"), dots=lambda: C.occurrences(T(), "...").cast("long"), dashes=lambda: (C.occurrences(T(), "—") + C.occurrences(T(), "–") + C.occurrences(T(), " - ")).cast("long")),
         "SELECT doc_id, CAST(length(text) - length(replace(text, ',', '')) AS BIGINT) AS commas, CAST((length(text) - length(replace(text, '...', ''))) / 3 AS BIGINT) AS dots, "
@@ -122,17 +118,8 @@ ALL = {
     ),
     "tf_doi": (lambda s, d: _bib(s, d).select("doc_id", F.regexp_extract("text", citations.DOI, 1).alias("doi")), "SELECT doc_id, '10.1234/x' || CAST(doc_id AS VARCHAR) AS doi FROM documents"),
     "agg_ref_features": (lambda s, d: _bib(s, d).select("doc_id", citations.features(T(), 2025).alias("f")).select("doc_id", "f.*"), None),
-    "fn_offline_ref": (
-        _project(score=lambda: citations.offline((F.lit(1850) + F.col("doc_id") % 200).cast("int"), F.when(F.col("doc_id") % 3 == 0, "bad").otherwise("10.1234/x"), 2025)["score"]),
-        "SELECT doc_id, greatest(0.0, CASE WHEN 1850 + doc_id % 200 > 2026 OR 1850 + doc_id % 200 < 1900 THEN 20.0 ELSE 50.0 END - CASE WHEN doc_id % 3 = 0 THEN 20.0 ELSE 0.0 END)::DOUBLE AS score FROM documents",
-    ),
     "fn_author_block": (lambda s, d: docs(s, d).select("doc_id", F.array_join(citations.author_surnames(F.concat(F.lit("Smith, J. A., Brown, B., & "), F.col("source"), F.lit("ville, C."))), "|").alias("authors")), None),
-    "fn_seq_ratio": (lambda s, d: docs(s, d).select("doc_id", F.round(citations.sequence_ratio(F.substring("text", 1, 60), F.substring("text", 11, 60)), 6).alias("ratio")), None),
     "fn_attr_sent": (lambda s, d: docs(s, d).select("doc_id", F.explode(report.sentence_scores(T(), F.lit(0.6))).alias("s")).select("doc_id", "s.position", F.round("s.score", 6).alias("score"), F.array_join("s.indicators", "|").alias("indicators")), None),
-    "fn_sentence_level": (
-        _project(level=lambda: report.sentence_level(F.col("doc_id") % 100 / 100)),
-        "SELECT doc_id, CASE WHEN doc_id % 100 >= 85 THEN 'very high' WHEN doc_id % 100 >= 65 THEN 'high' WHEN doc_id % 100 >= 45 THEN 'uncertain' WHEN doc_id % 100 >= 25 THEN 'low' ELSE 'very low' END AS level FROM documents",
-    ),
     "sink_json_report": (
         _project(json=lambda: report.report_json({"doc_id": F.col("doc_id"), "lang": F.col("lang"), "text_hash": F.substring(F.sha2(T(), 256), 1, 16)})),
         """SELECT doc_id, '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","text_hash":"' || substr(sha256(text), 1, 16) || '"}' AS json FROM documents""",
