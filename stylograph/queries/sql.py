@@ -183,7 +183,24 @@ VOTES = [
     _vote("low_perplexity_ratio", "> 0.7", "> 0.3"), _vote("perplexity_valley_count", ">= 3", ">= 1"),
 ]
 
+
+def _cited(least):
+    """Table s: a document's references as q (year, doi, first surname), their scores, and its citations as c."""
+    n = WS % "t"
+    return f"""{CITING}, w AS (SELECT doc_id, len({n}) AS n FROM t), r AS (SELECT b.doc_id, CASE WHEN n < {least} THEN [] ELSE regexp_extract_all(bib, '{APA}') END AS r, lower(array_to_string({INLINE}, chr(10))) AS c FROM b JOIN w USING (doc_id)),
+        q AS (SELECT doc_id, c, list_transform(r, lambda x: {{'y': CAST(substr(regexp_extract(x, '{APA}', 2), 1, 4) AS INT), 'd': regexp_extract(x, '{citations.DOI}', 1), 'a': lower(regexp_extract(trim(regexp_extract(x, '{APA}', 1)), '([A-Za-z-]{{2,}})', 1))}}) AS q FROM r),
+        s AS (SELECT doc_id, q, c, list_transform(q, lambda x: greatest(0.0, CASE WHEN x.y > 2026 OR x.y < 1900 THEN 20.0 ELSE 50.0 END - CASE WHEN x.d <> '' AND NOT regexp_matches(x.d, '^10\\.\\d{{4,}}/\\S+$') THEN 20.0 ELSE 0.0 END)::DOUBLE) AS scores,
+            CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda x: x.a <> '' AND NOT contains(c, x.a))) / len(q) ELSE 0 END::DOUBLE AS missing FROM q)"""
+
+
+TOKEN = r"[\p{L}\p{N}\p{M}_]"
+TAG = "CASE " + " ".join(f"WHEN regexp_full_match(t, '{rule.replace(chr(92) + 'w', TOKEN)}') THEN '{name}'" for rule, name in L.TAGS) + " ELSE 'NOUN' END"
+
 SQL = {
+    "fn_pos_fallback": rf"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}+|[^\p{{L}}\p{{N}}\p{{M}}_\s]') AS ts FROM documents), u AS (SELECT doc_id, unnest(ts) AS t FROM a), g AS (SELECT doc_id, {TAG} AS tag FROM u)
+        SELECT documents.doc_id, count(*) FILTER (tag = 'VERB') AS n_verb, count(*) FILTER (tag = 'DET') AS n_det FROM documents LEFT JOIN g USING (doc_id) GROUP BY documents.doc_id""",
+    "agg_ref_features": f"{_cited(50)} SELECT doc_id, len(q)::DOUBLE AS total_references, coalesce(list_avg(scores), 0)::DOUBLE AS mean_confidence, coalesce(list_min(scores), 0)::DOUBLE AS min_confidence, len(list_filter(q, lambda x: x.y > 2026 OR x.y < 1900))::DOUBLE AS date_anomaly_count, missing AS missing_inline_ratio FROM s",
+    "jn_bib_inline": f"{_cited(0)} SELECT doc_id, round(missing, 6) AS missing FROM s",
     "fn_attr_sent": f"{sentence_sql(0.6)} SELECT doc_id, CAST(position AS INT) AS position, round(score, 6) AS score, array_to_string(marks, '|') AS indicators FROM m",
     "fn_attr_word": f"{_words(0.6)} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, round(coalesce(list_avg(list_transform(s, lambda x: x.s)), 0), 6) AS mean FROM s",
     "sink_png_charts": f"{_words(0.5)}, u AS (SELECT doc_id, unnest(s[1:200]) AS x FROM s) SELECT doc_id, CAST(x.i AS INT) AS position, round(x.s, 6) AS score FROM u",
