@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import time
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as L
+from ..session import Stage
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,6 +73,71 @@ def same_files(spark: SparkSession, a: str, b: str) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
+COPIED = "name string, bytes bigint, sha256 string, status string, attempts int"
+CHUNK = 16 << 20
+
+
+def _digest(store: fs.FileSystem, path: str) -> str:
+    found = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while part := f.read(CHUNK):
+            found.update(part)
+    return found.hexdigest()
+
+
+def _copier(source: str, target: str, retries: int, by_size: bool):
+    def one(name: str, size: int) -> tuple:
+        here, a = fs.FileSystem.from_uri(source)
+        there, b = fs.FileSystem.from_uri(target)
+        a, b = f"{a}/{name}", f"{b}/{name}"
+        has = there.get_file_info(b)
+        same = has.is_file and has.size == size
+        if same and by_size:
+            return name, size, None, "kept", 0
+        want = _digest(here, a)
+        if same and _digest(there, b) == want:
+            return name, size, want, "kept", 0
+        for attempt in range(1, retries + 1):
+            try:
+                there.create_dir(b.rsplit("/", 1)[0], recursive=True)
+                part = f"{b}.{uuid.uuid4().hex}.part"  # another attempt, also of a lost task, has a file of its own
+                with here.open_input_stream(a) as f, there.open_output_stream(part) as out:
+                    while block := f.read(CHUNK):
+                        out.write(block)
+                if _digest(there, part) == want:
+                    there.move(part, b)
+                    return name, size, want, "mended" if has.is_file else "copied", attempt
+                there.delete_file(part)
+            except OSError:
+                if attempt == retries:
+                    raise
+            time.sleep(min(30, 2 ** (attempt - 1)))
+        return name, size, want, "failed", retries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(n, k) for n, k in zip(batch.column("name").to_pylist(), batch.column("bytes").to_pylist(), strict=True)]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["name", "bytes", "sha256", "status", "attempts"])
+
+    return run
+
+
+def copy_verified(spark: SparkSession, source: str, target: str, stage: Stage, retries: int = 3, by_size: bool = False) -> DataFrame:
+    """Copies the files under a folder, each in a task of its own, in blocks, whatever its size; a written manifest: name, bytes, sha256, status, attempts.
+
+    status: kept (the target has it already), copied, mended (the target had something else), failed (its digest never came out right). A copy
+    appears under its name once its digest is that of the source, so a lost task leaves nothing half-written in place. by_size: a file of the
+    same size counts as the same unread (sha256 is then null). Empty files, which Spark's listing leaves out, aren't copied. source and target: URIs that pyarrow opens (file, hdfs, s3, gs).
+    """
+    root = source.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    bare = root.split("://", 1)[-1]
+    named = listed.select(F.element_at(F.split("path", re.escape(bare) + "/", 2), 2).alias("name"), F.col("length").alias("bytes"))
+    n = max(1, min(named.count(), 4 * spark.sparkContext.defaultParallelism))
+    return stage.table(named.repartition(n, "name").mapInArrow(_copier(root, target.rstrip("/"), retries, by_size), COPIED), "manifest")
+
+
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
     """build(), written to path, unless it is there already (a finished write: it has its success mark)."""
     if not exists(spark, path.rstrip("/") + "/_SUCCESS"):

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from stylograph.operators import catalogue, chunks, ensemble, metrics, selection, temporal
 from stylograph.plans import plugins, rows
 from stylograph.session import Stage
+from stylograph.sources import files
 from stylograph.streaming import dictionary
 from stylograph.streaming import events as E
 
@@ -254,3 +255,27 @@ def test_chunks(spark, size, overlap):
         assert [got.get(n, {})[k] for k in range(len(got.get(n, {})))] == want, n
     whole = chunks.stitched(cut.withColumn("values", F.transform("tokens", lambda x: x * 2)), "id", overlap=overlap)
     assert {r["id"]: r["values"] for r in whole.collect()} == {n: [2 * x for x in range(n)] for n in lengths if n}
+
+
+def test_verified_copies(spark, tmp_path):
+    """A missing and a damaged file are found and mended, also one of the right size; what is right is kept."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    (a / "sub dir").mkdir(parents=True)
+    rng = random.Random(1)
+    for k, name in enumerate(("x.bin", "y.bin", "sub dir/z.bin", "empty")):
+        (a / name).write_bytes(rng.randbytes(0 if name == "empty" else 40_000 + k))
+    copy = lambda **kw: {r["name"]: r["status"] for r in files.copy_verified(spark, f"file://{a}", f"file://{b}", Stage(spark, "t"), **kw).collect()}
+    assert set(copy().values()) == {"copied"} and set(copy().values()) == {"kept"}
+    (b / "y.bin").write_bytes(bytes(40_001))
+    (b / "sub dir/z.bin").unlink()
+    assert copy(by_size=True) == {"x.bin": "kept", "y.bin": "kept", "sub dir/z.bin": "copied"}
+    assert copy() == {"x.bin": "kept", "y.bin": "mended", "sub dir/z.bin": "kept"}
+    assert all((a / n).read_bytes() == (b / n).read_bytes() for n in ("x.bin", "y.bin", "sub dir/z.bin")) and not list(b.rglob("*.part"))
+
+
+def test_green_counts():
+    """The counts of the query's function against the list itself."""
+    from stylograph.operators import watermark
+
+    g = watermark.green(3, 1000, 0.5)
+    assert g.sum() == 500 and g.dtype == bool and (g == watermark.green(3, 1000, 0.5)).all() and (g != watermark.green(4, 1000, 0.5)).any()
