@@ -3,11 +3,12 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stylograph.functions import lexicons as L
-from stylograph.operators import evidence, report
+from stylograph.operators import ensemble, evidence, render, report, style
 
 SCHEMA = """id long, verdict string, confidence double, words int, neural double, statistical double, reasoning_score double, watermark_score double,
     sentences array<struct<position:int,text:string,score:double,indicators:array<string>>>, human_words boolean, word_stats struct<mean:double,high:long,ai:long,human:long>,
@@ -177,3 +178,58 @@ def test_rules_without_their_columns(spark):
     assert f.select(evidence.evidence({"watermark": F.col("watermark")}).alias("e")).first()["e"] == []
     assert f.select(evidence.evidence({}).alias("e")).first()["e"] == []
     assert f.select(evidence.summary({}).alias("s")).first()["s"]["plan"] == ["closing"]
+
+
+def test_watermark_report(spark):
+    schema = "r struct<detected:boolean,scheme:string,confidence:double,z:double,p:double,green:double,tokens:int,deviation:double,entropy:struct<mean:double,std:double,skew:double,range_ratio:double,periodicity:double>>"
+    f = spark.createDataFrame([((True, "green_red", 0.8125, 3.14159, 0.0000123, 0.61, 200, 0.125, (2.5, 0.25, -0.1, 1.0, 0.3)),), ((False, "none", 0.0, 0.0, 1.0, 0.5, None, 0.0, None),)], schema)
+    one, none = (r["x"].split("\n") for r in f.select(render.watermark_report(F.col("r")).alias("x")).collect())
+    assert one[1:7] == ["status: candidate watermark", "confidence: 81.2%", "scheme: green_red", "z: 3.142", "p (corrected): 0.000012", "green share: 0.610"] and one[7] == "entropy mean (nats): 2.500" and len(one) == 15 and "tokens: 200" in one
+    assert none[1] == "status: no signal" and "tokens: N/A" in none and len(none) == 10
+
+
+def test_run_summary(spark):
+    schema = """r struct<prediction:string,confidence:double,uncertain:boolean,model:string,human:double,ai:double,style:struct<burstiness:double,vocabulary:double,hapax:double>,
+        reasoning:struct<score:double,level:string,top:array<struct<feature:string,value:double>>>,perplexity:struct<score:double,level:string,tier:string,mean:double,entropy:double,windows:int>,
+        references:struct<total:int,score:double,level:string,verified:int,fabricated:int,chimeric:int>,watermark:struct<detected:boolean,scheme:string,confidence:double>,report:struct<verdict:string,neural:double,reasoning:double,watermark:double,path:string>>"""
+    full = ("AI", 91.26, False, "GPT", 8.7, 91.3, (0.1, 0.2, 0.3), (0.5, "MEDIUM", [("a", 0.5), ("b", 0.25), ("c", 0.1), ("d", 0.05)]), (0.4, "LOW", "tier1", 6.5, 4.25, 3), (2, 0.25, "LOW", 1, 1, 0), (True, "g", 0.75), ("AI-Generated", 0.9, 0.5, 0.75, "out"))
+    bare = ("Human", 60.0, True, None, 60.0, 40.0, None, None, None, None, None, None)
+    f = spark.createDataFrame([(full,), (bare,)], schema)
+    one, none = (r["x"].split("\n") for r in f.select(render.run_summary(F.col("r"), F.array(F.lit("x"), F.lit("y"))).alias("x")).collect())
+    assert one == [
+        "detection: AI, confidence 91.3% (decisive)", "likely model: GPT", "scores: human 8.7%, ai 91.3%", "style: burstiness 0.100, vocabulary 0.200, hapax 0.300", "reasoning: 0.5000 MEDIUM; a 0.500000, b 0.250000, c 0.100000",
+        "perplexity: 0.4000 LOW tier1; mean 6.50, entropy 4.25, windows 3", "references: 2, 0.2500 LOW; verified 1, fabricated 1, chimeric 0", "watermark: yes, 0.7500, g", "report: AI-Generated, neural 0.90, reasoning 0.50, watermark 0.75, in out", "plugins: x, y",
+    ]
+    assert none == ["detection: Human, confidence 60.0% (uncertain)", "scores: human 60.0%, ai 40.0%", "plugins: x, y"]
+
+
+def test_author_thresholds(spark):
+    """Leave-one-out thresholds against numpy: authors of three samples or more, each sample against the mean of the others."""
+    rng = np.random.default_rng(2)
+    v = {a: rng.normal(size=(n, 5)) + shift for a, n, shift in (("x", 6, 1.0), ("y", 3, -1.0), ("z", 2, 0.0), (None, 4, 2.0))}
+    f = spark.createDataFrame([(a, r.tolist()) for a, m in v.items() for r in m], "author string, v array<double>")
+    got = {r["author"]: (r["n"], r["threshold"]) for r in style.thresholds(f, "author", "v", 5).collect()}
+    want = {}
+    for a, m in v.items():
+        if len(m) < 3:
+            continue
+        mean, std = m.mean(0), m.std(0) + 1e-9
+        sims = []
+        for k in range(len(m)):
+            p, q = ((np.delete(m, k, 0).mean(0) - mean) / std, (m[k] - mean) / std)
+            sims.append(max(0.0, min(1.0, float(p @ q / (np.linalg.norm(p) * np.linalg.norm(q))))))
+        want[a] = (len(m), pytest.approx(max(0.0, min(0.99, np.mean(sims) - np.std(sims))), abs=1e-9))
+    assert got == want
+
+
+def test_temperature(spark):
+    """The temperature of least loss against a fine grid."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(120, 4)) * 3
+    y = np.array([rng.choice(4, p=np.exp(r / 2.5) / np.exp(r / 2.5).sum()) for r in z])
+    logits = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(z)], "doc_id int, logits array<double>")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(y)], "doc_id int, label int")
+    loss = lambda t: float(np.mean([np.log(np.exp(r / t).sum()) - r[k] / t for r, k in zip(z, y, strict=True)]))
+    best = min(np.arange(0.5, 6, 0.01), key=loss)
+    assert abs(ensemble.fit_temperature(logits, labels) - best) < 0.02
+
