@@ -26,6 +26,8 @@ SAMPLE, GRAMS = 2000, 200_000
 LANGUAGES = 1000
 ORDER = 3
 PENALTY, ROUNDS = 6.0, 25
+#: Rounds of EM that look whether it can still matter.
+CHECKED = frozenset((0, 1, 2, 4, 7, 11, 16))
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 UNKNOWN = "und"
@@ -90,19 +92,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams_kept: int = GRAMS, language
     return Model(langs, rows, (table * weight).astype(np.float32))
 
 
-def proportions(likelihood: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """EM: proportions of the columns and the log likelihood. likelihood: log, a row a word; counts: of the words."""
+def proportions(likelihood: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, enough: float = -np.inf) -> tuple[np.ndarray, float]:
+    """EM: proportions of the columns and the log likelihood. likelihood: log, a row a word; counts: of the words.
+
+    It ends early once no proportions at all can reach a log likelihood over `enough`: that of any is at most the present one's plus, for
+    each word, the largest derivative by a column less one, as the log likelihood is concave.
+    """
     top = likelihood.max(1)
-    p = np.exp(likelihood - top[:, None])
+    p, base, n = np.exp(likelihood - top[:, None]), float(counts @ top), counts.sum()
     pi = np.full(p.shape[1], 1 / p.shape[1])
-    for _ in range(rounds):
+    for k in range(rounds):
         mix = p @ pi
-        new = pi * ((counts / mix) @ p) / counts.sum()
+        slope = (counts / mix) @ p / n
+        if k in CHECKED and (value := base + float(counts @ np.log(mix))) + n * (float(slope.max()) - 1) <= enough:
+            return pi, value
+        new = pi * slope
         done = np.abs(new - pi).max() < 1e-4
         pi = new
         if done:
             break
-    return pi, float(counts @ (np.log(np.maximum(p @ pi, 1e-300)) + top))
+    return pi, base + float(counts @ np.log(np.maximum(p @ pi, 1e-300)))
 
 
 def mixture(likelihood: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -> dict[int, float]:
@@ -110,9 +119,11 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, penalty: float = PENALTY
     cost = penalty * np.log(max(2.0, counts.sum())) / 2
     single = counts @ likelihood
     best = (float(single.max()) - cost, {int(single.argmax()): 1.0})
+    if float(counts @ likelihood.max(1)) - 2 * cost <= best[0]:  # not even the likeliest language of every word would pay for a second one
+        return best[1]
     chosen = list(range(likelihood.shape[1]))
     while len(chosen) > 1:
-        pi, value = proportions(likelihood[:, chosen], counts)
+        pi, value = proportions(likelihood[:, chosen], counts, enough=best[0] + 2 * cost)
         if value - 2 * cost <= best[0]:  # no set of two or more within this one does better
             break
         if value - len(chosen) * cost > best[0]:
@@ -121,16 +132,54 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, penalty: float = PENALTY
     return best[1]
 
 
+def _packed(points: np.ndarray, n: int) -> np.ndarray:
+    """The n code points from every place on, in one number."""
+    out = points[: len(points) - n + 1].copy()
+    for k in range(1, n):
+        out = out << 21 | points[k : len(points) - n + 1 + k]
+    return out
+
+
+class Scorer:
+    """Log likelihoods of words by language: the sums over their n-grams, which are looked up in sorted arrays, all words of a call at once."""
+
+    def __init__(self, model: Model):
+        self.unknown, self.width = len(model.rows), len(model.langs)
+        self.table = np.vstack([model.table, np.zeros((1, self.width), np.float32)])  # the last row: no n-gram
+        self.known = []
+        for n in range(1, ORDER + 1):
+            own = [(sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(g)), row) for g, row in model.rows.items() if len(g) == n]
+            own.sort()
+            self.known.append((np.array([k for k, _ in own] or [-1], np.int64), np.array([r for _, r in own] or [self.unknown], np.int64)))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(w) + 2 for w in words])
+        start = np.cumsum(length) - length
+        left = np.repeat(start + length, length) - np.arange(len(points))  # characters from here to the word's end
+        out = np.zeros((len(words), self.width), np.float32)
+        for n, (keys, rows) in enumerate(self.known, 1):
+            grams = _packed(points, n)
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            row = np.full(len(points), len(self.table) - 1)
+            row[: len(grams)] = np.where(left[: len(grams)] >= n, np.where(keys[at] == grams, rows[at], self.unknown + n - 1), len(self.table) - 1)
+            out += np.add.reduceat(self.table[row], start, 0)
+        return out
+
+
 def _predicted(model: Model, penalty: float, with_mixture: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = max(2, min(CACHE, (1 << 24) // max(1, len(model.langs))))
+        block = max(1, min(4096, room // 64))  # words that are scored at once
         place: dict[str, int] = {}
-        held = np.zeros((CACHE, len(model.langs)), np.float32)
-        rows, table, n = model.rows, model.table, len(model.rows)
+        held = np.zeros((room, len(model.langs)), np.float32)
+        score = Scorer(model)
 
-        def at(w: str) -> int:
-            found = place[w] = len(place)
-            held[found] = table[[rows.get(g, n + len(g) - 1) for g in grams(w)]].sum(0)
-            return found
+        def learn(words: list[str]) -> None:
+            for i in range(0, len(words), block):
+                some = words[i : i + block]
+                held[len(place) : len(place) + len(some)] = score(some)
+                place.update(zip(some, range(len(place), len(place) + len(some)), strict=True))
 
         for batch in batches:
             out = []
@@ -141,11 +190,12 @@ def _predicted(model: Model, penalty: float, with_mixture: bool):
                     continue
                 parts = list(words.items())
                 like = []
-                for i in range(0, len(parts), CACHE // 2):  # a text with more words than are held
-                    some = parts[i : i + CACHE // 2]
-                    if len(place) + len(some) > CACHE:
+                for i in range(0, len(parts), room // 2):  # a text with more words than are held
+                    some = parts[i : i + room // 2]
+                    if len(place) + len(some) > room:
                         place.clear()
-                    like.append(held[[at(w) if (k := place.get(w)) is None else k for w, _ in some]])
+                    learn([w for w, _ in some if w not in place])
+                    like.append(held[[place[w] for w, _ in some]])
                 found = mixture(np.concatenate(like).astype(np.float64), np.fromiter((c for _, c in parts), np.float64, len(parts)), penalty)
                 top = max(found, key=lambda k: (found[k], -k))
                 out.append((model.langs[top], min(1.0, found[top]), sorted(((model.langs[k], min(1.0, v)) for k, v in found.items()), key=lambda x: (-x[1], x[0]))))
