@@ -67,3 +67,27 @@ def _sum_above_half():
         if round(sum(v) * 11) == 55 and reduce(lambda a, x: a + x, v, 0.0) / 10 > 0.5:
             return v
     raise AssertionError("none found")
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_green_lists_are_made_once_a_context(monkeypatch, width):
+    from stylograph.operators import watermark
+
+    calls = []
+    plain = watermark.context_hash
+    monkeypatch.setattr(watermark, "context_hash", lambda tokens, v: calls.append(1) or plain(tokens, v))
+    monkeypatch.setattr(watermark, "HELD", 300)  # lots of three lists
+    draw = random.Random(1)
+    texts = [[draw.randrange(-1, 102) for _ in range(n)] for n in (0, 5, 20, 45, 60)] + [None]
+    found = watermark.green_zs(texts * 3, vocabulary=100, width=width)
+    assert found[:6] == found[6:12] == found[12:]
+    contexts = {tuple(x[i - width : i]) for x in texts if x and len(x) >= 20 for i in range(width, len(x))}
+    assert len(calls) == 10 * len(contexts)
+    for x, got in zip(texts, found, strict=False):
+        want = 0.0
+        if x and len(x) >= 20:
+            n = len(x) - width
+            for v in range(10):
+                hits = sum(0 <= x[i] < 100 and bool(watermark.green(plain(x[i - width : i], v), 100, 0.5)[x[i]]) for i in range(width, len(x)))
+                want = max(want, (hits / n - 0.5) / (0.25 / n) ** 0.5)
+        assert got["z"] == pytest.approx(want)
