@@ -91,3 +91,31 @@ def test_green_lists_are_made_once_a_context(monkeypatch, width):
                 hits = sum(0 <= x[i] < 100 and bool(watermark.green(plain(x[i - width : i], v), 100, 0.5)[x[i]]) for i in range(width, len(x)))
                 want = max(want, (hits / n - 0.5) / (0.25 / n) ** 0.5)
         assert got["z"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [0, 5, 100, 101, 350, 2003])
+def test_moving_ratio_counts_each_word_once(spark, n):
+    from stylograph.operators import style
+
+    draw = random.Random(n)
+    words = [f"w{draw.randrange(1 + n // 3)}" for _ in range(n)]
+    df = spark.createDataFrame([(words,)], "w array<string>").select(style.mattr(F.col("w")).alias("m"))
+    assert "array_distinct" not in df._jdf.queryExecution().optimizedPlan().toString()  # no window is built
+    starts = range(0, n - 99, 1 if n < 2000 else 5)
+    want = sum(len(set(words[i : i + 100])) / 100 for i in starts) / len(starts) if n >= 100 else len(set(words)) / max(n, 1)
+    assert df.first()["m"] == pytest.approx(want, abs=1e-12)
+
+
+def test_ranked_shares_are_those_of_plain_counts():
+    from collections import Counter
+
+    import numpy as np
+
+    from stylograph.operators import style
+
+    draw = random.Random(2)
+    for alphabet, size, n in ((3, 50, 2), (1 << 20, 400, 5), (40, 300, 4), (5, 3, 4)):
+        codes = [draw.randrange(alphabet) for _ in range(size)] * 2
+        grams = Counter(tuple(codes[i : i + n]) for i in range(len(codes) - n + 1))
+        want = [c / sum(grams.values()) for _, c in grams.most_common(20)]
+        assert style._top(np.array(codes), n, 20).tolist() == want + [0.0] * (20 - len(want))
