@@ -119,3 +119,12 @@ def test_ranked_shares_are_those_of_plain_counts():
         grams = Counter(tuple(codes[i : i + n]) for i in range(len(codes) - n + 1))
         want = [c / sum(grams.values()) for _, c in grams.most_common(20)]
         assert style._top(np.array(codes), n, 20).tolist() == want + [0.0] * (20 - len(want))
+
+
+def test_a_folder_of_texts_is_flat(spark, tmp_path):
+    from stylograph.sources import files
+
+    texts = [f"text {i} " + "and so on\n" * 10 for i in range(40)]
+    files.write_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), f"file://{tmp_path}/texts")
+    assert len(list((tmp_path / "texts").glob("*.txt"))) == 40 and not [p for p in (tmp_path / "texts").iterdir() if p.is_dir()]
+    assert sorted(r["text"] for r in files.dictionary_texts(spark, f"file://{tmp_path}/texts", "folder").collect()) == sorted(t.strip() for t in texts)
