@@ -59,8 +59,11 @@ def _table(spark: SparkSession, path: str, version: int | None) -> DataFrame:
     return spark.createDataFrame([], SCHEMA) if version is None else spark.read.schema(SCHEMA).parquet(f"{path}/batch={version}")
 
 
-def start(texts: DataFrame, path: str, checkpoint: str, keep: int = 500_000, orders: tuple[int, ...] = (2, 3, 4), min_words: int = 3, **trigger) -> StreamingQuery:
-    """Starts counting a stream of text into tables under path. trigger: as for writeStream.trigger, by default all that is there."""
+def start(texts: DataFrame, path: str, checkpoint: str, keep: int = 500_000, orders: tuple[int, ...] = (2, 3, 4), min_words: int = 3, spill: bool = False, **trigger) -> StreamingQuery:
+    """Starts counting a stream of text into tables under path. trigger: as for writeStream.trigger, by default all that is there.
+
+    spill: what a batch prunes is written beside the table, which stays bounded; exact() adds it up again.
+    """
 
     def write(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
@@ -71,6 +74,10 @@ def start(texts: DataFrame, path: str, checkpoint: str, keep: int = 500_000, ord
             return spark.read.schema(df.schema).parquet(f"{path}/sums={k}")
 
         out = merged(_table(spark, path, earlier[-1] if earlier else None), ngram_counts(batch, orders=orders, min_words=min_words), keep, save)
+        if spill:  # before the table, whose success mark ends the batch
+            stays = out.filter("ngram is not null").select("n", "ngram")
+            sums = spark.read.parquet(f"{path}/sums={k}").select("n", "ngram", "cnt")
+            sums.join(stays, ["n", "ngram"], "left_anti").write.mode("overwrite").parquet(f"{path}/pruned={k}")
         out.write.mode("overwrite").parquet(f"{path}/batch={k}")
         _delete(spark, f"{path}/sums={k}")
         for v in earlier[:-1]:  # the one before is kept: this batch may be tried again
@@ -85,6 +92,20 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, found[-1] if found else None).filter("ngram is not null")
 
 
+def exact(spark: SparkSession, path: str) -> DataFrame:
+    """n, ngram, cnt, err (0) of every n-gram seen: the latest table, and all that was pruned before (start with spill)."""
+    out = current(spark, path).select("n", "ngram", "cnt")
+    for k in _versions_seen(spark, path):
+        out = out.unionByName(spark.read.schema("n int, ngram string, cnt bigint").parquet(f"{path}/pruned={k}"))
+    return out.groupBy("n", "ngram").agg(F.sum("cnt").alias("cnt")).withColumn("err", F.lit(0).cast("bigint"))
+
+
+def _versions_seen(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches up to the latest table, those whose tables are gone too."""
+    found = _versions(spark, path)
+    return [k for k in range(found[-1] + 1) if files.exists(spark, f"{path}/pruned={k}/_SUCCESS")] if found else []
+
+
 def floors(spark: SparkSession, path: str) -> DataFrame:
     """n, floor: how often an n-gram that isn't in the table may have been seen."""
     found = _versions(spark, path)

@@ -128,3 +128,20 @@ def test_a_folder_of_texts_is_flat(spark, tmp_path):
     files.write_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), f"file://{tmp_path}/texts")
     assert len(list((tmp_path / "texts").glob("*.txt"))) == 40 and not [p for p in (tmp_path / "texts").iterdir() if p.is_dir()]
     assert sorted(r["text"] for r in files.dictionary_texts(spark, f"file://{tmp_path}/texts", "folder").collect()) == sorted(t.strip() for t in texts)
+
+
+def test_a_pruned_dictionary_is_exact_with_what_it_spilled(spark, tmp_path):
+    from stylograph.streaming import dictionary
+
+    texts = ["a b a b c d", "c d e f c d", "e f a b e f"]
+    place = f"file://{tmp_path}"
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).write.parquet(f"{place}/in")
+    source = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    dictionary.start(source, f"{place}/table", f"{place}/mark", keep=2, orders=(2,), spill=True).awaitTermination()
+    want = {}
+    for t in texts:
+        w = t.split()
+        for g in zip(w, w[1:]):
+            want[" ".join(g)] = want.get(" ".join(g), 0) + 1
+    assert dictionary.current(spark, f"{place}/table").count() <= 2
+    assert {r["ngram"]: r["cnt"] for r in dictionary.exact(spark, f"{place}/table").collect()} == want
