@@ -157,3 +157,59 @@ def test_records_of_texts_without_a_latin_letter_are_as_in_sql(spark, tmp_path):
     ours = QUERIES["fn_meta_norm"](spark, str(tmp_path))
     theirs = duckdb.sql(ORACLES["fn_meta_norm"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
     assert sorted(map(tuple, ours.select(*theirs.columns).collect())) == sorted(theirs.fetchall())
+
+
+def test_augmented_words_are_not_gathered_one_by_one(spark):
+    from stylograph.operators import corpus
+
+    df = spark.createDataFrame([(k, "Some longer words stand here together") for k in range(400)], "k long, t string").select("k", corpus.augment_v6(F.col("t"), F.col("k")).alias("a"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    found = [r["a"] for r in df.collect()]
+    assert any(len(x.split()) < 6 for x in found) and all(x.split() for x in found)  # some words are merged, none is lost before the next
+
+
+def test_counts_of_a_text_are_made_in_python_and_equal(spark):
+    from stylograph.operators import features
+
+    draw = random.Random(5)
+    texts = ["", "a", "a a a a", "not always. Never, perhaps! i think so i thinks", *(" ".join(draw.choice("abcdefgh") for _ in range(n)) for n in (3, 5, 60, 300))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("w", C.tok_word(F.col("text")))
+    rows = df.select("w", C.gram_stats(F.col("w"), (1, 2, 4)).alias("g"), *(C.run_counts(C.ngrams(F.col("w"), n)).alias(f"c{n}") for n in (1, 2, 4)), *(C.entropy(C.run_counts(C.ngrams(F.col("w"), n))).alias(f"e{n}") for n in (1, 2, 4))).collect()
+    for r in rows:
+        for i, n in enumerate((1, 2, 4)):
+            assert r["g"][3 * i : 3 * i + 2] == [len(r[f"c{n}"]), r[f"c{n}"].count(1)] and r["g"][3 * i + 2] == pytest.approx(r[f"e{n}"], abs=1e-12)
+    for profile in (features.hallucination, features.reasoning, features.perplexity):
+        assert "sort_array" not in profile(df.select("text"))._jdf.queryExecution().optimizedPlan().toString()
+    both = df.select(features.window_perplexities(F.array("text")).alias("p"), F.array(features.proxy_perplexity(F.filter(F.split("text", " "), lambda x: x != ""))).alias("q")).filter(~F.col("text").contains(".")).collect()
+    assert [r["p"] for r in both] == [r["q"] for r in both]
+
+
+def test_ngrams_are_counted_in_bounded_tables(spark, monkeypatch):
+    from collections import Counter
+
+    from stylograph.operators import corpus
+
+    tables = list(corpus._counted((2,))(iter([])))
+    assert sum(t.num_rows for t in tables) == 0
+    monkeypatch.setattr(corpus, "HELD", 3)
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "a b c a b c", "a", "b c d"]
+    tables = list(corpus._counted((2, 3))(iter([pa.RecordBatch.from_arrays([pa.array(texts[:2])], names=["w"]), pa.RecordBatch.from_arrays([pa.array(texts[2:])], names=["w"])])))
+    found, want = Counter(), Counter()
+    for t in tables:
+        for row in t.to_pylist():
+            found[row["n"], row["ngram"]] += row["cnt"]
+    for t in texts:
+        w = t.split()
+        want.update((n, " ".join(w[i : i + n])) for n in (2, 3) for i in range(len(w) - n + 1))
+    assert found == want and len(tables) > 2
+
+
+def test_a_large_table_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    from stylograph.queries import text
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(text, "SMALL", 0)
+    rows = [r["count"] for r in text.docs(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 4000 and max(rows) <= 2000
