@@ -213,3 +213,18 @@ def test_a_large_table_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatc
     monkeypatch.setattr(text, "SMALL", 0)
     rows = [r["count"] for r in text.docs(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == 4000 and max(rows) <= 2000
+
+
+def test_words_are_stripped_of_marks_all_at_once(spark):
+    from stylograph.functions import lexicons as L
+    from stylograph.operators import evidence, report
+
+    ai, human = next(iter(L.AI_WORDS)), next(iter(L.HUMAN_WORDS))
+    df = spark.createDataFrame([(f"({ai.upper()}), plain -- {human}! ​ x",), ("",), (None,)], "t string")
+    df = df.select(report.word_scores(F.col("t"), F.lit(0.5)).alias("w")).select("w", evidence.word_stats(F.col("w")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2  # once for the scores, once for their counts
+    first, empty, null = df.collect()
+    # a word of marks alone keeps its place, one of zero-width characters goes
+    assert [(w["position"], w["confidence"]) for w in first["w"]] == [(0, 0.8), (1, 0.5), (2, 0.5), (3, 0.8), (5, 0.5)]
+    assert first["w"][0]["score"] == pytest.approx(min(1, 0.5 + L.AI_WORDS[ai] * 0.3)) and first["w"][3]["score"] == pytest.approx((0.5 - L.HUMAN_WORDS[human] * 0.3) * (1 - 3 / 6 * 0.1))
+    assert (first["s"]["ai"], first["s"]["human"]) == (1, 1) and (empty["s"]["mean"], empty["s"]["ai"]) == (None, 0)
