@@ -228,3 +228,16 @@ def test_words_are_stripped_of_marks_all_at_once(spark):
     assert [(w["position"], w["confidence"]) for w in first["w"]] == [(0, 0.8), (1, 0.5), (2, 0.5), (3, 0.8), (5, 0.5)]
     assert first["w"][0]["score"] == pytest.approx(min(1, 0.5 + L.AI_WORDS[ai] * 0.3)) and first["w"][3]["score"] == pytest.approx((0.5 - L.HUMAN_WORDS[human] * 0.3) * (1 - 3 / 6 * 0.1))
     assert (first["s"]["ai"], first["s"]["human"]) == (1, 1) and (empty["s"]["mean"], empty["s"]["ai"]) == (None, 0)
+
+
+def test_attacks_share_one_pass_over_the_texts(spark):
+    from stylograph.operators import corpus
+
+    df = spark.createDataFrame([(k, f"some words stand here {k} and there") for k in range(30)] + [(99, None)], "doc_id long, text string")
+    score = lambda t: F.length(F.regexp_replace(t, "[^a-z]", "")) / F.length(t)
+    kinds = ("homoglyph", "zero_width", "char_noise", "whitespace")
+    all_ = corpus.score_drops(df, kinds, score, C.canonical)
+    assert "Union" not in all_._jdf.queryExecution().optimizedPlan().toString()
+    for r in all_.collect():
+        alone = corpus.score_drop(df, r["attack"], score, C.canonical).first()
+        assert tuple(alone) == pytest.approx(tuple(r)[1:], abs=1e-12)
