@@ -1,7 +1,7 @@
 """A vector index: cells by centroid, top-k by cosine from the cells that are probed, and a scorer of the caller's over what is found.
 
-Centroids are fitted on a bounded sample; every vector is indexed. A query meets the vectors of its nearest cells, cell by cell in bounded
-units of work, of which only each query's k best leave. With exact=True the k-th best score so far then says which other cells can hold
+Centroids are fitted on a bounded sample; every vector is indexed. A query meets the vectors of its nearest cells in bounded units of work,
+each of some neighbouring cells or a part of a large one, of which only each query's k best leave: it is sent once a unit, not once a cell. With exact=True the k-th best score so far then says which other cells can hold
 a better one: those whose centroid is no farther from the query than that score's angle and the cell's radius together (triangle
 inequality of angles). They are probed as well, so nothing is missed; otherwise recall() measures what is.
 """
@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +56,37 @@ def usable(v: Column, dims: int | None = None) -> Column:
 
 @dataclass
 class Index:
-    """vectors: id, v (array<double>), cell; a written table. radius: of each cell, negative for an empty one. tiles: of a cell, by its rows."""
+    """vectors: id, v (array<double>), cell; a written table. radius: of each cell, negative for an empty one. tiles: of a cell, by its rows.
+    unit: of each cell; one of several tiles is alone in its unit."""
 
     vectors: DataFrame
     centroids: np.ndarray
     radius: np.ndarray
     tiles: np.ndarray
+    unit: np.ndarray
+
+
+def lowest(rows: DataFrame, by: Column, then: str, n: int, total: int) -> DataFrame:
+    """The n rows of least hash, ties by another column, of so many in all. Rows far above are dropped first, or one task would sort whole partitions."""
+    share = 2 * n / max(total, 1)
+    while share < 1:
+        some = rows.filter(by < int(-(2**63) + share * 2**64))
+        if some.count() >= n:
+            rows = some
+            break
+        share *= 4
+    return rows.orderBy(by, then).limit(n)
+
+
+def _units(centroids: np.ndarray, rows: np.ndarray, tile: int) -> np.ndarray:
+    """The unit of each cell: neighbours share one as far as they have a tile's rows together."""
+    near = (centroids @ kmeans(centroids, max(1, -(-int(rows.sum()) // tile))).T).argmax(1)
+    out, unit, held, group = np.zeros(len(rows), np.int64), -1, 0, -1
+    for c in np.lexsort((np.arange(len(rows)), near)):
+        if near[c] != group or held + rows[c] > tile:
+            unit, held, group = unit + 1, 0, near[c]
+        out[c], held = unit, held + rows[c]
+    return out
 
 
 def _assigned(centroids: np.ndarray):
@@ -82,80 +108,119 @@ def build(vectors: DataFrame, stage: Stage, id_col: str, vector_col: str, cells:
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")))
     rows = stage.table(rows, "rows")
     n = rows.count()
-    drawn = [x["v"] for x in rows.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()]
+    drawn = [x["v"] for x in lowest(rows, F.xxhash64("v"), "id", sample, n).select("v").collect()]
     lengths = [len(x) for x in drawn]
     dims = max(set(lengths), key=lambda d: (lengths.count(d), d)) if drawn else 1
     chosen = unit(np.array([x for x in drawn if len(x) == dims], float).reshape(-1, dims))
     centroids = kmeans(chosen, cells or min(CELLS, max(1, math.isqrt(n)))) if len(chosen) else np.zeros((1, dims))
     kind = dict(rows.dtypes)["id"]
     placed = stage.table(rows.filter(F.size("v") == dims).mapInArrow(_assigned(centroids), f"id {kind}, v array<double>, cell int, angle double"), "cells")
-    radius, tiles = np.full(len(centroids), -1.0), np.ones(len(centroids), np.int64)
+    radius, held = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # a row a cell
-        radius[r["cell"]], tiles[r["cell"]] = r["radius"], -(-r["n"] // tile)
-    return Index(placed.drop("angle"), centroids, radius, tiles)
+        radius[r["cell"]], held[r["cell"]] = r["radius"], r["n"]
+    return Index(placed.drop("angle"), centroids, radius, np.maximum(1, -(-held // tile)), _units(centroids, held, tile))
+
+
+def _angles(index: Index, x: np.ndarray, full: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit(x) @ index.centroids[full].T, -1, 1))
 
 
 def _probed(index: Index, probes: int, exact: bool):
-    """Cells to probe: the nearest ones, or, for queries with their k-th best score (bound), all others that may hold better."""
-    centroids, radius = index.centroids, index.radius
+    """Cells to probe, by unit: the nearest ones, or, for queries with their k-th best score (bound), all others that may hold better."""
+    radius, units = index.radius, index.unit
+    index = replace(index, vectors=None)  # a task has no use for it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(radius >= 0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            angles = np.arccos(np.clip(unit(_matrix(batch.column("v"))) @ centroids[full].T, -1, 1))
-            near = np.argsort(angles, axis=1, kind="stable")[:, :probes]
+        full = full[np.argsort(units[full], kind="stable")]
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            angles = _angles(index, _matrix(batch.column("v")), full)
+            asks = np.zeros(angles.shape, bool)
+            np.put_along_axis(asks, _order(angles, full)[:, :probes], True, 1)
             if exact:
                 bound = np.arccos(np.clip(np.array([-1.0 if x is None else x for x in batch.column("bound").to_pylist()]), -1, 1))
-                within = angles - radius[full][None] <= bound[:, None] + SLACK
-                np.put_along_axis(within, near, False, 1)  # they have been
-                cells = [full[w].tolist() for w in within]
-            else:
-                cells = [full[x].tolist() for x in near]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells, pa.list_(pa.int32()))], names=["id", "v", "cells"])
+                asks = ~asks & (angles - radius[full][None] <= bound[:, None] + SLACK)  # the nearest have been
+            q, c = np.nonzero(asks)
+            u = units[full[c]]
+            first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (u[1:] != u[:-1])]) if len(q) else np.zeros(0, np.int64)
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)], pa.int32()), pa.array(full[c], pa.int32()))
+            each = pa.StructArray.from_arrays([pa.array(u[first], pa.int32()), cells], names=["unit", "cells"])
+            ends = np.r_[0, np.cumsum(np.bincount(q[first], minlength=batch.num_rows))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["id", "v", "asks"])
 
     return run
 
 
+def _order(angles: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Places in `full` of each query's cells, nearest first, ties by cell."""
+    by_cell = np.argsort(full, kind="stable")
+    return by_cell[np.argsort(angles[:, by_cell], axis=1, kind="stable")]
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest finite scores; of equal ones the least columns."""
+    m = scores.shape[1]
+    least = np.partition(scores, m - k, axis=1)[:, m - k, None] if m > k else -np.inf
+    i, j = np.nonzero((scores >= least) & np.isfinite(scores))
+    order = np.lexsort((j, -scores[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept]
+
+
 def _best(k: int, same: bool):
-    """A unit's k best vectors for each of its queries. side: 1 for queries."""
+    """A unit's k best vectors for each of its queries, which have the cells they ask for; a vector has its own."""
 
     def run(rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
-        ids = rows.column("id")
-        x = unit(_matrix(rows.column("v")))
-        q, p = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        out_q, out_p, out_s = [], [], []
+        lists = rows.column("cells").combine_chunks()
+        many = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        cell = rows.column("cell").to_numpy()
+        ids, x = rows.column("id"), unit(_matrix(rows.column("v")))
+        q, p = np.flatnonzero(cell < 0), np.flatnonzero(cell >= 0)
+        out_q, out_p, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(q) and len(p):
+            names = ids.to_numpy()
             # in the order of ids, so that of equal scores the least ids stay
-            p = p[np.argsort(ids.take(pa.array(p)).to_numpy(zero_copy_only=False), kind="stable")]
-            for at in range(0, len(q), 1024):
-                block = q[at : at + 1024]
-                scores = x[block] @ x[p].T
+            p = p[np.argsort(names[p], kind="stable")]
+            here, at = np.unique(cell[p], return_inverse=True)
+            asked = lists.flatten().to_numpy()
+            known = np.isin(asked, here)
+            asks = np.zeros((len(rows), len(here)), bool)
+            asks[np.repeat(np.arange(len(rows)), many)[known], np.searchsorted(here, asked[known])] = True
+            q = q[np.argsort(asks[q].argmax(1), kind="stable")]
+            for block in (q[i : i + 512] for i in range(0, len(q), 512)):
+                mine = asks[block]
+                some = np.flatnonzero(mine.any(0)[at])  # vectors of cells that one of the block asks for
+                if not len(some):
+                    continue
+                scores = x[block] @ x[p[some]].T
+                scores[~mine[:, at[some]]] = -np.inf
                 if same:
-                    scores[ids.take(pa.array(block)).to_numpy(zero_copy_only=False)[:, None] == ids.take(pa.array(p)).to_numpy(zero_copy_only=False)[None]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(scores, top, 1)
-                i, j = np.nonzero(np.isfinite(kept))
+                    low, high = (np.searchsorted(names[p[some]], names[block], side) for side in ("left", "right"))
+                    for r in np.flatnonzero(low < high):
+                        scores[r, low[r] : high[r]] = -np.inf
+                i, j = _top(scores, k)
                 out_q.append(block[i])
-                out_p.append(p[top[i, j]])
-                out_s.append(kept[i, j])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"query": ids.take(pa.array(join(out_q, np.int64))), "id": ids.take(pa.array(join(out_p, np.int64))), "score": join(out_s, np.float64)})
+                out_p.append(p[some[j]])
+                out_s.append(scores[i, j])
+        found = np.concatenate(out_p)
+        return pa.table({"query": ids.take(pa.array(np.concatenate(out_q))), "id": ids.take(pa.array(found)), "score": np.concatenate(out_s), "cell": pa.array(cell[found], pa.int32())})
 
     return run
 
 
-def _found(index: Index, asked: DataFrame, k: int, same: bool, slices: int) -> DataFrame:
-    """query, id, score: each query's k best of each unit. asked: id, v, cells."""
+def _found(index: Index, asked: DataFrame, k: int, same: bool, query_tile: int) -> DataFrame:
+    """query, id, score, cell: each query's k best of each unit. asked: id, v, asks; a written table. Units that many queries ask are cut by those, too."""
     spark, kind = asked.sparkSession, dict(asked.dtypes)["id"]
-    tiles = F.broadcast(spark.createDataFrame([(c, int(t)) for c, t in enumerate(index.tiles)], "cell int, tiles int"))  # a row a cell
-    own = index.vectors.join(tiles, "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("id", "v", "cell", "tile", "slice", F.lit(0).alias("side"))
-    come = asked.select("id", "v", F.explode("cells").alias("cell")).join(tiles, "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    come = come.select("id", "v", "cell", "tile", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("side"))
-    return own.unionByName(come).groupBy("cell", "tile", "slice").applyInArrow(_best(k, same), f"query {kind}, id {kind}, score double")
+    load = {r["unit"]: r["count"] for r in asked.select(F.explode("asks.unit").alias("unit")).groupBy("unit").count().collect()}  # a row a unit
+    cut = [(c, int(u), int(t), -(-load[u] // query_tile)) for c, (u, t) in enumerate(zip(index.unit.tolist(), index.tiles.tolist(), strict=True)) if u in load]
+    cells = spark.createDataFrame(cut, "cell int, unit int, tiles int, slices int")  # a row a cell
+    # cells that nobody asks for drop out
+    own = index.vectors.join(F.broadcast(cells), "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = own.select("id", "v", "cell", F.lit(None).cast("array<int>").alias("cells"), "unit", "tile", "slice")
+    come = asked.select("id", "v", F.explode("asks").alias("a")).select("id", "v", "a.unit", "a.cells").join(F.broadcast(cells.groupBy("unit").agg(F.max("tiles").alias("tiles"), F.max("slices").alias("slices"))), "unit")
+    come = come.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("id", "v", F.lit(-1).alias("cell"), "cells", "unit", "tile", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int").alias("slice"))
+    return own.unionByName(come).groupBy("unit", "tile", "slice").applyInArrow(_best(k, same), f"query {kind}, id {kind}, score double, cell int")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -169,18 +234,22 @@ def search(index: Index, queries: DataFrame, stage: Stage, id_col: str, vector_c
 
     Query ids are unique. Queries without a usable vector of the index's length find nothing.
     """
+    return _search(index, queries, stage, id_col, vector_col, k, probes, exact, same, query_tile).select("query", "rank", "id", "score")
+
+
+def _search(index: Index, queries: DataFrame, stage: Stage, id_col: str, vector_col: str, k: int, probes: int, exact: bool, same: bool, query_tile: int) -> DataFrame:
+    """search(), with the cell of each vector found."""
     dims = index.centroids.shape[1]
     kind = dict(index.vectors.dtypes)["id"]
     asked = stage.table(queries.select(F.col(id_col).cast(kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v"), dims)), "asked")
-    slices = max(1, -(-asked.count() * max(1, probes) // (query_tile * len(index.centroids))))
-    schema = f"id {kind}, v array<double>, cells array<int>"
-    first = stage.table(_ranked(_found(index, asked.mapInArrow(_probed(index, probes, False), schema), k, same, slices), k), "first")
+    schema = f"id {kind}, v array<double>, asks array<struct<unit: int, cells: array<int>>>"
+    near = stage.table(asked.mapInArrow(_probed(index, probes, False), schema), "near")
+    first = stage.table(_ranked(_found(index, near, k, same, query_tile), k), "first")
     if not exact:
-        return first.select("query", "rank", "id", "score")
+        return first
     bound = first.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
-    rest = asked.join(bound, "id", "left").mapInArrow(_probed(index, probes, True), schema).filter(F.size("cells") > 0)
-    more = _found(index, rest, k, same, slices)
-    return _ranked(first.select("query", "id", "score").unionByName(more), k).select("query", "rank", "id", "score")
+    rest = stage.table(asked.join(bound, "id", "left").mapInArrow(_probed(index, probes, True), schema).filter(F.size("asks") > 0), "rest")
+    return _ranked(first.drop("rank").unionByName(_found(index, rest, k, same, query_tile)), k)
 
 
 def recall(found: DataFrame, true: DataFrame) -> float:
@@ -191,14 +260,32 @@ def recall(found: DataFrame, true: DataFrame) -> float:
 
 def tuned(index: Index, queries: DataFrame, stage: Stage, id_col: str, vector_col: str, k: int = 10, target: float = 0.95, at_most: int = 500, same: bool = False) -> int:
     """The least power of two of probes that finds this share of the true neighbours of a bounded sample of the queries."""
-    some = stage.table(queries.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(at_most), "tuning")
-    true = stage.table(search(index, some, stage, id_col, vector_col, k, exact=True, same=same), "true")
-    probes = 1
-    while probes < len(index.centroids) and recall(search(index, some, stage, id_col, vector_col, k, probes, same=same), true) < target:
+    asked = queries.select(id_col, vector_col)
+    some = stage.table(lowest(asked, F.xxhash64(id_col), id_col, at_most, asked.count()), "tuning")
+    true = _search(index, some, stage, id_col, vector_col, k, PROBES, True, same, TILE)
+    kind = dict(index.vectors.dtypes)["id"]
+    pairs = true.select("query", "cell").join(some.select(F.col(id_col).cast(kind).alias("query"), F.col(vector_col).cast("array<double>").alias("v")), "query").select("cell", "v")
+    # a true neighbour is found as soon as its cell is probed, as only better ones could take its place
+    ranks = {r["at"]: r["count"] for r in pairs.mapInArrow(_ranks(index), "at int").groupBy("at").count().collect()}  # a row a cell at most
+    probes, n = 1, sum(ranks.values())
+    while probes < len(index.centroids) and sum(c for at, c in ranks.items() if at < probes) < target * n:
         probes *= 2
     return min(probes, len(index.centroids))
 
 
+def _ranks(index: Index):
+    """How many cells are nearer to a query than a cell."""
+    index = replace(index, vectors=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.flatnonzero(index.radius >= 0)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            order = full[_order(_angles(index, _matrix(batch.column("v")), full), full)]
+            yield pa.RecordBatch.from_arrays([pa.array((order == batch.column("cell").to_numpy()[:, None]).argmax(1), pa.int32())], names=["at"])
+
+    return run
+
+
 def attribute(docs: DataFrame, profiles: DataFrame, stage: Stage, id_col: str, vector_col: str, author_col: str, profile_col: str, scorer: Callable[[Column, Column], Column] | None = None, k: int = 5, **how) -> DataFrame:
     """doc, author, score, rank: the k authors of nearest profiles, ranked by the scorer (of the document's and the profile's vector; by default
     their cosine), ties by name. Authors are strings with one profile each; a document meets the profiles of probed cells, not all."""

@@ -87,3 +87,36 @@ def test_a_missing_class(spark):
     assert meta.kind == "heuristic" and [r["p"] for r in stacking.predict(f, meta).orderBy("doc_id").collect()] == pytest.approx([k / 10 for k in range(10)])
     assert {r["p"] for r in stacking.predict(f, stacking.fit(f, ["doc_id"])).collect()} == {0.5}
     assert stacking.fit(f.filter("false"), ["doc_id"]).kind == "heuristic"
+
+
+def test_a_query_meets_a_unit_once(spark):
+    """Cells that a query asks for leave its k best once a unit, not once a cell; tuning searches once; samples drop what is far above first."""
+    v = vectors(np.random.default_rng(6), 600)
+    stage = Stage(spark, "t")
+    f = stage.table(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), "v")
+    built = index.build(f, stage, "id", "v", cells=60, tile=100)
+    asked = f.filter("id % 20 = 0")
+    near = stage.table(asked.mapInArrow(index._probed(built, 60, False), "id long, v array<double>, asks array<struct<unit: int, cells: array<int>>>"), "near")
+    held = [0] * (built.unit.max() + 1)
+    for r in built.vectors.groupBy("cell").count().collect():
+        held[built.unit[r["cell"]]] += r["count"]
+    parts = sum(-(-n // 100) for n in held)
+    assert near.selectExpr("explode(asks)").count() == 30 * sum(n > 0 for n in held) and parts < 30
+    found = index._found(built, near, 3, True, 7)
+    assert found.count() <= 30 * parts * 3 and found.groupBy("query").count().filter("count < 3").count() == 0
+    fresh = Stage(spark, "t")
+    index.tuned(built, asked, fresh, "id", "v", same=True)
+    assert fresh._used["asked"] == 1
+    for n in (5, 40, 600):
+        assert [r["id"] for r in index.lowest(f, F.xxhash64("id"), "id", n, 600).collect()] == [r["id"] for r in f.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+
+
+def test_tuning_counts_what_a_search_finds(spark):
+    v = vectors(np.random.default_rng(7), 300)
+    stage = Stage(spark, "t")
+    f = stage.table(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), "v")
+    built = index.build(f, stage, "id", "v", cells=30, tile=50)
+    true = stage.table(index.search(built, f, stage, "id", "v", exact=True, same=True), "all")
+    shares = {p: index.recall(index.search(built, f, stage, "id", "v", probes=p, same=True), true) for p in (1, 2, 4, 8, 16, 30)}
+    for target in (0.5, 0.95):
+        assert index.tuned(built, f, stage, "id", "v", target=target, same=True) == next(p for p, x in shares.items() if x >= target)

@@ -241,3 +241,29 @@ def test_attacks_share_one_pass_over_the_texts(spark):
     for r in all_.collect():
         alone = corpus.score_drop(df, r["attack"], score, C.canonical).first()
         assert tuple(alone) == pytest.approx(tuple(r)[1:], abs=1e-12)
+
+
+def test_style_is_measured_as_columns_would(spark):
+    """Words, marks and tags that a task's Python counts are those of the columns, also for text that isn't plain."""
+    import numpy as np
+
+    from stylograph.functions import columns as C
+    from stylograph.functions import lexicons as L
+    from stylograph.operators import style
+
+    texts = ["", "!!! ??? ... ---- ;;; ,,, !!!", "½²³ ٣٤٥ été naïve é́ ça " * 4, "😀 smile 😀 you know kind of sort of i mean " * 5, "\x85  nel line\n\npara two. a‍b __under__ don't " * 3]
+    texts += ["Running quickly 12 12.5 nation kindness ly ing tion 1ly a_ing _ed ٣ly is the for while she " * 6, "İstanbul IŞIK ǅ " * 9, "a " * 150, " " * 30 + "short" + " " * 30, "漢字かな交じり文です。" * 10]
+    t = F.col("text")
+    f = style.stylometric(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "measured" in f._jdf.queryExecution().optimizedPlan().toString()
+    words = [x for x in style.LEXICON if " " not in x]
+    for r in f.select(t, "style_vector", "style", C.tok_word(t).alias("w"), style.tags(t).alias("tags"), (F.length(C.trimmed(t)) >= 20).alias("enough")).collect():
+        if not r["enough"]:
+            assert r["style_vector"] == [0.0] * style.DIM
+            continue
+        n = max(len(r["w"]), 1)
+        at = dict(zip(style.LEXICON, r["style_vector"][len(style.SCALARS) :], strict=False))
+        assert [at[x] for x in words] == [r["w"].count(x) / n for x in words] and at["kind of"] == r["text"].lower().count("kind of") / n
+        assert r["style"]["avg_word_length"] == sum(map(len, r["w"])) / n
+        kinds = sorted({*r["tags"], *(name for _, name in L.TAGS)})
+        assert r["style_vector"][-15:] == style._top(np.array([kinds.index(x) for x in r["tags"]], np.int64), 2, 15).tolist()
