@@ -35,7 +35,7 @@ def kmeans(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from evenly spaced rows; a centroid without rows stays. sample: unit vectors."""
     centroids = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)].copy()
     for _ in range(rounds):
-        at = (sample @ centroids.T).argmax(1)
+        at = np.concatenate([(sample[i : i + 1024] @ centroids.T).argmax(1) for i in range(0, len(sample), 1024)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, at, sample)
         some = np.bincount(at, minlength=len(centroids)) > 0
@@ -108,10 +108,10 @@ def build(vectors: DataFrame, stage: Stage, id_col: str, vector_col: str, cells:
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")))
     rows = stage.table(rows, "rows")
     n = rows.count()
-    drawn = [x["v"] for x in lowest(rows, F.xxhash64("v"), "id", sample, n).select("v").collect()]
-    lengths = [len(x) for x in drawn]
-    dims = max(set(lengths), key=lambda d: (lengths.count(d), d)) if drawn else 1
-    chosen = unit(np.array([x for x in drawn if len(x) == dims], float).reshape(-1, dims))
+    drawn = lowest(rows, F.xxhash64("v"), "id", sample, n).select("v").toArrow().column("v").combine_chunks()  # as numbers, not as objects
+    lengths, many = np.unique(pc.list_value_length(drawn).to_numpy(zero_copy_only=False), return_counts=True)
+    dims = int(lengths[many == many.max()].max()) if len(lengths) else 1
+    chosen = unit(drawn.filter(pc.equal(pc.list_value_length(drawn), dims)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims))
     centroids = kmeans(chosen, cells or min(CELLS, max(1, math.isqrt(n)))) if len(chosen) else np.zeros((1, dims))
     kind = dict(rows.dtypes)["id"]
     placed = stage.table(rows.filter(F.size("v") == dims).mapInArrow(_assigned(centroids), f"id {kind}, v array<double>, cell int, angle double"), "cells")
