@@ -58,7 +58,7 @@ def _round_trip(write, end):
 
 
 def _csv(df, path):
-    df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    files.write_csv(df, path)
 
 
 READ_SQL = "SELECT doc_id, md5(text) AS text, lang FROM documents"

@@ -26,3 +26,11 @@ def test_counts_of_a_text_without_words_are_null(spark, tmp_path):
     _documents(spark, tmp_path, ODD)
     got = sorted(map(tuple, QUERIES["agg_ttr_hapax"](spark, str(tmp_path)).collect()))
     assert got == sorted(_by_sql(tmp_path, "agg_ttr_hapax")) and got[1] == (1, None, None, None) and got[10] == (10, 2, 2, 2) and got[11] == (11, 1, 0, 1)
+
+
+def test_csv_keeps_ends_of_texts_and_tells_empty_from_null(spark, tmp_path):
+    from stylograph.queries import QUERIES
+
+    _documents(spark, tmp_path, ODD)
+    got = {r["doc_id"]: (r["text"], r["lang"]) for r in QUERIES["src_csv"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t if t is None else hashlib.md5(t.encode()).hexdigest(), ("en", None, "", "de ")[i % 4]) for i, t in enumerate(ODD)}
