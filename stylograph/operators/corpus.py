@@ -247,9 +247,10 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - (word.rlike("[^l]e$") & (groups > 1)).cast("int"))
 
 
-def flesch_kincaid(text: Column, chars: int = 3000) -> Column:
-    """Grade of the first 3,000 characters, as the measure is defined; held within -5 and 30, one place; 0 for blank texts."""
-    t = F.substring(F.coalesce(text, F.lit("")), 1, chars)
+def flesch_kincaid(text: Column, chars: int | None = 3000) -> Column:
+    """Grade of the first 3,000 characters, as the training label is defined, or of whole texts (chars None); held within -5 and 30, one place; 0 for blank texts."""
+    whole = C.one_letter(F.coalesce(text, F.lit("")))
+    t = whole if chars is None else F.substring(whole, 1, chars)
     # halves go away from zero by the grade's tenfold: 29.85 is just under itself as a double
     tenth = lambda x: F.when(x < 0, -F.floor(0.5 - x * 10)).otherwise(F.floor(x * 10 + 0.5)) / 10.0
     return C.let(C.matches(F.lower(t), "[a-z']+"), lambda w: F.when(F.size(w) == 0, 0.0).otherwise(

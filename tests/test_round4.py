@@ -34,3 +34,12 @@ def test_csv_keeps_ends_of_texts_and_tells_empty_from_null(spark, tmp_path):
     _documents(spark, tmp_path, ODD)
     got = {r["doc_id"]: (r["text"], r["lang"]) for r in QUERIES["src_csv"](spark, str(tmp_path)).collect()}
     assert got == {i: (t if t is None else hashlib.md5(t.encode()).hexdigest(), ("en", None, "", "de ")[i % 4]) for i, t in enumerate(ODD)}
+
+
+def test_the_baseline_reads_whole_texts(spark, tmp_path):
+    from stylograph.queries import QUERIES
+
+    _documents(spark, tmp_path, [*ODD, "Ba ba ba. " * 400 + "catastrophically incomprehensible " * 500])
+    got = sorted(map(tuple, QUERIES["fn_baseline"](spark, str(tmp_path)).collect()))
+    assert got == sorted(_by_sql(tmp_path, "fn_baseline"))
+    assert max(r[2] for r in got if r[:2] == (len(ODD), "grade")) > 20
