@@ -43,3 +43,16 @@ def test_the_baseline_reads_whole_texts(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["fn_baseline"](spark, str(tmp_path)).collect()))
     assert got == sorted(_by_sql(tmp_path, "fn_baseline"))
     assert max(r[2] for r in got if r[:2] == (len(ODD), "grade")) > 20
+
+
+def test_sentences_and_words_are_scored_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from stylograph.operators import evidence, report
+
+    texts = ["", " ", "...", "Furthermore, we (delve)! Firstly; first things? thus\x1cthere", "First́ thu‍s. del‍ve delvé GONNA be ½first² ​ ‎", "İ first. Kinda ⓐdelve ΑΣ. \x1f . é\xa0thing", "a. " * 50 + "like stuff! ", "_hence_ hence_ -hence- x　third", None]
+    df = spark.createDataFrame([(t, k / 7) for k, t in enumerate(texts * 2)], "t string, p double")
+    df = df.select("t", "p", report.scored(F.col("t"), F.col("p")).alias("x"), report.sentence_scores(F.col("t"), F.col("p")).alias("s"))
+    df = df.select("t", "x.*", "s", evidence.word_stats(F.flatten(F.transform("s", lambda x: report.word_scores(x["text"], F.col("p"))))).alias("w"))
+    for r in df.collect():
+        assert (r["sentences"], r["stats"]) == (r["s"], r["w"]), r["t"]
