@@ -56,3 +56,21 @@ def test_sentences_and_words_are_scored_in_one_pass(spark):
     df = df.select("t", "x.*", "s", evidence.word_stats(F.flatten(F.transform("s", lambda x: report.word_scores(x["text"], F.col("p"))))).alias("w"))
     for r in df.collect():
         assert (r["sentences"], r["stats"]) == (r["s"], r["w"]), r["t"]
+
+
+def test_a_folder_of_texts_has_plain_files_alone(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from stylograph.sources import files
+
+    texts = [f"text {i} é " + "word " * 25 for i in range(50)] + [None, "", "two\nlines " * 20]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    files.write_texts(df, f"file://{tmp_path}/texts")
+    names = os.listdir(tmp_path / "texts")
+    assert len(names) == len(texts) and all(n.endswith(".txt") for n in names)  # no checksum beside each
+    got = [r["text"] for r in files.dictionary_texts(spark, f"file://{tmp_path}/texts", "folder").collect()]
+    assert sorted(got) == sorted(t.strip() for t in texts if t and len(t.split()) >= 20)
+    with pytest.raises(FileExistsError):
+        files.write_texts(df, f"file://{tmp_path}/texts")
